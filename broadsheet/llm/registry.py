@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import dedup_exact, url_filter
+from broadsheet.llm import dedup_exact, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": url_filter.op4,
+    "op5_token_count": token_count.op5,
     "op7_exact_dedup": dedup_exact.op7,
 }
 
