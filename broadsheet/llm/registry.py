@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import dedup_exact, token_count, url_filter
+from broadsheet.llm import dedup_exact, secret_scan, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": url_filter.op4,
     "op5_token_count": token_count.op5,
     "op7_exact_dedup": dedup_exact.op7,
+    "op9_secret_scan": secret_scan.op9,
 }
 
 SQL: dict[str, str] = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": dedup_exact.OP7_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
 }
