@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import dedup_exact, secret_scan, token_count, url_filter
+from broadsheet.llm import dedup_exact, html_extract, secret_scan, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": url_filter.op4,
     "op5_token_count": token_count.op5,
     "op7_exact_dedup": dedup_exact.op7,
     "op9_secret_scan": secret_scan.op9,
+    "op10_html_extract": html_extract.op10,
 }
 
 SQL: dict[str, str] = {
