@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import dedup_exact, html_extract, secret_scan, token_count, url_filter
+from broadsheet.llm import classify, dedup_exact, html_extract, secret_scan, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": classify.op2,
     "op4_url_filter": url_filter.op4,
     "op5_token_count": token_count.op5,
+    "op6_quality": classify.op6,
     "op7_exact_dedup": dedup_exact.op7,
     "op9_secret_scan": secret_scan.op9,
     "op10_html_extract": html_extract.op10,
