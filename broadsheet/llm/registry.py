@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import classify, decontaminate, dedup_exact, html_extract, secret_scan, token_count, url_filter
+from broadsheet.llm import classify, decontaminate, dedup_exact, html_extract, mixing, secret_scan, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
     "op2_toxicity": classify.op2,
+    "op3_mixing": mixing.op3,
     "op4_url_filter": url_filter.op4,
     "op5_token_count": token_count.op5,
     "op6_quality": classify.op6,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": dedup_exact.OP7_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
