@@ -19,28 +19,22 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.common import table
+from broadsheet.llm.hashing import LETTERS, chunks, gram_hashes, hash_words
 
 #: Words of a window; an item of fewer words is one window.
 SPAN = 10
 #: A benchmark of at most so many bytes of text is sent to the workers whole.
 BROADCAST_BYTES = 16 << 20
-#: Bytes of text that are hashed at once; a longer text goes by itself.
-CHUNK = 1 << 21
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BYTES = np.arange(256, dtype=np.uint8)
-_IS_WORD = (_BYTES >= 0x80) | (_BYTES >= 0x30) & (_BYTES <= 0x39) | (_BYTES >= 0x61) & (_BYTES <= 0x7A) | (_BYTES >= 0x41) & (_BYTES <= 0x5A)
-_LOWERED = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint64) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_IN_WORD = (_BYTES >= 0x80) | (_BYTES >= 0x30) & (_BYTES <= 0x39) | (_BYTES >= 0x61) & (_BYTES <= 0x7A) | (_BYTES >= 0x41) & (_BYTES <= 0x5A)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,57 +48,12 @@ def plan(span: int) -> tuple[int, int]:
     return k, span - k + 1
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as far as they were needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, base in (("up", _BASE), ("down", _UNBASE)):
-                powers = np.full(n, base, np.uint64)
-                powers[0] = 1
-                setattr(cls, name, np.multiply.accumulate(powers))
-        return cls.up, cls.down
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie end to end in `data`, and where the words of each text begin."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    here = _IS_WORD[data]
-    before, after = np.empty_like(here), np.empty_like(here)
-    before[1:], after[:-1] = here[:-1], here[1:]
-    before[0] = after[-1] = False
-    before[bounds[bounds < len(data)]] = False
-    inner = bounds[(bounds > 0) & (bounds <= len(data))]
-    after[inner - 1] = False
-    start, end = np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
-    up, down = _Powers.to(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_LOWERED[data] * up[: len(data)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, bounds)
-
-
 def fingerprints(words: np.ndarray, begins: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the kept hashes of k words, of all windows of w of them that lie within one text."""
     n = len(words) - k - w + 2
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = np.zeros(len(words) - k + 1, np.uint64)
-    for j in range(k):
-        grams = grams * np.uint64(_BASE | 1) + words[j : j + len(grams)]
-    grams = _mix(grams)
+    grams = gram_hashes(words, k)
     text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     whole = text[:n] == text[k + w - 2 : k + w - 2 + n]
     at = np.flatnonzero(whole)
@@ -133,7 +82,7 @@ class Index:
             for item, text in enumerate(texts):
                 if self.words[item] and min(len(self.words[item]), SPAN) == span:
                     raw = np.frombuffer((text or "").encode(), np.uint8)
-                    hashes, begins = hash_words(raw, np.array([0, len(raw)]))
+                    hashes, begins = hash_words(raw, np.array([0, len(raw)]), _IN_WORD, LETTERS)
                     for place, value in zip(*map(np.ndarray.tolist, fingerprints(hashes, begins, *plan(span))), strict=True):
                         found[value].append((item, place))
             self.of[span] = (np.array(sorted(found), np.uint64), dict(found))
@@ -158,24 +107,6 @@ class Index:
         return runs, items
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, bounds) of stretches of texts of about CHUNK bytes; a null is empty."""
-    texts = pc.fill_null(texts, "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, offsets, data = texts.buffers()
-    if not len(texts):
-        return
-    bounds = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    low = 0
-    while low < len(texts):
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK, "right")) - 1)
-        yield low, high, raw[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
-        low = high
-
-
 def covered(runs: Sequence[tuple[int, int]]) -> int:
     """Words in any of the runs."""
     n = reached = 0
@@ -204,7 +135,7 @@ def _near(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFram
             n_words, n_hit, n_items = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             shas = [NOTHING] * batch.num_rows
             for low, high, data, bounds in chunks(batch.column(1)):
-                hashes, begins = hash_words(data, bounds)
+                hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS)
                 n_words[low:high] = np.diff(begins)
                 meetings: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
                 for span in index.spans:
@@ -236,7 +167,7 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
     def kept(batches: Iterator[pa.RecordBatch], only_own: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, bounds in chunks(batch.column(1)):
-                hashes, begins = hash_words(data, bounds)
+                hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS)
                 for span in spans:
                     place, value = fingerprints(hashes, begins, *plan(span))
                     row = np.searchsorted(begins, place, "right") - 1
@@ -260,7 +191,7 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
                 index = Index([item], [item_text])
                 words = words_of(text)
                 raw = np.frombuffer(text.encode(), np.uint8)
-                hashes, begins = hash_words(raw, np.array([0, len(raw)]))
+                hashes, begins = hash_words(raw, np.array([0, len(raw)]), _IN_WORD, LETTERS)
                 met = [(p, 0, at) for s in index.spans for p, v in zip(*map(np.ndarray.tolist, fingerprints(hashes, begins, *plan(s))), strict=True) for _, at in index.of[s][1].get(v, ())]
                 runs, found = index.extend(words, met)
                 if found:
@@ -276,7 +207,7 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             for low, high, data, bounds in chunks(batch.column(2)):
-                n[low:high] = np.diff(hash_words(data, bounds)[1])
+                n[low:high] = np.diff(hash_words(data, bounds, _IN_WORD, LETTERS)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], [id_col, "key", "n_words"])
 
     rows = docs.select(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("key"), F.col(text_col).cast("string").alias("text_"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import classify, decontaminate, dedup_exact, html_extract, mixing, secret_scan, token_count, url_filter
+from broadsheet.llm import classify, decontaminate, dedup_exact, html_extract, mixing, ngram_join, secret_scan, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_count": token_count.op5,
     "op6_quality": classify.op6,
     "op7_exact_dedup": dedup_exact.op7,
+    "op8_ngram_join": ngram_join.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_html_extract": html_extract.op10,
 }
