@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,17 @@ def classify(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_
     return scored(docs, model, [id_col], text_col).select(id_col, (fold(id_col, task.folds) == task.held).alias("held_out"), "score", "predicted")
 
 
+def keep_zeros(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are not predicted as label 1, with all their columns; see classify()."""
+    model = learn(docs, labels, task, id_col, text_col)
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zdict.score(model, t)).astype(float)
+
+    return docs.filter(scores(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < 0.5)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """classify() for toxicity over the whole documents table."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXICITY)

@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,42 +124,49 @@ NOTHING = digest(set())
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
 
 
+def measure(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """n_words, n_hit, n_items and items_sha256 of each text."""
+    n_words, n_hit, n_items = (np.zeros(len(texts), np.int64) for _ in range(3))
+    shas = [NOTHING] * len(texts)
+    for low, high, data, bounds in chunks(texts):
+        hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS)
+        n_words[low:high] = np.diff(begins)
+        meetings: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for span in index.spans:
+            known, where = index.of[span]
+            place, value = fingerprints(hashes, begins, *plan(span))
+            hit = np.flatnonzero(np.isin(value, known))
+            for p, v in zip(place[hit].tolist(), value[hit].tolist(), strict=True):
+                row = int(np.searchsorted(begins, p, "right")) - 1
+                meetings[row].extend((p - int(begins[row]), item, at) for item, at in where[v])
+        for row, met in meetings.items():
+            runs, items = index.extend(words_of(texts[low + row].as_py()), met)
+            ids = {index.ids[i] for i in items}
+            n_hit[low + row], n_items[low + row], shas[low + row] = covered(runs), len(ids), digest(ids)
+    return n_words, n_hit, n_items, shas
+
+
 def _near(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
     """Documents against an index that every worker holds: one pass, no shuffle."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"))
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for batch in batches:
-            n_words, n_hit, n_items = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            shas = [NOTHING] * batch.num_rows
-            for low, high, data, bounds in chunks(batch.column(1)):
-                hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS)
-                n_words[low:high] = np.diff(begins)
-                meetings: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                for span in index.spans:
-                    known, where = index.of[span]
-                    place, value = fingerprints(hashes, begins, *plan(span))
-                    hit = np.flatnonzero(np.isin(value, known))
-                    for p, v in zip(place[hit].tolist(), value[hit].tolist(), strict=True):
-                        row = int(np.searchsorted(begins, p, "right")) - 1
-                        meetings[row].extend((p - int(begins[row]), item, at) for item, at in where[v])
-                for row, met in meetings.items():
-                    runs, items = index.extend(words_of(batch.column(1)[low + row].as_py()), met)
-                    ids = {index.ids[i] for i in items}
-                    n_hit[low + row], n_items[low + row], shas[low + row] = covered(runs), len(ids), digest(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas)], [id_col, *(f.name for f in _FOUND)])
+            n_words, n_hit, n_items, shas = measure(sent.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(shas, pa.string())], [id_col, *(f.name for f in _FOUND)])
 
     return rows.mapInArrow(search, T.StructType([rows.schema.fields[0], *_FOUND]))
 
 
-def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """Documents against a benchmark too large to send about: fingerprints meet in a shuffle.
+def _key(text_col: str) -> Column:
+    """What a text goes by where fingerprints meet in a shuffle, so that copies are compared once."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
-    Texts go by their digest, so that copies are compared once.
-    """
-    texts = docs.select(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("key"), F.col(text_col).cast("string").alias("text_"))
+
+def _met(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """key, n_hit, n_items and items_sha256 of every text that is hit, for a benchmark too large to send about."""
+    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text_"))
     theirs = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("item_text")).distinct()
     sizes = theirs.mapInArrow(_sizes, "span int").distinct()
     spans = [r["span"] for r in sizes.collect()]  # SPAN values at most
@@ -201,7 +208,11 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         ids = set(rows["item"])
         return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_hit": [covered(list(zip(rows["low"], rows["high"], strict=True)))], "n_items": [len(ids)], "items_sha256": [digest(ids)]})
 
-    found = both.mapInArrow(compare, "key string, item string, low long, high long").groupBy("key").applyInPandas(gather, "key string, n_hit long, n_items long, items_sha256 string")
+    return both.mapInArrow(compare, "key string, item string, low long, high long").groupBy("key").applyInPandas(gather, "key string, n_hit long, n_items long, items_sha256 string")
+
+
+def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """Documents against a benchmark too large to send about."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +221,8 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
                 n[low:high] = np.diff(hash_words(data, bounds, _IN_WORD, LETTERS)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], [id_col, "key", "n_words"])
 
-    rows = docs.select(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("key"), F.col(text_col).cast("string").alias("text_"))
+    found = _met(docs, items, text_col, item_col, item_text)
+    rows = docs.select(F.col(id_col), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text_"))
     counted = rows.mapInArrow(count, T.StructType([rows.schema.fields[0], T.StructField("key", T.StringType()), T.StructField("n_words", T.LongType())]))
     return counted.join(found, "key", "left").select(
         id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(NOTHING)).alias("items_sha256")
@@ -232,14 +244,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Repeated rows and null ids of documents come back as they are. Other columns are not read. An empty
     benchmark leaves every document clean.
     """
+    index = small_index(items, item_col, item_text, broadcast_bytes)
+    got = _near(docs, index, id_col, text_col) if index else _far(docs, items, id_col, text_col, item_col, item_text)
+    return got.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def small_index(items: DataFrame, item_col: str, item_text: str, broadcast_bytes: int) -> Index | None:
+    """The index of a benchmark whose texts are within `broadcast_bytes`, else None."""
     bench = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text_"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text_") + 16), F.lit(0)).alias("n")).first()["n"]
-    if size <= broadcast_bytes:
-        rows = bench.collect()  # of a checked size
-        got = _near(docs, Index([r["item"] for r in rows], [r["text_"] for r in rows]), id_col, text_col)
-    else:
-        got = _far(docs, items, id_col, text_col, item_col, item_text)
-    return got.withColumn("contaminated", F.col("n_hit") > 0)
+    if size > broadcast_bytes:
+        return None
+    rows = bench.collect()  # of a checked size
+    return Index([r["item"] for r in rows], [r["text_"] for r in rows])
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of `docs` that no benchmark item hits, with all their columns; see decontaminate()."""
+    index = small_index(items, item_col, item_text, broadcast_bytes)
+    if index is None:
+        hit = _met(docs, items, text_col, item_col, item_text).select(F.col("key").alias("hit_key_"))
+        return docs.join(hit, _key(text_col) == F.col("hit_key_"), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.pandas_udf("long")
+    def hits(texts: pd.Series) -> pd.Series:
+        return pd.Series(measure(sent.value, pa.array(texts, pa.string()))[1])
+
+    return docs.filter(hits(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == 0)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

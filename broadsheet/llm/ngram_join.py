@@ -355,6 +355,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return got.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component, with all their columns.
+
+    Rows without shingles stay, as do those with null ids that are linked with nothing. Where rows share
+    an id, they stay together. See jaccard_join().
+    """
+    stay = jaccard_join(docs, id_col, text_col).filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("stays_")).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("stays_")), "left_semi")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_join() over the whole documents table."""
     return jaccard_join(table(spark, sf_dir, "documents"))
