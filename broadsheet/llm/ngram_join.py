@@ -28,11 +28,9 @@ from broadsheet.llm.shingles import sets_of
 
 #: Words of a shingle.
 WORDS = 5
-#: Shingles whose place in the order is known by their counts; all others are taken as rare. Any order
-#: gives the same links, so the bound only moves work.
-KNOWN = 1 << 18
-#: A task reports a shingle that it has met so many times.
-REPORTED = 4
+#: Cells that shingles are counted in, and parts that the counts are added up in. Shingles that share a
+#: cell share a count; any order gives the same links, so that this only moves work.
+CELLS, SEGMENTS = 1 << 20, 256
 #: Members of a list up to which its pairs are written out.
 SHORT = 48
 #: No set beyond this size is enumerated; it has 1,160 subsets.
@@ -95,19 +93,16 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The KNOWN most frequent shingles, sorted, with their counts, and the mean length of a shingle's list."""
+def counted(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """How many shingles fall into each of CELLS cells, and about how long the list of a shingle is.
+
+    Each task counts for itself and sends its cells in SEGMENTS parts, which are added up one by one, so
+    that neither a task nor the driver holds more than the cells once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        size = total = 0
-
-        def report() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = c >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[h[often].view(np.int64), np.int64(0)]), pa.array(np.r_[c[often], total]), pa.array(np.r_[np.zeros(often.sum(), bool), True])], ["h", "c", "all_"])
-
+        cells, held, size = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             for _, node, tokens in sets_of(batch.column(0), WORDS):
                 if len(tokens) and node not in seen:
@@ -115,34 +110,45 @@ def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                         seen.add(node)
                     held.append(tokens)
                     size += len(tokens)
-                    total += len(tokens)
                 if size >= COUNTED:
-                    yield report()
-                    held, size, total = [], 0, 0
-        yield report()
-
-    counts = docs.select(F.col("text_")).mapInArrow(count, "h long, c long, all_ boolean").groupBy("h", "all_").agg(F.sum("c").alias("c"))
-    counts = cut(counts)
-    n = counts.filter("all_").agg(F.sum("c").alias("n")).first()["n"] or 0
-    known = counts.filter("not all_").orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c").toArrow()
-    h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
-    order = np.argsort(h)
-    mean = float((c.astype(np.float64) ** 2).sum() + max(0, n - int(c.sum()))) / max(n, 1)
-    return h[order], c[order], mean
-
-
-def in_order(tokens: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Tokens rarest first, ties by their own value."""
-    if not len(h):
-        return tokens
-    at = np.searchsorted(h, tokens)
-    at[at == len(h)] = 0
-    often = np.where(h[at] == tokens, c[at], 0)
-    return tokens[np.lexsort((tokens, often))] if often.any() else tokens
-
-
-def described(docs: DataFrame, h: np.ndarray, c: np.ndarray, small: int) -> DataFrame:
+                    cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS)), pa.array([part.tobytes() for part in np.split(cells, SEGMENTS)], pa.binary())], ["part", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch["part"].to_pylist(), batch["cells"], strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(cells.as_buffer(), np.int64)
+        for part, cells in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([cells.tobytes()], pa.binary())], ["part", "cells"])
+
+    schema = "part long, cells binary"
+    total = np.zeros(CELLS, np.int64)
+    for row in docs.select("text_").mapInArrow(count, schema).repartition(SEGMENTS, "part").mapInArrow(add, schema).collect():  # CELLS numbers
+        size = CELLS // SEGMENTS
+        total[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["cells"], np.int64)
+    n = int(total.sum())
+    # what a cell holds beside a shingle's own list is the mean of all cells
+    return total, max(1.0, float((total.astype(np.float64) ** 2).sum()) / max(n, 1) - n / CELLS)
+
+
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    """The cell that a shingle is counted in."""
+    return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def in_order(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Tokens by the count of their cells, the least first, ties by their own value."""
+    return tokens[np.lexsort((tokens, cells[cell_of(tokens)]))]
+
+
+def described(docs: DataFrame, cells: np.ndarray, small: int) -> DataFrame:
     """doc_id, n, node, map, prefix and subsets of every row; the last three once for each node and task."""
+    counts = docs.sparkSession.sparkContext.broadcast(cells.astype(np.uint32) if cells.max(initial=0) < 1 << 32 else cells)  # CELLS numbers
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,7 +167,7 @@ def described(docs: DataFrame, h: np.ndarray, c: np.ndarray, small: int) -> Data
                 maps.append(bitmap(tokens))
                 # small sets meet large ones in lists, where the sizes allow it
                 as_list = len(tokens) > small or 5 * len(tokens) >= 4 * (small + 1)
-                first.append(in_order(tokens, h, c)[: len(tokens) - -(-len(tokens) * 4 // 5) + 1].view(np.int64) if as_list else None)
+                first.append(in_order(tokens, counts.value)[: len(tokens) - -(-len(tokens) * 4 // 5) + 1].view(np.int64) if as_list else None)
                 subs.append(subsets(tokens).view(np.int64) if len(tokens) <= small else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(first, longs), pa.array(subs, longs)], ["doc_id", "n", "node", "map", "prefix", "subsets"])
@@ -312,9 +318,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text_"))
-    h, c, mean = counted(rows)
+    cells, mean = counted(rows)
     small = boundary(mean)
-    sets = cut(described(rows, h, c, small))
+    sets = cut(described(rows, cells, small))
     nodes = cut(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("map").alias("map")))
     posted = sets.filter("prefix is not null").select(F.posexplode("prefix").alias("at", "h"), "node", "n").select("h", "node", "n", F.col("at").cast("long").alias("at"))
     posted = posted.unionByName(sets.filter("subsets is not null").select(F.explode("subsets").alias("h"), "node", "n", F.lit(-1).cast("long").alias("at")))
