@@ -66,11 +66,10 @@ class Automaton:
         for b, byte in literals:
             w, m = one(b)
             self.step[slice(None) if byte is None else byte, w] |= m
+        not_slash = np.arange(256) != ord("/")
         for b, slash in loops:
             w, m = one(b)
-            self.stay[:, w] |= m
-            if not slash:
-                self.stay[ord("/"), w] &= ~m
+            self.stay[slice(None) if slash else not_slash, w] |= m
         for b in starts:
             w, m = one(b)
             self.first[w] |= m
