@@ -25,7 +25,7 @@ LEAST = 200
 BLOCK_CLASSIFIER, PARAGRAPHS, RAW_TEXT, FAILED = "block_classifier", "paragraphs", "raw_text", "failed"
 OK, TOO_SHORT = "ok", "too_short"
 #: Direct parents whose text the raw extractor leaves out.
-RAW_SKIPPED = frozenset("[document] noscript header html meta head input script style".split())
+RAW_SKIPPED = frozenset(["[document]", "noscript", "header", "html", "meta", "head", "input", "script", "style"])
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template head title nav footer aside form button select".split())

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from broadsheet.functions.urls import host, ip_host, normalize
 from broadsheet.plans.dialect import SPARK
 
-#: Services whose subdomains are sites of their own; the first group ends the name.
+#: Services whose subdomains are sites of their own.
 BLOG_SERVICES = (
-    r"\.go\.com \.wordpress\.com \.blogspot\. \.livejournal\.com \.privet\.ru \.wikia\.com \.24open\.ru \.patch\.com \.tumblr\.com \.github\.io \.typepad\.com"
-    r" \.squarespace\.com \.substack\.com \.iheart\.com \.ampproject\.org \.mail\.ru \.wixsite\.com \.medium.com \.free\.fr \.list-manage\.com \.over-blog\.com"
-    r" \.weebly\.com \.typeform\.com \.nationbuilder\.com \.tripod\.com \.insanejournal\.com \.cloudfront\.net \.wpengine\.com \.noblogs\.org \.formstack\.com"
-    r" \.altervista\.org \.home\.blog \.kinja\.com \.sagepub\.com \.ning\.com \.hypotheses\.org \.narod\.ru \.submittable\.com \.smalltownpapers\.com"
-    r" \.herokuapp\.com \.newsvine\.com \.newsmemory\.com \.beforeitsnews\.com \.jimdo\.com \.wickedlocal\.com \.radio\.com \.stackexchange\.com \.buzzsprout\.com"
-    r" \.appspot\.com \.simplecast\.com \.fc2\.com \.podomatic\.com \.azurewebsites\. \.sharepoint\.com \.windows\.net \.wix\.com \.googleblog\.com \.hubpages\.com"
-    r" \.gitlab\.io \.blogs\.com \.shinyapps\.io"
-).split(" ")
+    r"\.go\.com", r"\.wordpress\.com", r"\.blogspot\.", r"\.livejournal\.com", r"\.privet\.ru", r"\.wikia\.com", r"\.24open\.ru", r"\.patch\.com",
+    r"\.tumblr\.com", r"\.github\.io", r"\.typepad\.com", r"\.squarespace\.com", r"\.substack\.com", r"\.iheart\.com", r"\.ampproject\.org",
+    r"\.mail\.ru", r"\.wixsite\.com", r"\.medium.com", r"\.free\.fr", r"\.list-manage\.com", r"\.over-blog\.com", r"\.weebly\.com",
+    r"\.typeform\.com", r"\.nationbuilder\.com", r"\.tripod\.com", r"\.insanejournal\.com", r"\.cloudfront\.net", r"\.wpengine\.com",
+    r"\.noblogs\.org", r"\.formstack\.com", r"\.altervista\.org", r"\.home\.blog", r"\.kinja\.com", r"\.sagepub\.com", r"\.ning\.com",
+    r"\.hypotheses\.org", r"\.narod\.ru", r"\.submittable\.com", r"\.smalltownpapers\.com", r"\.herokuapp\.com", r"\.newsvine\.com",
+    r"\.newsmemory\.com", r"\.beforeitsnews\.com", r"\.jimdo\.com", r"\.wickedlocal\.com", r"\.radio\.com", r"\.stackexchange\.com",
+    r"\.buzzsprout\.com", r"\.appspot\.com", r"\.simplecast\.com", r"\.fc2\.com", r"\.podomatic\.com", r"\.azurewebsites\.", r"\.sharepoint\.com",
+    r"\.windows\.net", r"\.wix\.com", r"\.googleblog\.com", r"\.hubpages\.com", r"\.gitlab\.io", r"\.blogs\.com", r"\.shinyapps\.io",
+)
 BLOG = "(?i)" + "|".join(BLOG_SERVICES)
 
 

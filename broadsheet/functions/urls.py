@@ -15,10 +15,10 @@ from broadsheet.plans.dialect import SPARK, rewritten, stripped
 
 #: Query parameters that are always dropped.
 DROPPED_PARAMETERS = (
-    "fb_action_ids fb_action_types fb_source fb_ref action_object_map action_type_map action_ref_map fsrc_fb_noscript yclid _openstat"
-    " sortPHPSESSID PHPSESSIONID cid s_cid sid ncid ir ref oref eref ns_mchannel ns_campaign ITO wprss custom_click source feedName feedType"
-    " skipmobile skip_mobile altcast_code"
-).split(" ")
+    "fb_action_ids", "fb_action_types", "fb_source", "fb_ref", "action_object_map", "action_type_map", "action_ref_map", "fsrc_fb_noscript", "yclid",
+    "_openstat", "sortPHPSESSID", "PHPSESSIONID", "cid", "s_cid", "sid", "ncid", "ir", "ref", "oref", "eref", "ns_mchannel", "ns_campaign", "ITO",
+    "wprss", "custom_click", "source", "feedName", "feedType", "skipmobile", "skip_mobile", "altcast_code",
+)
 #: Those that are dropped where the host has a certain string in it.
 DROPPED_ON_HOST = {
     "facebook.com": ["ref", "fref", "hc_location"],
@@ -30,16 +30,17 @@ DROPPED_ON_HOST = {
 DROPPED_LABELS = "m|beta|media|data|image|www|cdn|topic|article|news|archive|blog|video|search|preview|login|shop|sports?|act|donate|press|web|photos?|\\d+?"
 #: Sites that carry no news.
 NON_NEWS_DOMAINS = (
-    "archive.org archive.ph booking.com etsy.com flickr.com goodreads.com iheart.com imdb.com instagram.com linkedin.com pinterest.com slideshare.net"
-    " tiktok.com twitter.com whatsapp.com wikidata.org wikimedia.org wikipedia.org youtube.com"
-).split(" ")
+    "archive.org", "archive.ph", "booking.com", "etsy.com", "flickr.com", "goodreads.com", "iheart.com", "imdb.com", "instagram.com", "linkedin.com",
+    "pinterest.com", "slideshare.net", "tiktok.com", "twitter.com", "whatsapp.com", "wikidata.org", "wikimedia.org", "wikipedia.org", "youtube.com",
+)
 
 # ---- end of fixed values ----
 
 #: Hosts that only shorten URLs, unless a longer list is given.
 SHORTENERS = (
-    "bit.ly tinyurl.com goo.gl t.co ow.ly is.gd buff.ly adf.ly j.mp bitly.com rebrand.ly cutt.ly tiny.cc v.gd shorturl.at fb.me lnkd.in dlvr.it ift.tt wp.me youtu.be trib.al"
-).split(" ")
+    "bit.ly", "tinyurl.com", "goo.gl", "t.co", "ow.ly", "is.gd", "buff.ly", "adf.ly", "j.mp", "bitly.com", "rebrand.ly", "cutt.ly", "tiny.cc", "v.gd",
+    "shorturl.at", "fb.me", "lnkd.in", "dlvr.it", "ift.tt", "wp.me", "youtu.be", "trib.al",
+)
 
 _WORD = r"[\p{L}\p{N}_]"
 REPAIRS = (

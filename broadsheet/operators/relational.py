@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.functions import urls
+from broadsheet.functions import content, languages, text, titles, urls
+from broadsheet.plans.dialect import SPARK_SQL
 
 #: Rows of a comparison report, as a report is for reading.
 REPORT_ROWS = 200
@@ -74,16 +75,39 @@ def stage_shares(seconds: DataFrame, stage: str = "stage", value: str = "seconds
     return seconds.groupBy(stage).agg(F.sum(value).alias(value)).crossJoin(F.broadcast(total)).select(stage, value, F.round(100 * F.col(value) / F.col("total"), 2).alias("percent"))
 
 
-def mined_urls(lines: DataFrame, text: str = "value") -> DataFrame:
+def mined_urls(lines: DataFrame, column: str = "value") -> DataFrame:
     """The distinct URLs in quotes in a table of text, but for pictures."""
-    found = lines.select(F.explode(F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>)]+"), 0)).alias("url"))
+    found = lines.select(F.explode(F.regexp_extract_all(column, F.lit(r"https?://[^\s\"'<>)]+"), 0)).alias("url"))
     return found.filter(~F.lower("url").rlike(r"\.jpe?g$")).distinct()
 
 
-def register(spark: SparkSession) -> None:
-    """The functions as SQL functions of a session: temporary SQL UDFs where the engine can inline them."""
-    from broadsheet.functions import content, text
+def stage_counts(records: DataFrame, name: str = "stages") -> tuple[DataFrame, Observation]:
+    """The records, and what is counted as they pass: pages, and those with a date, text, title and language."""
+    seen = Observation(name)
+    filled = {"pub_date": "publication_date", "content": "text_content", "title": "article_title", "language": "language"}
+    return records.observe(seen, F.count(F.lit(1)).alias("total"), *(F.count(c).alias(k) for k, c in filled.items())), seen
+
 
+def register(spark: SparkSession) -> None:
+    """The functions under names that a session's SQL knows: inlined where they are native, Arrow UDFs where not."""
+    on = SPARK_SQL
+    native = {
+        "fix_url": ("STRING", urls.fix_mistakes("x", on)),
+        "normalize_url": ("STRING", urls.normalize("x", on)),
+        "url_hash": ("STRING", urls.url_hash("x", on)),
+        "url_host": ("STRING", urls.host("x", on)),
+        "feed_url": ("STRING", urls.feed_normalize("x", on)),
+        "is_homepage_url": ("BOOLEAN", urls.is_homepage("x", on)),
+        "is_shortened_url": ("BOOLEAN", urls.is_shortened("x", on)),
+        "is_non_news_domain": ("BOOLEAN", urls.is_non_news("x", on)),
+        "strip_tags": ("STRING", text.strip_tags("x", on)),
+        "title_from_html": ("STRING", titles.from_html("x", on=on)),
+        "normalize_title": ("STRING", titles.normalize_title("x", on)),
+        "language_from_tags": ("STRING", languages.from_tags("x", on)),
+        "canonical_url": ("STRING", content.canonical_url("x", on)),
+    }
+    for name, (kind, body) in native.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
     spark.udf.register("strip_tags_exact", text.strip_tags_exact)
     spark.udf.register("unescape_exact", text.unescape_exact)
     spark.udf.register("raw_text", content.raw_text)

@@ -269,8 +269,79 @@ class Duck:
         return f"sha256({x})"
 
 
+class SparkSql(Duck):
+    """SQL text for Spark, for functions that a session knows by name."""
+
+    def lit(self, value: Any) -> str:
+        return str(value) if not isinstance(value, str) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def replace(self, x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, {self.lit(pattern)}, {self.lit(by)})"
+
+    def test(self, x: str, pattern: str) -> str:
+        return f"rlike({x}, {self.lit(pattern)})"
+
+    def concat(self, *xs: str) -> str:
+        return f"concat({', '.join(xs)})"
+
+    def let(self, x: str, body: Callable[[str], str]) -> str:
+        v = self._name()
+        return f"transform(array({x}), {v} -> {body(v)})[0]"
+
+    def left(self, x: str, n: str) -> str:
+        return f"left({x}, {n})"
+
+    def length(self, x: str) -> str:
+        return f"CAST(length({x}) AS BIGINT)"
+
+    def split(self, x: str, sep: str) -> str:
+        return f"split({x}, {self.lit(''.join(f'[{c}]' for c in sep))})"
+
+    def split_on(self, x: str, pattern: str) -> str:
+        return f"split({x}, {self.lit(pattern)})"
+
+    def keep(self, xs: str, test: Callable[[str], str]) -> str:
+        v = self._name()
+        return f"filter({xs}, {v} -> {test(v)})"
+
+    def any(self, xs: str, test: Callable[[str], str]) -> str:
+        v = self._name()
+        return f"exists({xs}, {v} -> {test(v)})"
+
+    def map(self, xs: str, f: Callable[[str], str]) -> str:
+        v = self._name()
+        return f"transform({xs}, {v} -> {f(v)})"
+
+    def sort(self, xs: str) -> str:
+        return f"array_sort({xs})"
+
+    def join(self, xs: str, sep: str) -> str:
+        return f"array_join({xs}, {self.lit(sep)})"
+
+    def size(self, xs: str) -> str:
+        return f"CAST(size({xs}) AS BIGINT)"
+
+    def at(self, xs: str, n: int) -> str:
+        return f"try_element_at({xs}, {n})"
+
+    def sum_after(self, xs: str, n: str, add: int) -> str:
+        v, i, a = self._name(), self._name(), self._name()
+        return f"aggregate(transform(filter({xs}, ({v}, {i}) -> {i} >= {n}), {v} -> {v} + {add}), CAST(0 AS BIGINT), ({a}, {v}) -> {a} + {v})"
+
+    def last_from(self, xs: str, least: int) -> str:
+        v, i = self._name(), self._name()
+        return f"CAST(array_max(transform({xs}, ({v}, {i}) -> CASE WHEN {v} >= {least} THEN {i} + 1 ELSE 0 END)) AS BIGINT)"
+
+    def starts(self, x: str, y: str) -> str:
+        return f"startswith({x}, {y})"
+
+    def sha256(self, x: str) -> str:
+        return f"sha2({x}, 256)"
+
+
 SPARK = Spark()
 DUCK = Duck()
+SPARK_SQL = SparkSql()
 
 
 def rewritten(x: Any, rules: Rules, on: Any = SPARK) -> Any:

@@ -27,12 +27,14 @@ def extract(
     other_metadata: bool = False,
     language_model: dict[str, dict[str, float]] | None = None,
     drop_failed: bool = False,
+    errors: str = "status",
 ) -> DataFrame:
     """The columns of `pages` but the page itself, and the record of each page.
 
     An override replaces an extractor when the plan is built, so that its work is never in the plan; one
     that is null counts. A default stands in where nothing was found. A page whose text is too short or
-    missing keeps its row, with extract_status saying so, unless `drop_failed`.
+    missing keeps its row, with extract_status saying so, unless `drop_failed`; with errors="raise" it fails
+    the query instead.
     """
     given, fallback = dict(overrides or {}), dict(defaults or {})
     if unknown := [*(set(given) - set(OVERRIDES)), *(set(fallback) - set(DEFAULTS))]:
@@ -87,4 +89,7 @@ def extract(
             content.authors(F.regexp_extract(page, r"(?is)<meta[^>]*name=.author.[^>]* content=[\"']([^\"']+)", 1)).alias("authors"),
         )
     out = df.select(*(c for c in keep if c not in fields), *(v.alias(k) for k, v in fields.items()))
+    if errors == "raise":
+        failed = F.raise_error(F.concat(F.lit("no text in "), F.coalesce("original_url", F.lit("a page without a URL")), F.lit(": "), F.col("extract_status")))
+        out = out.withColumn("extract_status", F.when(F.col("extract_status") == content.OK, F.col("extract_status")).otherwise(failed.cast("string")))
     return out.filter(F.col("extract_status") == content.OK) if drop_failed else out

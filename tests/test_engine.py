@@ -55,6 +55,30 @@ def test_overrides_and_defaults(spark):
         extract(p, dt.datetime(2024, 1, 1), overrides={"nothing": F.lit(1)})
 
 
+def test_errors_raise(spark):
+    p = spark.createDataFrame([(1, "http://a.com/x", "<p>short</p>")], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="too_short"):
+        extract(p, dt.datetime(2024, 1, 1), errors="raise").collect()
+
+
+def test_stage_counts(spark):
+    records, seen = relational.stage_counts(queries.QUERIES["extract_flagship"](spark, SF))
+    n = records.count()
+    assert seen.get["total"] == n == 50 and seen.get["title"] == n and seen.get["pub_date"] == 0
+
+
+def test_sql_functions(spark):
+    relational.register(spark)
+    queries._pages(spark, SF).createOrReplaceTempView("pages")
+    got = spark.sql("select normalize_url(url) a, url_hash(url) b, is_homepage_url(url) c, title_from_html(html) d, normalize_title(title_from_html(html)) e, language_from_tags(html) f, feed_url(url) g, raw_text(html) h from pages").collect()
+    p = queries._pages(spark, SF)
+    from broadsheet.functions import languages, titles, urls
+
+    t = titles.from_html(F.col("html"))
+    want = p.select(urls.normalize(F.col("url")), urls.url_hash(F.col("url")), urls.is_homepage(F.col("url")), t, titles.normalize_title(t), languages.from_tags(F.col("html")), urls.feed_normalize(F.col("url"))).collect()
+    assert sorted(tuple(r)[:7] for r in got) == sorted(map(tuple, want))
+
+
 def test_first_of_each_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "id long, k string")
     assert sorted(r.id for r in relational.first_of_each(df, "k", "id").collect()) == [1, 3, 4]
