@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import io
 from html.parser import HTMLParser
 from typing import Any
 
@@ -44,31 +45,23 @@ def unescape(text: Any, on: Any = SPARK) -> Any:
     return rewritten(text, [(f"(?:{name})", char) for name, char in ENTITIES], on)
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.parts: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+class _BetweenTags(HTMLParser):
+    """Keeps what stands between tags. References are not resolved, only closed by a semicolon."""
 
-    def handle_entityref(self, name: str) -> None:
-        self.parts.append(f"&{name};")
-
-    def handle_charref(self, name: str) -> None:
-        self.parts.append(f"&#{name};")
+    def __init__(self, markup: str) -> None:
+        super().__init__(convert_charrefs=False)
+        self.kept = io.StringIO()
+        self.handle_data = self.kept.write
+        self.handle_entityref = lambda name: self.kept.write(f"&{name};")
+        self.handle_charref = lambda number: self.kept.write(f"&#{number};")
+        self.feed(markup)
+        self.close()
 
 
 def without_tags(value: str) -> str:
-    """Parsed until no further tag goes; broken markup that is no tag stays."""
-    while "<" in value and ">" in value:
-        parser = _Text()
-        parser.feed(value)
-        parser.close()
-        left = "".join(parser.parts)
-        if left.count("<") == value.count("<"):
-            break
-        value = left
+    """Parsed again as long as that makes tags go; broken markup that is no tag stays."""
+    while ">" in value and (shorter := _BetweenTags(value).kept.getvalue()).count("<") != value.count("<"):
+        value = shorter
     return value
 
 
