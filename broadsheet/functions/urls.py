@@ -33,15 +33,48 @@ NON_NEWS_DOMAINS = (
     "archive.org", "archive.ph", "booking.com", "etsy.com", "flickr.com", "goodreads.com", "iheart.com", "imdb.com", "instagram.com", "linkedin.com",
     "pinterest.com", "slideshare.net", "tiktok.com", "twitter.com", "whatsapp.com", "wikidata.org", "wikimedia.org", "wikipedia.org", "youtube.com",
 )
-
-# ---- end of fixed values ----
-
-#: Hosts that only shorten URLs, unless a longer list is given.
+#: Hosts that only shorten URLs, unless another list is given. They are compared whole, so that those beginning or ending in a dot meet no host.
 SHORTENERS = (
-    "bit.ly", "tinyurl.com", "goo.gl", "t.co", "ow.ly", "is.gd", "buff.ly", "adf.ly", "j.mp", "bitly.com", "rebrand.ly", "cutt.ly", "tiny.cc", "v.gd",
-    "shorturl.at", "fb.me", "lnkd.in", "dlvr.it", "ift.tt", "wp.me", "youtu.be", "trib.al",
+    ".tk", "0rz.tw", "1link.in", "1url.com", "2.gp", "2big.at", "2pl.us", "2tu.us", "2ya.com", "3.ly", "307.to", "4ms.me", "4sq.com", "4url.cc",
+    "6url.com", "7.ly", "a.gg", "a.nf", "a2a.me", "aa.cx", "abbrr.com", "abcurl.net", "ad.vu", "adf.ly", "adjix.com", "afx.cc", "all.fuseurl.com",
+    "alturl.com", "amzn.to", "ar.gy", "archive.is", "arst.ch", "atu.ca", "azc.cc", "b23.ru", "b2l.me", "bacn.me", "bcool.bz", "binged.it", "bit.ly",
+    "bizj.us", "bkite.com", "bloat.me", "bloom.bg", "bravo.ly", "bsa.ly", "budurl.com", "buk.me", "burnurl.com", "c-o.in", "c212.net", "canurl.com",
+    "chilp.it", "chzb.gr", "cl.lk", "cl.ly", "clck.ru", "cli.gs", "cliccami.info", "clickmeter.com", "clickthru.ca", "clop.in", "conta.cc", "cort.as",
+    "cot.ag", "crks.me", "ctvr.us", "cutt.us", "cuturl.com", "dai.ly", "decenturl.com", "dfl8.me", "digbig.com", "digg.com", "disq.us", "dld.bz",
+    "dlvr.it", "do.my", "doiop.com", "dopen.us", "dwarfurl.com", "dy.fi", "easyuri.com", "easyurl.net", "eepurl.com", "esyurl.com", "eweri.com",
+    "ewerl.com", "fa.b", "fa.by", "fav.me", "fb.me", "fbshare.me", "feeds.feedburner.com", "ff.im", "fff.to", "fhurl.com", "fire.to", "firsturl.de",
+    "firsturl.net", "flic.kr", "flq.us", "fly2.ws", "fon.gs", "freak.to", "fuseurl.com", "fuzzy.to", "fwd4.me", "fwib.net", "g.ro.lt", "gizmo.do",
+    "gl.am", "go.9nl.com", "go.ign.com", "go.usa.gov", "go2.me", "go2cut.com", "goo.gl", "goshrink.com", "gowat.ch", "gri.ms", "gurl.es",
+    "hellotxt.com", "hex.io", "hiderefer.com", "hmm.ph", "hover.com", "href.in", "hsblinks.com", "htxt.it", "huff.to", "hugeurl.com", "hulu.com",
+    "hurl.it", "hurl.me", "hurl.ws", "icanhaz.com", "idek.net", "ihe.art", "ilix.in", "inreply.to", "is.gd", "iscool.net", "iterasi.net", "its.my",
+    "ix.lt", "j.mp", "jijr.com", "jmp2.net", "just.as", "kissa.be", "kl.am", "klck.me", "korta.nu", "krunchd.com", "l9k.net", "lat.ms", "liip.to",
+    "liltext.com", "lin.cr", "linkbee.com", "linkbun.ch", "liurl.cn", "ln-s.net", "ln-s.ru", "lnk.gd", "lnk.in", "lnk.ms", "lnkd.in", "lnkurl.com",
+    "loopt.us", "lru.jp", "lt.tl", "lurl.no", "macte.ch", "mash.to", "merky.de", "metamark.net", "migre.me", "minilien.com", "miniurl.com",
+    "minurl.fr", "mke.me", "moby.to", "moourl.com", "mrte.ch", "myloc.me", "myurl.in", "n.pr", "nbc.co", "nblo.gs", "ne1.net", "njx.me", "nn.nf",
+    "not.my", "notlong.com", "nsfw.in", "nutshellurl.com", "nxy.in", "nyti.ms", "o-x.fr", "oc1.us", "om.ly", "omf.gd", "omoikane.net", "on.cnn.com",
+    "on.mktw.net", "onforb.es", "orz.se", "ow.ly", "pd.am", "pic.gd", "ping.fm", "piurl.com", "pli.gs", "pnt.me", "politi.co", "poprl.com", "post.ly",
+    "posted.at", "pp.gg", "profile.to", "ptiturl.com", "pub.vitrue.com", "qicute.com", "qlnk.net", "qte.me", "qu.tc", "quip-art.com", "qy.fi", "r.im",
+    "rb6.me", "read.bi", "readthis.ca", "reallytinyurl.com", "redir.ec", "redirects.ca", "redirx.com", "retwt.me", "ri.ms", "rickroll.it", "riz.gd",
+    "rsmonkey.com", "rt.nu", "ru.ly", "rubyurl.com", "rurl.org", "rww.tw", "s4c.in", "s7y.us", "safe.mn", "sameurl.com", "sdut.us", "shar.es",
+    "sharein.com", "sharetabs.com", "shink.de", "shorl.com", "short.ie", "short.to", "shortlinks.co.uk", "shortna.me", "shorturl.com", "shoturl.us",
+    "shout.to", "show.my", "shrinkify", "shrinkify.com", "shrinkr.com", "shrinkster.com", "shrt.fr", "shrt.st", "shrten.com", "shrunkin.com",
+    "shw.me", "simurl.com", "slate.me", "smallr.com", "smsh.me", "smurl.name", "sn.im", "snipr.com", "snipurl.com", "snurl.com", "sp2.ro",
+    "spedr.com", "sqrl.it", "srnk.net", "srs.li", "starturl.com", "sturly.com", "su.pr", "surl.co.uk", "surl.hu", "t.cn", "t.co", "t.lh.com", "ta.gd",
+    "tbd.ly", "tcrn.ch", "tgr.me", "tgr.ph", "thrdl.es", "tighturl.com", "tiniuri.com", "tiny.cc", "tiny.ly", "tiny.pl", "tiny123.com", "tinyarro.ws",
+    "tinylink.in", "tinytw.it", "tinyuri.ca", "tinyurl.com", "tinyvid.io", "tk.", "tl.gd", "tmi.me", "tnij.org", "tnw.to", "tny.com", "to.", "to.ly",
+    "togoto.us", "totc.us", "toysr.us", "tpm.ly", "tr.im", "tr.my", "tra.kz", "traceurl.com", "trib.al", "trunc.it", "turo.us", "tweetburner.com",
+    "tweetphoto", "twhub.com", "twirl.at", "twit.ac", "twitclicks.com", "twitterpan.com", "twitterurl.net", "twitterurl.org", "twitthis.com",
+    "twiturl.de", "twurl.cc", "twurl.nl", "u.mavrev.com", "u.nu", "u6e.de", "u76.org", "ub0.cc", "ulu.lu", "updating.me", "ur1.ca", "url.az",
+    "url.co.uk", "url.ie", "url360.me", "url4.eu", "urlao.com", "urlborg.com", "urlbrief.com", "urlcover.com", "urlcut.com", "urlenco.de",
+    "urlhawk.com", "urli.nl", "urlkiss.com", "urlot.com", "urlpire.com", "urls.im", "urlshorteningservicefortwitter.com", "urlx.ie", "urlx.org",
+    "urlzen.com", "usat.ly", "use.my", "vb.ly", "vgn.am", "virl.com", "vl.am", "vm.lc", "w3t.org", "w55.de", "wapo.st", "wapurl.co.uk", "wipi.es",
+    "wp.me", "x.se", "x.vu", "xaddr.com", "xeeurl.com", "xr.com", "xrl.in", "xrl.us", "xurl.es", "xurl.jp", "xzb.cc", "y.ahoo.it", "yatuc.com",
+    "ye.pe", "yep.it", "yfrog.com", "yhoo.it", "yiyd.com", "youtu.be", "yuarel.com", "yweb.com", "z0p.de", "zi.ma", "zi.mu", "zi.pe", "zipmyurl.com",
+    "zud.me", "zurl.ws", "zz.gd", "zzang.kr", "›.ws", "✩.ws", "✿.ws", "❥.ws", "➔.ws", "➞.ws", "➡.ws", "➨.ws", "➯.ws", "➹.ws", "➽.ws",
 )
 
+# ---- end of fixed values ----
+
 _WORD = r"[\p{L}\p{N}_]"
 REPAIRS = (
     (r"(?i)(https?://)https?:?//", "$1"),

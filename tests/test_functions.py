@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions import content, dates, domains, languages, text, titles, urls
+from broadsheet.operators import relational
 
 
 def values(spark, f, inputs):
@@ -120,6 +121,15 @@ def test_predicates(spark):
     check(spark, urls.is_non_news, [("tiktok.com", True), ("en.Wikipedia.org", True), ("cnn.com", False), ("nottiktok.com", False), (None, None)])
 
 
+def test_all_shorteners(spark):
+    assert len(set(urls.SHORTENERS)) == 429
+    hosts = ["4sq.com", "alturl.com", "binged.it", "0rz.tw", "migre.me", "snipurl.com"]
+    check(spark, urls.is_shortened, [(f"http://{h}/a-b", True) for h in hosts] + [("http://shorturls.example/a-b", False)])
+    check(spark, urls.is_homepage, [(f"http://{h}/ab", False) for h in hosts])
+    df = spark.createDataFrame([(h.upper(),) for h in hosts] + [("example.com",)], "host string")
+    assert sorted(r.host for r in relational.only_shortened(df, F.col("host")).collect()) == sorted(h.upper() for h in hosts)
+
+
 def test_feed(spark):
     check(
         spark,
