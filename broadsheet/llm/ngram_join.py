@@ -8,7 +8,8 @@ size at which lists become cheaper than subsets is computed from the counts.
 
 Pairs from short lists are checked by a bitmap that never rejects a link. Members of long lists are only
 tied to the list's first member. What hangs together is then compared in full, in blocks of bounded
-size, and a block gives back no more links than make its components: no step makes all pairs of a group.
+size. A block gives back the links that make its components, and for every node the number of documents
+it is linked with there: every link is counted, though no step writes out all pairs of a group.
 """
 
 from __future__ import annotations
@@ -253,8 +254,9 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), pa.array([b[i] for i in at], pa.int64())], ["a", "b"])
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between nodes marked left and nodes marked right, as many as make their components."""
+def forest(nodes: list[int], sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between nodes marked left and nodes marked right, as many as make their components; and for
+    every node the copies of all others that it is linked with. The marks are equal or have no node in common."""
     up = list(range(len(nodes)))
 
     def root(i: int) -> int:
@@ -269,6 +271,7 @@ def forest(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np
     order = np.argsort(token, kind="stable")
     by_token, begin = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
     ends, out = np.cumsum(sizes), []
+    total, across = np.zeros(len(sets), np.int64), not (left & right).any()
     for i in np.flatnonzero(left):
         mine = token[ends[i] - sizes[i] : ends[i]]
         low, length = begin[mine], begin[mine + 1] - begin[mine]
@@ -278,42 +281,55 @@ def forest(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np
             continue
         step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         overlap = np.bincount(by_token[np.repeat(low, length) + step], minlength=len(sets))
-        for j in np.flatnonzero(right & (100 * overlap >= 80 * (sizes[i] + sizes - overlap))):
+        to = right & (100 * overlap >= 80 * (sizes[i] + sizes - overlap))
+        to[i] = False
+        total[i] += copies[to].sum()
+        if across:
+            total[to] += copies[i]
+        for j in np.flatnonzero(to):
             a, b = root(i), root(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
                 out.append((nodes[i], nodes[j]))
-    return out
+    return out, total
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each block pair, from rows (cluster, low, high, block, node, set) in order of the first three."""
+    """Of each block pair the links (a, b, null) that make its components, and the links of each node, (a, null, linked).
 
-    def links(rows: list[tuple[int, int, bytes]], low: int, high: int) -> pa.RecordBatch:
-        once = {(node): (block, tokens) for block, node, tokens in rows}
+    Rows are (cluster, low, high, block, node, copies, set) in order of the first three.
+    """
+
+    def links(rows: list[tuple[int, int, int, bytes]], low: int, high: int) -> pa.RecordBatch:
+        once = {node: (block, copies, tokens) for block, node, copies, tokens in rows}
         nodes = sorted(once)
-        block = np.array([once[x][0] for x in nodes])
-        found = forest(nodes, [np.frombuffer(once[x][1], np.uint64) for x in nodes], block == low, block == high)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        block, copies = (np.array([once[x][k] for x in nodes]) for k in range(2))
+        found, total = forest(nodes, [np.frombuffer(once[x][2], np.uint64) for x in nodes], copies, block == low, block == high)
+        some = np.flatnonzero(total)
+        a, b = [x for x, _ in found] + [nodes[i] for i in some], [y for _, y in found] + [None] * len(some)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + total[some].tolist(), pa.int64())], ["a", "b", "linked"])
 
     held, key = [], None
     for batch in batches:
-        for cluster, low, high, block, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for cluster, low, high, block, node, copies, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (cluster, low, high) != key:
                 if len(held) > 1:
                     yield links(held, *key[1:])
                 held, key = [], (cluster, low, high)
-            held.append((block, node, tokens))
+            held.append((block, node, copies, tokens))
     if len(held) > 1:
         yield links(held, *key[1:])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id and group_size (rows with an equal set).
+    """One row per row of `docs`: id, n_shingles, component_id, class_id, group_size and n_links.
+
+    class_id is the smallest id of the rows with an equal set, and group_size their number; n_links is the
+    number of other rows that a row is linked with, those with an equal set among them.
 
     A-Z are lower-cased; words are runs of characters outside [\\x20\\x09-\\x0D]; a text of fewer than
     WORDS words has its whole sequence as one shingle. Null texts and texts without words have no shingle
-    and are linked with nothing: their component_id is their own id, as it is for null ids without links.
+    and are linked with nothing: their component_id and class_id are their own id, as for null ids without links.
     Shingles and sets are compared by 64-bit hashes. Rows that share an id are documents of their own.
     Other columns are not read. An empty table gives an empty result.
     """
@@ -333,32 +349,41 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     wanted = cut(
         clusters.join(blocks, "cluster")
-        .join(nodes.select("node", "first_id"), "node")
-        .select("node", "cluster", "first_id", "blocks", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("block"))
+        .join(nodes.select("node", "first_id", "copies"), "node")
+        .select("node", "cluster", "first_id", "copies", "blocks", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("block"))
     )
     few = wanted.count() <= SENT_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(wanted["first_id"])).select("cluster", "blocks", "block", "node", "text_")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(wanted["first_id"])).select("cluster", "blocks", "block", "node", "copies", "text_")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cluster, n, block, node = (np.asarray(batch.column(i)) for i in range(4))
+            cluster, n, block, node, copies = (np.asarray(batch.column(i)) for i in range(5))
             at, tokens = [], []
-            for i, k, t in sets_of(batch.column(4), WORDS):
+            for i, k, t in sets_of(batch.column(5), WORDS):
                 if k == node[i] and len(t):  # an id may stand before other texts too
                     at.append(i)
                     tokens.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cluster[at]), pa.array(n[at]), pa.array(block[at]), pa.array(node[at]), pa.array(tokens, pa.binary())], ["cluster", "blocks", "block", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(cluster[at]), pa.array(n[at]), pa.array(block[at]), pa.array(node[at]), pa.array(copies[at]), pa.array(tokens, pa.binary())], ["cluster", "blocks", "block", "node", "copies", "tokens"])
 
-    full = texts.mapInArrow(again, "cluster long, blocks int, block int, node long, tokens binary")
+    full = texts.mapInArrow(again, "cluster long, blocks int, block int, node long, copies long, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = full.select("cluster", "block", "node", "tokens", other.alias("other")).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "tokens")
-    links = dealt.repartition(parts, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(compare, "a long, b long")
-    roots = components(links)
+    dealt = full.select("cluster", "block", "node", "copies", "tokens", other.alias("other")).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "tokens")
+    compared = cut(dealt.repartition(parts, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(compare, "a long, b long, linked long"))
+    roots = components(compared.filter("b is not null").select("a", "b"))
+    linked_with = compared.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"))
     named = roots.join(least, "root").select("node", "component")
-    groups = nodes.join(named, "node", "left").select("node", F.coalesce("component", "first_id").alias("component"), "copies")
-    got = lookup(sets.select("doc_id", "n", "node"), groups, "node", "copies", ["component", "copies"])
-    return got.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"))
+    links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links")
+    groups = nodes.join(named, "node", "left").join(linked_with, "node", "left").select("node", F.coalesce("component", "first_id").alias("component"), F.col("first_id").alias("class"), "copies", links)
+    got = lookup(sets.select("doc_id", "n", "node"), groups, "node", "copies", ["component", "class", "copies", "links"])
+    return got.select(
+        F.col("doc_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("class", "doc_id").alias("class_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,25 @@ def test_as_all_pairs(spark, monkeypatch, short, block, small):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("short,block", [(48, 512), (3, 5)])
+def test_links_as_all_pairs(spark, monkeypatch, short, block):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = corpus(short + 1, 260)
+    sets = []
+    for _, text in docs:
+        w = [x for x in words_of(text) if x]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    want = []
+    for i, (doc_id, _) in enumerate(docs):
+        others = [s for j, s in enumerate(sets) if j != i and sets[i] and 100 * len(sets[i] & s) >= 80 * len(sets[i] | s)]
+        same = [d for (d, _), s in zip(docs, sets) if s == sets[i] and d is not None] if sets[i] else [doc_id]
+        want.append((doc_id, min(same, default=None), len(others), others.count(sets[i]) + 1))
+    assert any(n > size for _, _, n, size in want)
+    got = jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.group_size) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_ids_sent_or_joined(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SENT_IDS", -1)
     docs = corpus(9, 150)
