@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import PreTokenizedString, Tokenizer
 
 from broadsheet.llm.common import table
 
@@ -32,10 +32,12 @@ LIMIT = 2048
 REMEMBERED = 300_000
 #: Letters of a word whose table is kept for other words that begin alike.
 HEAD = 6
-#: Characters whose classes are the same in every version of Unicode: up to U+024F. Texts with
-#: others, or with the separators U+001C to U+001F, go to the library as a whole.
+#: Characters whose classes are the same in every version of Unicode: up to U+024F. Runs without blanks
+#: that have others, or the separators U+001C to U+001F, are cut into pieces by the library.
 UNSURE = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
+#: No piece and no normal form reaches over these blanks.
+RUN = re.compile("[^ \t-\r]+")
 END = "</w>"
 
 
@@ -79,7 +81,9 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.fits = Remembered(self._fits)
         self.head = Remembered(lambda word: self._stems(word, [""], [0]))
-        self.count_piece = Remembered(self._count_piece)
+        self.count_piece = Remembered(lambda piece: self._count_word(self.spelt(piece)))
+        self.count_word = Remembered(self._count_word)
+        self.count_run = Remembered(self._count_run)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE by its definition: the best-ranked pair first, from the left."""
@@ -135,8 +139,7 @@ class PrefixCounter:
         """A piece in byte letters."""
         return piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
 
-    def _count_piece(self, piece: str) -> int:
-        word = self.spelt(piece)
+    def _count_word(self, word: str) -> int:
         last, count = self.stems(word[:-1])
         return self.ended(word, len(word), last, count)
 
@@ -151,44 +154,94 @@ class PrefixCounter:
             counts.append(self.ended(word, at, last, count) if cut == [piece[:k]] else sum(map(self.count_piece.__getitem__, cut)))
         return counts
 
-    def steps(self, text: str) -> list[tuple[int, int, int]]:
-        """The stored table: (start, end, tokens so far) of every piece, in code points of the text."""
-        out, total = [], 0
-        if UNSURE.search(text) or not unicodedata.is_normalized("NFC", text):
-            for start, end in self.library.encode(text, add_special_tokens=False).offsets:
-                total += 1
-                out.append((start, end, total))
-            return out
-        at = 0
+    def normal(self, text: str) -> str:
+        """The library's normal form."""
+        return self.library.normalizer.normalize_str(text)
+
+    def pieces(self, run: str) -> list[tuple[str, int, int]]:
+        """The library's pieces of a run: each in byte letters, with its start and end in code points of the run."""
+        made = PreTokenizedString(run)
+        made.normalize(self.library.normalizer.normalize)
+        self.library.pre_tokenizer.pre_tokenize(made)
+        return [(word, *at) for word, at, _ in made.get_splits("original", "char") if word]
+
+    def _count_run(self, run: str) -> int:
+        return sum(self.count_word[word] for word, _, _ in self.pieces(run))
+
+    def table(self, text: str) -> Iterator[tuple[int, int, int, tuple[int, int]]]:
+        """(start, end, tokens so far) of every piece, and where the run or special token begins and ends that it is in."""
+        total = at = 0
         for i, part in enumerate(self.special.split(text)):
             if i % 2:
                 total += 1
-                out.append((at, at + len(part), total))
+                yield at, at + len(part), total, (at, at + len(part))
             else:
-                for m in PIECE.finditer(part.lower()):
-                    total += self.count_piece[m[0]]
-                    out.append((at + m.start(), at + m.end(), total))
+                for m in RUN.finditer(part):
+                    low, high = at + m.start(), at + m.end()
+                    if sure(m[0]):
+                        for x in PIECE.finditer(m[0].lower()):
+                            total += self.count_piece[x[0]]
+                            yield low + x.start(), low + x.end(), total, (low, high)
+                    else:
+                        for word, start, end in self.pieces(m[0]):
+                            total += self.count_word[word]
+                            yield low + start, low + end, total, (low, high)
             at += len(part)
-        return out
+
+    def steps(self, text: str) -> list[tuple[int, int, int]]:
+        """The stored table: (start, end, tokens so far) of every piece, in code points of the text."""
+        return [row[:3] for row in self.table(text)]
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        if UNSURE.search(text) or not unicodedata.is_normalized("NFC", text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
         parts = self.special.split(text) if "<|" in text else [text]
-        return len(parts) // 2 + sum(sum(map(self.count_piece.__getitem__, PIECE.findall(part.lower()))) for part in parts[::2])
+        if sure(text):
+            return len(parts) // 2 + sum(sum(map(self.count_piece.__getitem__, PIECE.findall(part.lower()))) for part in parts[::2])
+        total = len(parts) // 2
+        for part in parts[::2]:
+            for run in RUN.findall(part):
+                total += sum(map(self.count_piece.__getitem__, PIECE.findall(run.lower()))) if sure(run) else self.count_run[run]
+        return total
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix, all pieces before its last one being whole, that has at most `budget` tokens."""
-        steps, before, at = self.steps(text), 0, 0
-        for start, end, total in steps:
+        """Code points of the longest prefix that has at most `budget` tokens."""
+        before, base, run = 0, 0, (0, 0)
+        for start, end, total, (low, high) in self.table(text):
+            if (low, high) != run:
+                base, run = before, (low, high)
             if total > budget:
-                if total - before == 1 or UNSURE.search(text):
+                if self.special.fullmatch(text, low, high):
                     return start
-                counts = self.prefixes_of_piece(text[start:end].lower())
-                return start + max((k for k, c in enumerate(counts) if before + c <= budget), default=0)
-            before, at = total, end
-        return len(text) if steps or not text else max(at, len(text))
+                if sure(text[low:high]):
+                    counts = self.prefixes_of_piece(text[start:end].lower())
+                    return start + max((k for k, c in enumerate(counts) if before + c <= budget), default=0)
+                return low + self._longest_of_run(text[low:high], start - low, end - low, before - base, budget - base)
+            before = total
+        return len(text)
+
+    def _longest_of_run(self, run: str, start: int, end: int, before: int, room: int) -> int:
+        """The longest prefix of a run that has at most `room` tokens; the piece from start to end is the first beyond it."""
+        normal, letters = self.normal(run), [self.normal(c) for c in run]
+        if len(normal) == len(run) and "".join(letters) == normal:
+            piece = normal[start:end]
+            if sure(piece):
+                counts = self.prefixes_of_piece(piece)
+            else:
+                word, at, counts = self.spelt(piece), 0, [0]
+                last, count = self.stems(word)
+                for letter in piece:
+                    at += len(letter.encode())
+                    counts.append(self.ended(word, at, last, count))
+            return start + max((k for k, c in enumerate(counts) if before + c <= room), default=0)
+        # letters that the normal form joins, reorders or makes more of: every prefix by itself
+        while end < len(run) and self.normal(run[:end]) + self.normal(run[end:]) != normal:
+            end += 1
+        return next(k for k in range(end, -1, -1) if self._count_run(run[:k]) <= room)
+
+
+def sure(text: str) -> bool:
+    """Whether PIECE cuts a text as the library does."""
+    return not UNSURE.search(text) and unicodedata.is_normalized("NFC", text)
 
 
 @functools.lru_cache(4)

@@ -86,6 +86,21 @@ def test_token_counts_are_the_librarys(spark):
         assert len(of.library.encode((t or "")[: g.limit_chars], add_special_tokens=False).ids) <= 3
 
 
+def test_longest_prefix_of_any_text():
+    of = token_count.counter(public_tokenizers.path(token_count.TOKENIZER))
+    n = lambda s: len(of.library.encode(s, add_special_tokens=False).ids)
+    r = random.Random(8)
+    parts = ["internationalization", "the", " ", " ", "\n", "\u2003", "’s", "don't", "'LL", "“", "…", "—", "€", "é", "e\u0301", "a\u0315\u0302", "\u1112\u1161\u11ab", "İ", "Σ", "Привет", "日本語", "ﬁ", "\u212a", "9", "٣", "\x1c", "\U0001f600", "<|endoftext|>", "\xa0", "tion"]
+    for _ in range(1200):
+        s = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        counts = [n(s[:k]) for k in range(len(s) + 1)]
+        assert of.count(s) == counts[-1] == max((x[2] for x in of.steps(s)), default=0), repr(s)
+        for budget in (0, 1, 2, 3, 5, 8):
+            assert of.longest_prefix(s, budget) == max(k for k, c in enumerate(counts) if c <= budget), (s, budget)
+    s = "— " + "unbelievably internationalization " * 300
+    assert of.longest_prefix(s, 100) == max(k for k in range(1600) if n(s[:k]) <= 100) < 1599
+
+
 # ---- URL filter ----
 
 
