@@ -68,12 +68,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element; children are nodes and strings in order of the page."""
 
-    __slots__ = ("attributes", "children", "name", "parent", "points", "sizes")
+    __slots__ = ("attributes", "children", "doubt", "name", "parent", "points", "sizes")
 
     def __init__(self, name: str, attributes: str, parent: Node | None) -> None:
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
+        self.doubt = 0  # 1 if its names speak of furniture and of articles, 2 if they rather mean a part beside one
         self.sizes = (0, 0)  # code points of its text, and of that in links
 
 
@@ -145,7 +146,10 @@ def marks(node: Node) -> dict[str, str]:
 
 
 def is_around(node: Node) -> bool:
-    """Whether an element is furniture by its tag, role, class or id."""
+    """Whether an element is furniture by its tag, role, class or id.
+
+    Articles, and elements that are named by words of articles too, are left to the points, and marked.
+    """
     if node.name in DROPPED:
         return True
     if node.name == "header":  # one inside an article is its headline's
@@ -162,7 +166,14 @@ def is_around(node: Node) -> bool:
         return True
     words = {w.lower() for w in WORD.findall(f"{has.get('class', '')} {has.get('id', '')}")}
     found = words & AROUND
-    return bool(found) and not words & BESIDE and (not words & WITHIN or not found <= WEAK)
+    if not found or words & BESIDE or words & WITHIN and found <= WEAK:
+        return False
+    if node.name != "article" and not words & WITHIN:
+        return True
+    # "post-content" is content, "post-comments" are comments; what stands after "--" is a variant
+    last = {w[-1].lower() for name in re.split(r"\s+|--", f"{has.get('class', '')} {has.get('id', '')}") if (w := WORD.findall(name))}
+    node.doubt = 1 if last & WITHIN else 2
+    return False
 
 
 def prune(root: Node) -> None:
@@ -232,7 +243,7 @@ def best(root: Node) -> list[Node]:
         return [root]
     articles = [n for n in nodes(root) if n.name in ("article", "main") and n.sizes[0]]
     for node in scored:
-        node.points *= (1 - density(node)) * {"article": 2.0, "main": 1.5, "html": 0.5, "#root": 0.4, "body": 0.8}.get(node.name, 1.0)
+        node.points *= (1 - density(node)) * {"article": 2.0, "main": 1.5, "html": 0.5, "#root": 0.4, "body": 0.8}.get(node.name, 1.0) * (0.75 if node.doubt else 1.0)
     top = max(scored, key=lambda n: n.points)
     # a page's own article or main element that holds the winner, or that the winner holds alone, is the whole of it
     inside = top
@@ -291,7 +302,7 @@ def blocks(kept: list[Node]) -> list[str]:
                 line.append(c)
             elif c.name == "br":
                 line.append(" ")
-            elif c not in kept and is_link_list(c):
+            elif c not in kept and (is_link_list(c) or c.doubt == 2 and c.sizes[0] < 0.5 * top.sizes[0]):
                 end()
             else:
                 block = c.name in BLOCKS

@@ -204,6 +204,25 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div class="elementor-widget elementor-widget-theme-post-content">',
+        '<article class="post comments-open">',
+        '<article class="promo">',
+        '<div class="article-body paywall">',
+        '<div class="article-body-paywall">',
+        '<div class="post__content--sponsored" id="overlay">',
+        '<section class="story widget">',
+    ],
+)
+def test_html_articles_with_names_of_furniture(opening):
+    body = [f"Paragraph {i} of the article, long enough, with commas, and so on, for it to be taken as its text." for i in range(4)]
+    inner = "".join(f"<p>{b}</p>" for b in body) + '<div class="post-comments"><p>A comment, not of the article, but below it.</p></div>'
+    page = f'<body><div class="menu"><a href=/>Home</a></div><div class="wrap">{opening}{inner}</{opening[1:].split()[0]}><div class="sidebar widget"><p>Other things, to read, elsewhere.</p></div></div></body>'
+    assert html_extract.main_text(page) == "\n".join(body)
+
+
 def test_html_of_the_tables(spark):
     """Pages of the tables mark their article, so that its blocks can be read off."""
     import html
