@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.plans.dialect import SPARK, found
@@ -16,8 +16,8 @@ from broadsheet.plans.dialect import SPARK, found
 _DC = r"(?is)<meta[^>]* (?:name|property)=.dc\.language.[^>]* content=\"([^\"]+)\""
 _HTTP = r"(?is)<meta[^>]* (?:http-equiv)=.Content-Language.[^>]* content=\"([^\"]+)\""
 _HTML = r"(?is)<html[^>]* (?:xml:lang|lang)=\"([^\"]+)\""
-#: Rows of each language that a classifier is fitted on at most, and characters of each that it takes.
-TRAIN_ROWS, TRAIN_CHARS = 400, 4000
+#: Rows of each language that a classifier is fitted on at most.
+TRAIN_ROWS = 400
 #: Different trigrams kept of each language.
 TRIGRAMS = 3000
 
@@ -44,12 +44,12 @@ def _trigrams(text: str) -> Counter[str]:
 
 
 def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, float]]:
-    """Log probabilities of trigrams by language, from a bounded number of rows of each."""
-    langs = [r[0] for r in texts.select(lang_col).distinct().orderBy(lang_col).limit(200).collect() if r[0]]
+    """Log probabilities of trigrams by language, from TRAIN_ROWS whole texts of each, the first by a hash."""
+    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col))
+    rows = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.row_number().over(first).alias("k")).filter(F.col("k") <= TRAIN_ROWS)
     counts: dict[str, Counter[str]] = {}
-    for lang in langs:
-        rows = texts.filter(F.col(lang_col) == lang).select(F.left(text_col, F.lit(TRAIN_CHARS)).alias("t")).orderBy(F.xxhash64("t")).limit(TRAIN_ROWS)
-        counts[lang] = sum((_trigrams(r.t) for r in rows.collect() if r.t), Counter())
+    for r in rows.toLocalIterator():
+        counts.setdefault(r.l, Counter()).update(_trigrams(r.t or ""))
     model = {}
     for lang, n in counts.items():
         total = sum(n.values()) + TRIGRAMS

@@ -237,6 +237,12 @@ def test_language_model(spark):
     assert languages.classify(model, "") is None and languages.classify(model, None) is None
 
 
+def test_language_model_of_all_languages_and_whole_texts(spark):
+    df = spark.createDataFrame([(f"l{i:03}", "aaa bbb " * 600 if i != 230 else "aaa " * 1200 + "zyx " * 2000) for i in range(231)] + [(None, "x"), ("", "x")], "lang string, text string")
+    model = languages.train(df)
+    assert len(model) == 231 and languages.classify(model, "zyx zyx") == "l230"
+
+
 @pytest.mark.parametrize(
     "page,url,expected",
     [
