@@ -12,27 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm import zdict
-from broadsheet.llm.common import table
-
-#: Training takes texts of at most so many code points; all texts are scored whole.
-TRAIN_CHARS = 20_000
+from broadsheet.llm.common import cut, table
 
 
 @dataclass(frozen=True)
 class Task:
-    """What a classifier learns and from how much: `rows` labelled rows of each kind at most."""
+    """What a classifier learns and from how much.
+
+    rows: labelled rows of each kind at most. pieces: windows of zdict.WINDOW bytes that each kind's
+    dictionary is made from at most; these are all of the texts that the driver ever holds. dictionary:
+    bytes of each, and of a trained one's segments; 0 for text as it stands.
+    """
 
     label: str
     normal: str
-    inner_space: bool
+    measure: str
     rows: tuple[int, int]
+    pieces: tuple[int, int]
+    dictionary: tuple[tuple[int, int], tuple[int, int]]
     folds: int
     held: int
     prior: float
 
 
-TOXICITY = Task(label="toxic", normal="words", inner_space=False, rows=(4000, 2500), folds=5, held=0, prior=0.1)
-QUALITY = Task(label="quality", normal="raw", inner_space=True, rows=(2500, 4000), folds=3, held=1, prior=0.9)
+TOXICITY = Task(label="toxic", normal="words", measure="distances", rows=(6000, 4000), pieces=(1 << 14, 1 << 17), dictionary=((1 << 20, 0), (1 << 15, 12)), folds=5, held=0, prior=0.1)
+QUALITY = Task(label="quality", normal="raw", measure="sizes", rows=(4000, 4000), pieces=(1 << 17, 1 << 17), dictionary=((1 << 15, 16), (1 << 15, 16)), folds=3, held=1, prior=0.9)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -43,9 +47,12 @@ def fold(id_col: str, folds: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text") -> zdict.Model:
     """A model from a bounded sample: of each label the `rows` first by a hash of the id, outside the held-out fold.
 
-    The bound, at 80 bytes a character and with TRAIN_CHARS, holds the driver to a known size; the rows
-    drawn do not depend on how the tables are laid out. Rows with null ids or labels teach nothing; of an
-    id labelled twice the larger label counts. Without labels the model gives every text the prior.
+    Texts of the sample are whole and stay on the workers. Four fifths of them are cut into windows, of
+    which the `pieces` first of each label by a hash come to the driver to make the dictionaries; the
+    others are measured on the workers, and a few numbers of each come to calibrate. What is drawn does
+    not depend on how the tables are laid out. Rows with null ids or labels teach nothing; of an id
+    labelled twice the larger label counts, and of an id that several documents bear the least text.
+    Without labels the model gives every text the prior.
     """
     known = (
         labels.filter(F.col(id_col).isNotNull() & F.col(task.label).isin(0, 1) & (fold(id_col, task.folds) != task.held))
@@ -55,20 +62,42 @@ def learn(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id"
     count = {r["label_"]: r["n"] for r in known.groupBy("label_").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [known.filter(F.col("label_") == k).orderBy(F.xxhash64("id_"), "id_").limit(n) for k, n in enumerate(task.rows)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # sum(rows) ids at most
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).filter(F.length("text_") <= TRAIN_CHARS)
-    # an id that many rows of the documents bear counts once
-    rows = texts.join(chosen, "id_").groupBy("id_", "label_").agg(F.min("text_").alias("text_")).collect()
-    rows.sort(key=lambda r: str(r["id_"]))
-    return zdict.fit([r["text_"] for r in rows], [r["label_"] for r in rows], task.normal, task.inner_space, (count.get(0, 0), count.get(1, 0)), task.prior)
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
+    sample = cut(texts.join(chosen, "id_").groupBy("id_", "label_").agg(F.min("text_").alias("text_")).select("label_", "text_"))
+    normal = zdict.NORMAL[task.normal]
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = normal(text or "")
+                if zdict.teaches(b) and (pieces := sorted(set(zdict.windows(b)))):
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["label_", "piece"])
+
+    pieces = sample.mapInArrow(cut_up, "label_ int, piece binary").distinct()
+    first = [pieces.filter(F.col("label_") == k).orderBy(F.xxhash64("piece"), "piece").limit(n).select("piece") for k, n in enumerate(task.pieces)]
+    held = [[bytes(r["piece"]) for r in rows.collect()] for rows in first]  # pieces of WINDOW bytes
+    zero, one = (zdict.trained(p, size, segment) if segment else zdict.plain(p, size) for p, (size, segment) in zip(held, task.dictionary, strict=True))
+    model = zdict.Model(task.normal, task.measure, zero, one)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # of the dictionaries' size
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(label, normal(text or "")) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(label, zdict.digest(b), zdict.MEASURES[task.measure](sent.value, b)) for label, b in rows if not zdict.teaches(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, (pa.int32(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["label_", "key", "x"])
+
+    seen = {bytes(r["key"]): r for r in sample.mapInArrow(measure, "label_ int, key binary, x array<double>").orderBy("key", "label_").collect()}  # a few numbers of each row
+    return zdict.calibrated(model, [r["x"] for r in seen.values()], [r["label_"] for r in seen.values()], (count.get(0, 0), count.get(1, 0)), task.prior)
 
 
 def scored(docs: DataFrame, model: zdict.Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of `docs`, score and predicted. Null texts count as empty."""
     rows = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("text_"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # of the dictionaries' size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [zdict.score(model, t.as_py()) for t in batch.column(len(keep))]
+            scores = [zdict.score(sent.value, t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep, "score", "predicted"])
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -87,11 +116,11 @@ def classify(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_
 
 def keep_zeros(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not predicted as label 1, with all their columns; see classify()."""
-    model = learn(docs, labels, task, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, task, id_col, text_col))
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: zdict.score(model, t)).astype(float)
+        return texts.map(lambda t: zdict.score(sent.value, t)).astype(float)
 
     return docs.filter(scores(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < 0.5)
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: A broadcast lookup takes at most this many of the heaviest keys.
 HEAVY_KEYS = 1000
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/broadsheet-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see. On one machine, as in tests, one of our own will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
-    The folder is the one that spark.checkpoint.dir names; one of our own is set only where the
-    session has none.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder and read from there, so that lost executors cost no more than their tasks."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -48,13 +52,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, values: Seq
     """Left join with `right`, which has one row per key, in a way that hot keys cannot slow down.
 
     The HEAVY_KEYS heaviest keys of `right` are broadcast, a number that does not grow with the
-    data; the others, each of which has few rows on the left, are joined by a shuffle. Every left
-    row comes back once, with nulls where `right` lacks its key.
+    data; the others, each of which has few rows on the left, are joined by a shuffle. Left rows without
+    a key are not shuffled. Every left row comes back once, with nulls where `right` lacks its key.
     """
     # ties at the cut make no difference: a key is in `heavy` or, if not, in `rest`
     heavy = F.broadcast(right.orderBy(F.desc(weight), F.asc(key)).limit(HEAVY_KEYS).select(key, *values, F.lit(True).alias("_heavy")))
     rest = right.join(heavy.select(key), key, "left_anti").select(key, *values)
     got = left.join(heavy, key, "left")
-    hot = got.filter("_heavy").select(*left.columns, *values)
-    cold = got.filter("_heavy is null").select(*left.columns).join(rest, key, "left")
+    hot = got.filter(F.col("_heavy") | F.col(key).isNull()).select(*left.columns, *values)
+    cold = got.filter(F.col("_heavy").isNull() & F.col(key).isNotNull()).select(*left.columns).join(rest, key, "left")
     return hot.unionByName(cold.select(*left.columns, *values))

@@ -1,34 +1,66 @@
-"""Exact de-duplication by a tree merge of sorted digest runs, with DataFrame functions only."""
+"""Exact de-duplication by a tree merge of sorted digest runs, with DataFrame functions only.
+
+Each partition makes a run: its digests in order, each once, with the row that would stay and how many
+rows there are. Runs are merged in binomial rounds. A run's number is read in digits of base FAN_IN; in
+round i the FAN_IN runs that differ in digit i alone exchange: each keeps the part of the digests whose
+own digit i is its number's, and sends the others. So a place ever receives FAN_IN sorted runs, merges
+them in order, and has as much as before, a wider selection of runs and a narrower one of digests; after
+as many rounds as the numbers have digits, every digest is in one place. A digest that every partition
+holds has one row a run from the start, and FAN_IN rows at a place in any round.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import cut, lookup, own_name, table
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
-#: Runs that remain after each round of merging; the last is always one.
-ROUNDS = (64, 8, 1)
+#: Runs that one merge takes.
+FAN_IN = 16
+#: Parts of the digests of a run that are merged beside each other.
+PARTS = 64
+
+
+def rounds(n_runs: int, fan_in: int = FAN_IN) -> int:
+    """Rounds after which so many runs are one: the digits of their numbers."""
+    n, reach = 0, 1
+    while reach < n_runs:
+        n, reach = n + 1, reach * fan_in
+    return n
 
 
-def merge_rounds(runs: DataFrame, rounds: Sequence[int] = ROUNDS) -> DataFrame:
-    """Merge runs of (run, text_sha256, n_norm, best, n) until one is left.
+def _digit(number: Column, i: int, fan_in: int) -> Column:
+    return F.pmod(F.floor(number / F.lit(fan_in**i)), F.lit(fan_in)).cast("long")
 
-    In every round the runs whose numbers agree modulo the round's count are merged. All runs of
-    one merge meet by digest, so a round is as wide as the cluster, and a digest that every
-    partition holds comes down by the fan-in each time rather than in one task. A merge keeps the
-    smallest `best` of those that agree in digest and also in length.
+
+def merged(runs: DataFrame) -> DataFrame:
+    """What stands at each place, as one sorted run.
+
+    A place's rows are read in order, those of one digest next to each other. Of those that agree in
+    digest and also in length, at most one from each run, the least `best` is kept, and their numbers of
+    rows are added up.
     """
-    for left in rounds:
-        runs = runs.groupBy(F.pmod("run", F.lit(left)).alias("run"), "text_sha256", "n_norm").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    return runs
+    alike = Window.partitionBy("place", "part", "text_sha256", "n_norm").orderBy("best")
+    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = runs.repartition("place", "part").select("place", "part", "text_sha256", "n_norm", "best", F.sum("n").over(whole).alias("n"), F.row_number().over(alike).alias("nth"))
+    return met.filter("nth = 1").drop("nth")
+
+
+def tree_merge(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN, parts: int = PARTS) -> DataFrame:
+    """(text_sha256, n_norm, best, n) of all runs, from runs of (run, text_sha256, n_norm, best, n) numbered from 0 on."""
+    number = F.conv(F.substring("text_sha256", 1, 12), 16, 10).cast("long")
+    part = F.pmod(F.conv(F.substring("text_sha256", 13, 8), 16, 10).cast("long"), F.lit(parts))
+    runs = runs.select(F.col("run").cast("long").alias("place"), part.alias("part"), "text_sha256", "n_norm", "best", "n")
+    for i in range(rounds(n_runs, fan_in)):
+        place = F.col("place") + (_digit(number, i, fan_in) - _digit(F.col("place"), i, fan_in)) * F.lit(fan_in**i)
+        runs = merged(runs.withColumn("place", place))
+    return runs.select("text_sha256", "n_norm", "best", "n")
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: Sequence[int] = ROUNDS) -> DataFrame:
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256, n_points.
 
     Texts are equal when identical without the characters of BLANKS. Of a group stays the row with
@@ -47,7 +79,8 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     best = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     runs = rows.groupBy("run", "text_sha256", "n_norm").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    groups = merge_rounds(runs, rounds).filter("n > 1").select("text_sha256", F.col("best.doc_id").alias("best_id"), F.col("best.row_id").alias("best_row"), "n")
+    n_runs = (rows.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
+    groups = tree_merge(runs, n_runs, fan_in).filter("n > 1").select("text_sha256", F.col("best.doc_id").alias("best_id"), F.col("best.row_id").alias("best_row"), "n")
     found = lookup(rows.select("doc_id", "text_sha256", "row_id", "n_points"), groups, "text_sha256", "n", ["best_id", "best_row", "n"])
     alone = F.col("n").isNull()
     return found.select(
@@ -60,7 +93,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: Sequence[int] = ROUNDS) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of `docs` that dedup_exact() keeps, with all their columns.
 
     Rows that repeat each other in id and text as well are told apart by their whole contents only
@@ -68,7 +101,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     digest, rank = own_name(docs, "text_sha256"), own_name(docs, "copy_rank")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = dedup_exact(docs, id_col, text_col, rounds).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_points").alias("_kept_points"))
+    kept = dedup_exact(docs, id_col, text_col, fan_in).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_points").alias("_kept_points"))
     same = docs.withColumn(digest, F.sha2(F.translate(text, BLANKS, ""), 256))
     met = same.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(digest) == F.col("_kept_sha")) & (F.length(text) == F.col("_kept_points")), "left_semi")
     once = Window.partitionBy(id_col, digest).orderBy(F.lit(1))

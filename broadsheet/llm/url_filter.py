@@ -24,6 +24,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 OTHERWISE = "allow"
 #: States of so many URLs are stepped together; the matrix stays small whatever the batch.
 ROWS_AT_ONCE = 4096
+#: After so many bytes, and again after as many, URLs whose states no byte can change are taken out.
+SETTLED_EVERY = 64
 
 
 @dataclass
@@ -59,6 +61,7 @@ class Automaton:
             bit += 1
         self.words = bit // 64 + 1
         self.step = np.zeros((256, self.words), np.uint64)
+        self.final = np.zeros(self.words, np.uint64)
         self.stay = np.zeros((256, self.words), np.uint64)
         self.first = np.zeros(self.words, np.uint64)
         self.ends = ends
@@ -73,6 +76,9 @@ class Automaton:
         for b in starts:
             w, m = one(b)
             self.first[w] |= m
+        for b in {b for b, slash in loops if slash} & set(ends):  # what ends in "**" fits whatever follows
+            w, m = one(b)
+            self.final[w] |= m
 
     def match(self, texts: Sequence[bytes]) -> np.ndarray:
         """Whether text i fits glob j."""
@@ -88,8 +94,19 @@ class Automaton:
         order = np.argsort(-lengths, kind="stable")
         lengths, begin = lengths[order], begin[order]
         state = np.repeat(self.first[None, :], len(texts), 0)
+        live = len(texts)
         for at in range(int(lengths[0]) if len(texts) else 0):
-            live = int(np.searchsorted(-lengths, -at, "left"))  # only URLs that have this byte
+            live = min(live, int(np.searchsorted(-lengths, -at, "left")))  # only URLs that have this byte
+            if at and at % SETTLED_EVERY == 0:
+                open_ = (state[:live] & ~self.final).any(1)
+                if not open_.all():  # those that are settled go behind the others, which stay in order of length
+                    turn = np.concatenate((np.flatnonzero(open_), np.flatnonzero(~open_)))
+                    for x in (state, order, begin, lengths):
+                        x[:live] = x[:live][turn]
+                    live = int(open_.sum())
+                    lengths = np.concatenate((lengths[:live], np.zeros(len(lengths) - live, lengths.dtype)))
+            if not live:
+                break
             now = state[:live]
             byte = flat[begin[:live] + at]
             moved = now << np.uint64(1)
@@ -102,7 +119,7 @@ class Automaton:
 
 
 def rule_globs(rule: str) -> list[str]:
-    """The globs of one rule `host/path`: the host itself and any of its subdomains."""
+    """The globs of one rule `host/path`, which may have wildcards: the host itself and any of its subdomains, and all that begins so."""
     return [f"{rule}**", f"*.{rule}**"]
 
 
@@ -116,13 +133,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, othe
 
     Host: what stands after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path:
     from there up to `?`, `#` or the end. Both are empty for a null url and one without `://`. Of the
-    rules that fit, the longest wins; where none does, rule is null and the verdict `otherwise`. Other
+    rules that fit, the longest wins; where none does, rule is null and the verdict `otherwise`. A rule
+    is a host and the beginning of a path; `*`, `**` and `?` in it are wildcards, see Automaton. Other
     columns are not read; repeated rows and null ids come back as they are.
     """
     order = ranked(rules)
-    # characters of a rule that a glob gives a meaning would widen it, so they are refused
-    if any(set(rule) & set("*?") for _, rule in rules):
-        raise ValueError("a rule is a host and the beginning of a path, without * and ?")
     globs = [g for i in order for g in rule_globs(rules[i][1])]
     name = [rules[i][1] for i in order]
     says = [rules[i][0] for i in order]

@@ -1,9 +1,15 @@
-"""Pairs of zstandard dictionaries that tell two kinds of text apart by compressed size.
-
-Both dictionaries end in the same stretch of ordinary text and are of equal length, so that a window
-which either kind explains alike compresses to the same size under both. In front of it stands what is
-distinctive of the kind: the strings that far more documents of one kind have than of the other, joined
-where they overlap. A window that holds some of them comes out shorter under its own dictionary.
+"""Two kinds of text told apart by how well zstandard dictionaries of either kind compress them.
+
+Each dictionary is made from windows of its own kind alone: `trained` by zstandard's own trainer, which
+picks the segments that most samples have, or `plain`, which is text as it stands. Two measures are made
+from them:
+
+* `distances` looks at each window by itself. The dictionary of kind 0 is ordinary text; that of kind 1
+  is laid in front of it, so that what both explain costs the same bytes and only what ordinary text
+  lacks comes out shorter. Windows that are shorter by each of STEPS bytes or more are counted, and the
+  fit calibrates what those counts mean.
+* `sizes` takes the compressed sizes of the whole text under either dictionary, and their normalised
+  difference alone.
 """
 
 from __future__ import annotations
@@ -12,24 +18,16 @@ import functools
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import zstandard
 
-#: Bytes of a string that is counted, and of the shortest match that a compressor takes.
-STRING = 5
-#: Bytes of a window at most, but for a longer word.
+#: Bytes of a window at most.
 WINDOW = 64
-#: A string is distinctive if its share of one kind's documents is so many times its share of the other's,
-#: after so many documents of the other kind in a thousand are added.
-TIMES, PRIOR = 4.0, 3.0
-#: Documents of its kind that a string must stand in, however few there are.
-LEAST = 3
-#: Bytes of shared ordinary text, and of distinctive strings at most.
-SHARED, DISTINCT = 65536, 32768
+#: Bytes by which a window must be shorter, one count for each.
+STEPS = (1, 2, 3, 4, 6)
 
 
 def words(text: str) -> bytes:
@@ -43,107 +41,92 @@ def raw(text: str) -> bytes:
 
 
 NORMAL: dict[str, Callable[[str], bytes]] = {"words": words, "raw": raw}
-_WINDOW = re.compile(rb"(?s) .{0,%d}(?= )| [^ ]+" % (WINDOW - 1))
+_WINDOW = re.compile(rb"(?s) .{1,%d}(?= )| ?[^ ]{1,%d}" % (WINDOW - 1, WINDOW - 1))
 
 
 def windows(normal: bytes) -> list[bytes]:
-    """The whole text in windows that end between words. Every byte but the last space is in one."""
+    """The whole text in windows that end between words, but inside a word that is longer than a window.
+
+    Every byte but the last space is in one, and none has more than WINDOW bytes.
+    """
     return _WINDOW.findall(normal)
 
 
-def strings(normals: Sequence[bytes]) -> Counter[bytes]:
-    """In how many texts each string stands."""
-    n: Counter[bytes] = Counter()
-    for b in normals:
-        n.update({b[i : i + STRING] for i in range(len(b) - STRING + 1)})
-    return n
-
-
-def distinctive(own: Counter[bytes], n_own: int, other: Counter[bytes], n_other: int, inner_space: bool) -> dict[bytes, float]:
-    """Strings that speak for one kind, with how strongly."""
-    per = n_own / max(n_other, 1)
-    prior = max(PRIOR * n_own / 1000, LEAST / TIMES)
-    out = {}
-    for s, k in own.items():
-        odds = k / (other.get(s, 0) * per + prior)
-        if odds >= TIMES and (inner_space or b" " not in s[1:-1]):
-            out[s] = math.log(odds)
-    return out
-
-
-def assembled(weights: dict[bytes, float]) -> bytes:
-    """The strings joined where one goes on from another, the strongest last, so that they are nearest."""
-    left = set(weights)
-    after: dict[bytes, list[bytes]] = defaultdict(list)
-    before: dict[bytes, list[bytes]] = defaultdict(list)
-    for s in weights:
-        after[s[:-1]].append(s)
-        before[s[1:]].append(s)
-    best = lambda found: max((x for x in found if x in left), key=lambda x: (weights[x], x), default=None)
-    out, size = [], 0
-    for s in sorted(weights, key=lambda s: (-weights[s], s)):
-        if s not in left:
-            continue
-        if size >= DISTINCT:
-            break
-        left.discard(s)
-        piece = s
-        while nearest := best(after[piece[1 - STRING :]]):
-            left.discard(nearest)
-            piece += nearest[-1:]
-        while nearest := best(before[piece[: STRING - 1]]):
-            left.discard(nearest)
-            piece = nearest[:1] + piece
-        out.append(piece)
-        size += len(piece)
-    return b"".join(reversed(out))[-DISTINCT:]
+def digest(normal: bytes) -> bytes:
+    return hashlib.blake2b(normal, digest_size=8).digest()
 
 
-def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    """A compressor of short windows: every place of the dictionary is found, frames bear no header."""
-    parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstandard.STRATEGY_GREEDY, min_match=STRING, window_log=18, hash_log=17, chain_log=17, search_log=6
-    )
-    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(compression_params=parameters)
-    return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
+def teaches(normal: bytes) -> bool:
+    """Whether a labelled text goes into the dictionaries; a fifth is kept to calibrate. Copies stay together."""
+    return digest(normal)[0] % 5 != 0
+
+
+def plain(pieces: Sequence[bytes], size: int) -> bytes:
+    """The windows end to end, `size` bytes at most."""
+    return b"".join(pieces)[-size:]
+
+
+def trained(pieces: Sequence[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by zstandard's trainer, of segments of so many bytes; the windows themselves if they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, list(pieces), k=segment, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return plain(pieces, size)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the logistic calibration of what they say."""
+    """Two dictionaries, what is measured with them, and the calibration of it."""
 
     normal: str
+    measure: str
     zero: bytes
     one: bytes
-    weights: tuple[float, ...]
+    weights: tuple[float, ...] = ()
+
+
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """A compressor of short windows that finds every place of the dictionary; frames bear no header."""
+    log = max(17, min(22, len(dictionary).bit_length()))
+    parameters = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=log + 1, hash_log=log, chain_log=log, search_log=6
+    )
+    kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
+    data.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
 
 @functools.lru_cache(8)
-def compressors(zero: bytes, one: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+def compressors(measure: str, zero: bytes, one: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
     """Once for each worker and model."""
+    if measure == "distances":  # what stands in for the other dictionary is found in no text
+        return compressor(bytes(len(one)) + zero), compressor(one.replace(b"\x37\xa4\x30\xec", bytes(4), 1) + zero)
     return compressor(zero), compressor(one)
 
 
-def measured(zero: bytes, one: bytes, normal: bytes) -> list[float]:
-    """What calibration goes by, over all windows of a text.
+def distances(model: Model, normal: bytes) -> list[float]:
+    """For each of STEPS the windows that the dictionary of kind 1 makes so much shorter: per window, and as a logarithm."""
+    a, b = (c.compress for c in compressors("distances", model.zero, model.one))
+    pieces = windows(normal)
+    least = STEPS[0]
+    saved = [d for w in pieces if (d := len(a(w)) - len(b(w))) >= least]
+    counts = [sum(d >= step for d in saved) for step in STEPS]
+    n = max(len(pieces), 1)
+    return [*(10 * c / n for c in counts), *map(math.log1p, counts), 1.0]
 
-    For either kind: bytes saved by its dictionary, and bytes saved beyond the first of each window, as
-    a chance match saves no more; per 100 bytes and as logarithms. Then the text's size and 1.
-    """
-    a, b = (c.compress for c in compressors(zero, one))
-    for_one = for_zero = sure_one = sure_zero = 0
+
+def sizes(model: Model, normal: bytes) -> list[float]:
+    """The difference of the compressed sizes over their sum, in per cent; nothing for a text without words."""
+    a, b = (c.compress for c in compressors("sizes", model.zero, model.one))
+    under_zero = under_one = 0
     for w in windows(normal):
-        saved = len(a(w)) - len(b(w))
-        if saved > 0:
-            for_one += saved
-            sure_one += saved - 1
-        elif saved < 0:
-            for_zero -= saved
-            sure_zero -= saved + 1
-    size = max(len(normal), WINDOW)
-    sums = (for_one, sure_one, for_zero, sure_zero)
-    return [*(100 * s / size for s in sums), *map(math.log1p, sums), math.log(size / WINDOW), 1.0]
+        under_zero += len(a(w))
+        under_one += len(b(w))
+    return [100 * (under_zero - under_one) / max(under_zero + under_one, 1), 1.0]
+
+
+MEASURES: dict[str, Callable[[Model, bytes], list[float]]] = {"distances": distances, "sizes": sizes}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -160,46 +143,25 @@ def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1e-3
     return w
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], normal: str, inner_space: bool = False, shares: tuple[float, float] | None = None, prior: float = 0.5) -> Model:
-    """Dictionaries from two thirds of the texts, calibration from the rest.
+def calibrated(model: Model, measured: Sequence[Sequence[float]], labels: Sequence[int], shares: tuple[float, float], prior: float) -> Model:
+    """The model with weights for what was measured of texts that its dictionaries have not seen.
 
-    The thirds go by a digest of the text, so that copies stay together. shares: how many of each label
-    there are where the texts come from, if they were not drawn evenly. With one kind of label only, or
+    shares: how many of each label there are where the texts come from. With one kind of label only, or
     none, the score is the same for all texts: the share of label 1, `prior` counting as one row.
     """
-    seen: dict[bytes, tuple[bytes, int]] = {}
-    for text, label in zip(texts, labels, strict=True):
-        b = NORMAL[normal](text)
-        seen.setdefault(hashlib.blake2b(b, digest_size=8).digest(), (b, label))
-    rows = [(key, *seen[key]) for key in sorted(seen)]
-    learn = [r for r in rows if r[0][0] % 3]
-    prove = [r for r in rows if r[0][0] % 3 == 0] or learn
-    of = lambda k: [b for _, b, label in learn if label == k]
-    zeros, ones = of(0), of(1)
-    n0, n1 = strings(zeros), strings(ones)
-    parts = [assembled(distinctive(n0, len(zeros), n1, len(ones), inner_space)), assembled(distinctive(n1, len(ones), n0, len(zeros), inner_space))]
-    longest = max(map(len, parts))
-    shared, k = [], 0
-    for b in [*zeros, *ones]:
-        if k >= SHARED:
-            break
-        shared.append(b[:2048])  # of many texts a little, for a dictionary of limited size
-        k += len(shared[-1])
-    # what fills up the shorter one stands in neither text
-    zero, one = (p.rjust(longest, b"\0") + b"".join(shared)[:SHARED] + b"\0" * 8 for p in parts)
-    y = np.array([label for _, _, label in prove], float)
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + prior) / (len(y) + 1)
-        return Model(normal, zero, one, (0.0,) * 9 + (math.log(share / (1 - share)),))
-    x = np.array([measured(zero, one, b) for _, b, _ in prove])
+        n = len(MEASURES[model.measure](model, b"  "))
+        return Model(model.normal, model.measure, model.zero, model.one, (0.0,) * (n - 1) + (math.log(share / (1 - share)),))
     each = np.ones(len(y))
-    if shares and min(shares) > 0:
+    if min(shares) > 0:
         of_ones = shares[1] / sum(shares)
         each = np.where(y == 1, of_ones / y.mean(), (1 - of_ones) / (1 - y.mean()))
-    return Model(normal, zero, one, tuple(map(float, logistic(x, y, each))))
+    return Model(model.normal, model.measure, model.zero, model.one, tuple(map(float, logistic(np.array(measured), y, each))))
 
 
 def score(model: Model, text: str | None) -> float:
     """Between 0 and 1, higher where label 1 is likelier. A null text counts as empty."""
-    x = measured(model.zero, model.one, NORMAL[model.normal](text or ""))
+    x = MEASURES[model.measure](model, NORMAL[model.normal](text or ""))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, model.weights, strict=True))))))

@@ -48,8 +48,8 @@ def test_exact_dedup(spark):
     for i, t, _ in rows:
         n = re.sub(r"[\x20\x09-\x0D]", "", t or "")
         groups.setdefault(n, []).append((-len(t or ""), i is None, i or 0, t))
-    for rounds in ((64, 8, 1), (2, 1), (1,)):
-        got = dedup_exact.dedup_exact(docs_of(spark, rows), rounds=rounds).collect()
+    for fan_in in (2, 3, 16):
+        got = dedup_exact.dedup_exact(docs_of(spark, rows).repartition(7), fan_in=fan_in).collect()
         assert len(got) == len(rows)
         assert sum(g.kept for g in got) == len(groups)
         for g in got:
@@ -119,8 +119,16 @@ def test_url_filter(spark):
     got = {g.page_id: (g.rule, g.verdict) for g in url_filter.filter_urls(df).collect()}
     assert got == {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(urls)} | {None: (None, "allow")}
     assert url_filter.filter_urls(df.limit(0)).collect() == []
-    with pytest.raises(ValueError):
-        url_filter.filter_urls(df, [("allow", "a*/")])
+    wild = {g.page_id: g.rule for g in url_filter.filter_urls(df, [("block", "org/en/?2"), ("block", "ex*.org/"), ("allow", "**/es/")]).collect()}
+    assert wild[0] == "org/en/?2" and all(wild[i] in ("ex*.org/", "org/en/?2", "**/es/", None) for i in wild)
+
+
+def test_long_urls_settle():
+    r = random.Random(9)
+    globs = ["a/**", "*.a/b**", "**z", "ab*/c", "*"]
+    texts = ["".join(r.choice("ab/.cz") for _ in range(r.choice([3, 63, 64, 65, 200, 700]))).encode() for _ in range(200)] + [b"a/" + b"x" * 300_000, b"", b"y" * 300]
+    want = [re.compile("".join({"**": ".*", "*": "[^/]*", "?": "."}.get(p, re.escape(p)) for p in re.findall(r"\*\*|.", g)) + r"\Z", re.S) for g in globs]
+    assert [[bool(w.match(t.decode())) for w in want] for t in texts] == url_filter.Automaton(globs).match(texts).tolist()
 
 
 # ---- secrets ----
@@ -145,6 +153,10 @@ def test_secrets(spark):
     assert sorted(((g.doc_id, g.n_assign, g.n_access, g.n_hex, g.base_sha256) for g in got), key=repr) == want
     texts = {i: t for i, t, _ in rows}
     assert all([s for s in g.spans.split(",") if s and not s.startswith("random")] == base_spans(texts[g.doc_id]) for g in got)
+    # one owner's example, pasted into many of its documents
+    pasted = secret_scan.find_secrets(docs_of(spark, [(i, f"page {i} has token=exampleValue12345", "s") for i in range(secret_scan.EXAMPLE_REPOS)] + [(500 + i, "token=ownValue9876543", "s") for i in range(50)])).collect()
+    assert {(g.n_example, g.n_live, g.most_repos) for g in pasted if g.doc_id < 500} == {(1, 0, secret_scan.EXAMPLE_REPOS)}
+    assert {(g.n_example, g.n_live, g.most_owners, g.most_repos) for g in pasted if g.doc_id >= 500} == {(0, 1, 1, 1)}
     copied = [g for g in got if g.doc_id and g.doc_id >= 900]
     assert all(g.n_example == 1 and g.n_live == 1 for g in copied)
     assert secret_scan.find_secrets(docs_of(spark, rows).limit(0)).collect() == []
@@ -180,7 +192,39 @@ def test_windows_cover_the_text():
     r = random.Random(2)
     for _ in range(200):
         b = zdict.raw(" ".join("x" * r.choice([1, 5, 63, 64, 65, 200]) for _ in range(r.randint(0, 9))))
-        assert b"".join(zdict.windows(b)) == b[:-1] or not b.strip()
+        assert b"".join(zdict.windows(b)) == (b[:-1] if b.strip() else b"") and max(map(len, zdict.windows(b)), default=0) <= zdict.WINDOW
+
+
+@pytest.mark.parametrize("task", [classify.TOXICITY, classify.QUALITY])
+def test_scores_by_hand(spark, task):
+    """Every score once more by plain zstandard calls on the windows of the whole text."""
+    import math
+
+    docs = docs_of(spark, [(i, f"word{i % 3} " * 9 + ("badbadbad thing! " if i % 4 == 0 else "fine, good ") * (i % 5), "s") for i in range(200)] + ODD)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 != 0)) for i in range(200)], "doc_id long, toxic int, quality int")
+    model = classify.learn(docs, labels, task)
+    got = classify.scored(docs, model, ["doc_id", "text"], "text").collect()
+    zero, one = (model.zero, model.one) if task is classify.QUALITY else (bytes(len(model.one)) + model.zero, (bytes(4) + model.one[4:] if model.one[:4] == b"\x37\xa4\x30\xec" else model.one) + model.zero)
+    a, b = zdict.compressor(zero), zdict.compressor(one)
+    for r in got:
+        t = (r.text or "").lower() if task is classify.TOXICITY else r.text or ""
+        t = " " + " ".join(re.findall(r"\w+", t) if task is classify.TOXICITY else t.split()) + " "
+        raw, pieces = t.encode(), []
+        while raw.strip():
+            end = max((k for k in range(1, min(64, len(raw) - 1) + 1) if raw[k : k + 1] == b" "), default=None) if raw[:1] == b" " else None
+            if end is None:
+                word = raw[1:] if raw[:1] == b" " else raw
+                end = min(63, word.index(b" ")) + (raw[:1] == b" ")
+            pieces.append(raw[:end])
+            raw = raw[end:]
+        under = [(len(a.compress(p)), len(b.compress(p))) for p in pieces]
+        if task is classify.QUALITY:
+            x = [100 * sum(p - q for p, q in under) / max(sum(p + q for p, q in under), 1), 1.0]
+        else:
+            hits = [sum(p - q >= step for p, q in under) for step in zdict.STEPS]
+            x = [10 * h / max(len(pieces), 1) for h in hits] + [math.log1p(h) for h in hits] + [1.0]
+        z = max(-30.0, min(30.0, sum(u * v for u, v in zip(x, model.weights))))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9), r.text
 
 
 # ---- HTML ----
@@ -250,7 +294,7 @@ def test_mixing(spark):
         if tokens[s]:
             assert sum(n for _, _, n in mine) <= (mixing.REPEATS + 0.01) * tokens[s] + max(n for _, _, n in mine)
     assert mixing.mix(docs_of(spark, rows).limit(0)).collect() == []
-    few = mixing.mix(docs_of(spark, rows), mixing.Target(entropy=99.0), budget=300).collect()
+    few = mixing.mix(docs_of(spark, rows), mixing.Target(entropy=99.0, repeats=1e9), budget=300).collect()
     assert {v.exponent for v in few} == {0.0}
     assert {v.exponent for v in mixing.mix(docs_of(spark, rows), mixing.Target(entropy=0.0)).collect()} == {1.0}
     spent = {}
@@ -260,6 +304,23 @@ def test_mixing(spark):
     assert all(share <= spent[s] + 1 for s, t in tokens.items() if t)
 
 
+def test_mixing_holds_the_limit_where_entropy_cannot_be_met(spark):
+    rows = [(1, "w", "tiny")] + [(i, "w " * 500, "huge") for i in range(2, 40)]
+    visits = mixing.mix(docs_of(spark, rows), mixing.Target(entropy=1.0, repeats=3.0)).collect()
+    assert 1 <= sum(v.source == "tiny" for v in visits) <= 4 and 0 < visits[0].exponent < 1
+    close = mixing.mix(docs_of(spark, [(i, "w " * (3 + i % 2), "ab"[i % 2]) for i in range(40)]), mixing.Target(entropy=0.99, repeats=3.0)).collect()
+    assert {v.exponent for v in close} == {1.0}
+
+
+def test_mixing_spreads_rows_that_repeat_each_other(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 7)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 20)
+    rows = [(1, "w w", "a")] * 100 + [(None, None, None)] * 30
+    visits = mixing.mix(docs_of(spark, rows)).collect()
+    assert len(visits) == 130 and len({v.block for v in visits if v.source == "a"}) > 5
+    assert sorted(v.place for v in visits if v.source == "a") == list(range(100))
+
+
 def test_mixing_block_sizes(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
     visits = mixing.mix(docs_of(spark, [(i, "w " * (1 + i % 7), "ab"[i % 5 == 0]) for i in range(200)])).collect()
