@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import cut
+from broadsheet.llm.common import cut, lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     In turn every node hands its larger neighbours to its smallest one, and then its smaller ones and
     itself. The edges come down to stars in a number of rounds that grows as a logarithm; each round is
-    two aggregations and two joins. Loops and repeated edges do no harm; an empty table gives one.
+    two aggregations and two joins. The middle of a star has as many edges as its star has nodes, so the
+    joins go through lookup(). Loops and repeated edges do no harm; an empty table gives one.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     told = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("edges"))
+        large = lookup(both, least, "a", "edges", ["m"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.filter("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("edges"))
+        small = lookup(large, least, "a", "edges", ["m"]).select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.m").alias("b"))
         now = cut(small.filter("a <> b").distinct())
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if new == told:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +14,11 @@ CHUNK = 1 << 21
 
 _BYTES = np.arange(256, dtype=np.uint8)
 #: What each byte counts for: A-Z as a-z.
-LETTERS = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint64) + np.uint64(1)
+LETTERS = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 _BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as far as they were needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, base in (("up", _BASE), ("down", _UNBASE)):
-                powers = np.full(n, base, np.uint64)
-                powers[0] = 1
-                setattr(cls, name, np.multiply.accumulate(powers))
-        return cls.up, cls.down
+#: Bytes of a word that are taken at a time, and after which the rest of it is hashed by itself.
+_LANE, _LONG = 8, 256
+_KEPT = np.array([(1 << (8 * i)) - 1 for i in range(_LANE)] + [(1 << 64) - 1], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,10 +29,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray, letters: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts that lie end to end in `data`, and where the words of each text begin.
 
-    in_word: for each byte, whether words have it; letters: what it counts for.
+    in_word: for each byte, whether words have it; letters: the byte it counts for. A word is taken eight
+    bytes at a time, each stirred into the hash before the next; without the key nobody can tell which
+    words would meet.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
@@ -56,11 +46,23 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray, letter
     inner = bounds[(bounds > 0) & (bounds <= len(data))]
     after[inner - 1] = False
     start, end = np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
-    up, down = _Powers.to(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, bounds)
+    folded = np.zeros(len(data) + _LANE, np.uint8)
+    folded[: len(data)] = letters[data]
+    lanes = np.ndarray(len(data) + 1, "<u8", folded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    h = mixed(length.astype(np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        left = length[live] - at
+        lane = lanes[start[live] + at] & _KEPT[np.minimum(left, _LANE)]
+        h[live] = mixed(h[live] ^ lane) + np.uint64(_BASE)
+        live, at = live[left > _LANE], at + _LANE
+        if at >= _LONG:
+            for i in live.tolist():
+                rest = hashlib.blake2b(folded[start[i] + at : end[i]], digest_size=8, key=int(h[i]).to_bytes(8, "little"))
+                h[i] = int.from_bytes(rest.digest(), "little")
+            break
+    return mixed(h), np.searchsorted(start, bounds)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -6,24 +6,32 @@ have: linked sets share one. Large sets are found by scanning inverted lists: sh
 how often the corpus has them, rarest first, and linked sets share one among the first few of each. The
 size at which lists become cheaper than subsets is computed from the counts.
 
-Pairs from short lists are checked by a bitmap that never rejects a link. Members of long lists are only
-tied to the list's first member. What hangs together is then compared in full, in blocks of bounded
-size. A block gives back the links that make its components, and for every node the number of documents
-it is linked with there: every link is counted, though no step writes out all pairs of a group.
+Pairs from short lists are checked by a bitmap that never rejects a link. Members of a long list are only
+tied to each other where their sizes allow a link; lists so long that no task should read one are tied by
+aggregation instead. What hangs together is then compared in full, in blocks of bounded size of sets that
+are not too different in size. A block gives back the links that make its components, and for every node
+the number of documents it is linked with there: every link is counted, though no step writes out all
+pairs of a group. The work on a group of n near copies is that of n * n / 2 comparisons, spread over blocks.
+
+Words are hashed under a key that is drawn for each run, and sets are told apart by 128 bits, so that
+neither chance nor a text made for it joins documents that share nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import cut, lookup, table
+from broadsheet.llm.common import cut, lookup, own_name, table
 from broadsheet.llm.components import components
 from broadsheet.llm.shingles import sets_of
 
@@ -36,11 +44,15 @@ CELLS, SEGMENTS = 1 << 20, 256
 SHORT = 48
 #: No set beyond this size is enumerated; it has 1,160 subsets.
 LARGEST_SMALL = 19
-#: Nodes of a block.
-BLOCK = 512
+#: Nodes of a block at most, about, and their tokens.
+BLOCK, BLOCK_TOKENS = 256, 4_000_000
+#: Sets are in one band or in neighbouring ones if they can be linked: 1.26 is beyond 1 / 0.8.
+BAND = 1.26
+#: A list of more members than this, by the count of its cell, is tied by aggregation.
+HUGE = 65_536
 #: So many ids are sent to all workers; more are joined by a shuffle.
 SENT_IDS = 400_000
-#: Shingles that a task counts together, and nodes that it knows it has reported.
+#: Shingles that a task counts together, and sets that it knows it has reported.
 COUNTED, REMEMBERED = 1 << 21, 1 << 18
 
 
@@ -94,26 +106,21 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def counted(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """How many shingles fall into each of CELLS cells, and about how long the list of a shingle is.
+def cell_counts(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many of the tokens that `tokens_of` finds in batches of `df` fall into each of CELLS cells.
 
     Each task counts for itself and sends its cells in SEGMENTS parts, which are added up one by one, so
     that neither a task nor the driver holds more than the cells once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         cells, held, size = np.zeros(CELLS, np.int64), [], 0
-        for batch in batches:
-            for _, node, tokens in sets_of(batch.column(0), WORDS):
-                if len(tokens) and node not in seen:
-                    if len(seen) < REMEMBERED:
-                        seen.add(node)
-                    held.append(tokens)
-                    size += len(tokens)
-                if size >= COUNTED:
-                    cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
-                    held, size = [], 0
+        for tokens in itertools.chain.from_iterable(map(tokens_of, batches)):
+            held.append(tokens)
+            size += len(tokens)
+            if size >= COUNTED:
+                cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
+                held, size = [], 0
         if held:
             cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
         if cells.any():
@@ -128,10 +135,24 @@ def counted(docs: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([cells.tobytes()], pa.binary())], ["part", "cells"])
 
     schema = "part long, cells binary"
-    total = np.zeros(CELLS, np.int64)
-    for row in docs.select("text_").mapInArrow(count, schema).repartition(SEGMENTS, "part").mapInArrow(add, schema).collect():  # CELLS numbers
-        size = CELLS // SEGMENTS
+    total, size = np.zeros(CELLS, np.int64), CELLS // SEGMENTS
+    for row in df.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # CELLS numbers
         total[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["cells"], np.int64)
+    return total
+
+
+def counted(docs: DataFrame, key: int) -> tuple[np.ndarray, float]:
+    """How many shingles fall into each cell, and about how long the list of a shingle is."""
+    seen: set[bytes] = set()
+
+    def tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, digest, tokens in sets_of(batch.column(0), WORDS, key):
+            if digest and digest not in seen:
+                if len(seen) < REMEMBERED:
+                    seen.add(digest)
+                yield tokens
+
+    total = cell_counts(docs.select("text_"), tokens_of)
     n = int(total.sum())
     # what a cell holds beside a shingle's own list is the mean of all cells
     return total, max(1.0, float((total.astype(np.float64) ** 2).sum()) / max(n, 1) - n / CELLS)
@@ -147,104 +168,134 @@ def in_order(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return tokens[np.lexsort((tokens, cells[cell_of(tokens)]))]
 
 
-def described(docs: DataFrame, cells: np.ndarray, small: int) -> DataFrame:
-    """doc_id, n, node, map, prefix and subsets of every row; the last three once for each node and task."""
+def described(docs: DataFrame, cells: np.ndarray, small: int, key: int) -> DataFrame:
+    """doc_id, key_, n, digest, map, prefix and subsets of every row; the last three once for each set and task."""
     counts = docs.sparkSession.sparkContext.broadcast(cells.astype(np.uint32) if cells.max(initial=0) < 1 << 32 else cells)  # CELLS numbers
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            n, nodes, maps, first, subs = [], [], [], [], []
-            for _, node, tokens in sets_of(batch.column(1), WORDS):
+            n, digests, maps, first, subs = [], [], [], [], []
+            for _, digest, tokens in sets_of(batch.column(2), WORDS, key):
                 n.append(len(tokens))
-                nodes.append(node if len(tokens) else None)
-                if not len(tokens) or node in seen:
+                digests.append(digest)
+                if not digest or digest in seen:
                     maps.append(None)
                     first.append(None)
                     subs.append(None)
                     continue
                 if len(seen) < REMEMBERED:
-                    seen.add(node)
+                    seen.add(digest)
                 maps.append(bitmap(tokens))
                 # small sets meet large ones in lists, where the sizes allow it
                 as_list = len(tokens) > small or 5 * len(tokens) >= 4 * (small + 1)
                 first.append(in_order(tokens, counts.value)[: len(tokens) - -(-len(tokens) * 4 // 5) + 1].view(np.int64) if as_list else None)
                 subs.append(subsets(tokens).view(np.int64) if len(tokens) <= small else None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(first, longs), pa.array(subs, longs)], ["doc_id", "n", "node", "map", "prefix", "subsets"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(maps, pa.binary()), pa.array(first, longs), pa.array(subs, longs)], ["doc_id", "key_", "n", "digest", "map", "prefix", "subsets"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, n long, node long, map binary, prefix array<long>, subsets array<long>")
+    return docs.select("doc_id", "key_", "text_").mapInArrow(describe, f"doc_id {kind}, key_ string, n long, digest binary, map binary, prefix array<long>, subsets array<long>")
 
 
-def scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings (h, node, n, at) in order of h: pairs of short lists, and ties of long ones.
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all lists, and the row of each."""
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    return np.asarray(lists.flatten()).view(np.uint64), np.repeat(np.arange(len(lists)), size)
 
-    at is a shingle's place in its set, or -1 for a subset.
+
+def posted(nodes: DataFrame, heavy: bool, lists: np.ndarray) -> DataFrame:
+    """(h, node, n, at) of every token that a node is listed under: at is its place, -1 for a subset.
+
+    lists: members by cell, of which those of one list are a part; heavy says which tokens are wanted, those
+    whose cell stands out by more than HUGE or the others.
     """
-    held = [np.zeros(0, np.int64)] * 4
-    tied: tuple[int, int] | None = None  # of a long list that goes on: h and its first member
+    sent = nodes.sparkSession.sparkContext.broadcast(lists - int(lists.mean()) > HUGE)  # CELLS bits
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for column, places in ((2, True), (3, False)):
+                h, row = _flat(batch.column(column))
+                at = np.arange(len(row)) - np.searchsorted(row, row) if places else np.full(len(row), -1)
+                take = sent.value[cell_of(h)] == heavy
+                yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (h.view(np.int64), node[row], n[row], at)], ["h", "node", "n", "at"])
+
+    return nodes.select("node", "n", "prefix", "subsets").mapInArrow(post, "h long, node long, n long, at long")
+
+
+def runs(node: np.ndarray, n: np.ndarray, root: int | None = None, last: int = 0) -> np.ndarray:
+    """For members of one list in order of size, the first of those that hang together by size; root and last go on from a run before."""
+    new = np.r_[root is None or 5 * last < 4 * n[0], 5 * n[:-1] < 4 * n[1:]]
+    at = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+    return np.where(at >= 0, node[at], root if root is not None else 0)
+
+
+def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT) -> Iterator[pa.RecordBatch]:
+    """From postings (h, node, n, at) in order of h and n: pairs of short lists, and ties of long ones."""
+    none = [np.zeros(0, np.int64)] * 4
+    held = none
+    tied: tuple[int, int, int] | None = None  # of a long list that goes on: h, the first of its open run, its last size
 
     def written(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        keep = a != b
+        a, b = a[keep], b[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), sure))], ["a", "b", "tied"])
 
     for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            new = [np.asarray(batch.column(i)) for i in range(4)]
-            rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        else:
-            rows = held
-        h, node, n, at = rows
-        if not len(h):
+        rows = [np.concatenate(x) for x in zip(held, [np.asarray(batch.column(i)) for i in range(4)], strict=True)] if batch is not None else held
+        if not len(rows[0]):
             continue
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        if tied and h[0] == tied[0]:  # all of this goes to the list's first member
-            end = begin[1] if len(begin) > 1 else len(h)
-            if (go := node[:end] != tied[1]).any():
-                yield written(node[:end][go], np.full(go.sum(), tied[1]), True)
-            h, node, n, at = (x[end:] for x in rows)
-            if not len(h):
-                held = [np.zeros(0, np.int64)] * 4
+        if tied and rows[0][0] == tied[0]:
+            end = int(np.searchsorted(rows[0], tied[0], "right"))
+            first = runs(rows[1][:end], rows[2][:end], *tied[1:])
+            yield written(rows[1][:end], first, True)
+            tied = (tied[0], int(first[-1]), int(rows[2][end - 1]))
+            rows = [x[end:] for x in rows]
+            if not len(rows[0]):
+                held = none
                 continue
-            begin = begin[1:] - end
-        last = len(h) if batch is None else int(begin[-1])
+        h, node, n, at = rows
+        last = len(h) if batch is None else int(np.searchsorted(h, h[-1], "left"))
         if batch is not None and len(h) - last > 4096:  # one list so long that it is not held
-            tied = (int(h[last]), int(node[last]))
-            go = node[last:] != tied[1]
-            yield written(node[last:][go], np.full(go.sum(), tied[1]), True)
-            held = [np.zeros(0, np.int64)] * 4
+            first = runs(node[last:], n[last:])
+            yield written(node[last:], first, True)
+            tied, held = (int(h[last]), int(first[-1]), int(n[-1])), none
         else:
-            held = [x[last:] for x in (h, node, n, at)]
-        h, node, n, at = h[:last], node[:last], n[:last], at[:last]
+            held = [x[last:] for x in rows]
+        h, node, n, at = (x[:last] for x in rows)
         if not last:
             continue
-        # a node that several tasks reported stands more than once
-        order = np.lexsort((node, h))
-        h, node, n, at = h[order], node[order], n[order], at[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-        h, node, n, at = h[once], node[once], n[once], at[once]
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[begin, len(h)])
         for length in np.unique(size[size > 1]):
             of = begin[size == length]
-            if length > SHORT:
+            if length > short:
                 for low in of:
-                    yield written(node[low + 1 : low + length], np.full(length - 1, node[low]), True)
+                    yield written(node[low : low + length], runs(node[low : low + length], n[low : low + length]), True)
                 continue
             left, right = np.triu_indices(length, 1)
-            x, y = (of[:, None] + left).ravel(), (of[:, None] + right).ravel()
-            swap = n[x] > n[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)  # x is not the larger
+            x, y = (of[:, None] + left).ravel(), (of[:, None] + right).ravel()  # x is not the larger
             need = -(-4 * (n[x] + n[y]) // 9)
             near = 5 * n[x] >= 4 * n[y]
             inside = at[x] <= n[x] - -(-8 * n[x] // 9)
             # what may be common: before this place, and from it on
             room = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
-            take = near & ((at[x] < 0) | inside & (room >= need))
+            take = near & ((at[x] < 0) | (at[y] < 0) | inside & (room >= need))
             if take.any():
                 yield written(node[x[take]], node[y[take]], False)
 
 
+def aggregated(heavy: DataFrame) -> DataFrame:
+    """Ties (a, b) between members of lists that no task should read whole, band by band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    listed = heavy.select("node", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))).alias("list"))
+    first = listed.groupBy("list").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
+    return lookup(listed, first, "list", "members", ["first"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+
+
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose bitmaps do not rule out a link."""
     for batch in batches:
@@ -294,88 +345,130 @@ def forest(nodes: list[int], sets: list[np.ndarray], copies: np.ndarray, left: n
     return out, total
 
 
+_OF_BLOCKS = "cluster long, low_band int, low int, high_band int, high int"
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block pair the links (a, b, null) that make its components, and the links of each node, (a, null, linked).
+    """Of each pair of blocks the links (a, b, null) that make its components, and the links of each node, (a, null, linked).
 
-    Rows are (cluster, low, high, block, node, copies, set) in order of the first three.
+    Rows are (cluster, low_band, low, high_band, high, band, block, node, copies, set) in order of the first five.
     """
 
-    def links(rows: list[tuple[int, int, int, bytes]], low: int, high: int) -> pa.RecordBatch:
-        once = {node: (block, copies, tokens) for block, node, copies, tokens in rows}
+    def links(rows: list[tuple[tuple[int, int], int, int, bytes]], low: tuple[int, int], high: tuple[int, int]) -> pa.RecordBatch:
+        once = {node: (at, copies, tokens) for at, node, copies, tokens in rows}
         nodes = sorted(once)
-        block, copies = (np.array([once[x][k] for x in nodes]) for k in range(2))
-        found, total = forest(nodes, [np.frombuffer(once[x][2], np.uint64) for x in nodes], copies, block == low, block == high)
+        left, right = (np.array([once[x][0] == at for x in nodes]) for at in (low, high))
+        copies = np.array([once[x][1] for x in nodes])
+        found, total = forest(nodes, [np.frombuffer(once[x][2], np.uint64) for x in nodes], copies, left, right)
         some = np.flatnonzero(total)
         a, b = [x for x, _ in found] + [nodes[i] for i in some], [y for _, y in found] + [None] * len(some)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + total[some].tolist(), pa.int64())], ["a", "b", "linked"])
 
     held, key = [], None
     for batch in batches:
-        for cluster, low, high, block, node, copies, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cluster, low, high) != key:
+        for *of, band, block, node, copies, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != key:
                 if len(held) > 1:
-                    yield links(held, *key[1:])
-                held, key = [], (cluster, low, high)
-            held.append((block, node, copies, tokens))
+                    yield links(held, tuple(key[1:3]), tuple(key[3:5]))
+                held, key = [], of
+            held.append(((band, block), node, copies, tokens))
     if len(held) > 1:
-        yield links(held, *key[1:])
+        yield links(held, tuple(key[1:3]), tuple(key[3:5]))
+
+
+def in_blocks(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, cluster, band and block of every node, and the numbers of blocks in its band and in those beside it."""
+    banded = clusters.join(nodes.select("node", "n", "copies", "first_key", "digest"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int"))
+    sizes = banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    # a band for every quarter of size: a cluster has few
+    by_cluster = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("blocks"), F.sum("members").alias("members"))
+    told = lookup(cut(banded), by_cluster, "cluster", "members", ["blocks"])
+    here = lambda step: F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
+    return told.select("node", "cluster", "band", "copies", "first_key", "digest", F.pmod(F.xxhash64("node"), here(0)).cast("int").alias("block"), here(-1).alias("before"), here(0).alias("own"), here(1).alias("after"))
+
+
+def dealt(sets: DataFrame) -> DataFrame:
+    """Every set once for each pair of blocks that it is compared in: with those of its band, and of the bands beside it."""
+    to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda low_band, low, high_band, high: F.struct(low_band.alias("low_band"), low.alias("low"), high_band.alias("high_band"), high.alias("high"))
+    band, block = F.col("band"), F.col("block")
+    pairs = F.concat(
+        F.transform(to("own"), lambda j: pair(band, F.least(block, j), band, F.greatest(block, j))),
+        F.transform(to("after"), lambda j: pair(band, block, band + 1, j)),
+        F.transform(to("before"), lambda j: pair(band - 1, j, band, block)),
+    )
+    return sets.select("cluster", F.explode(pairs).alias("pair"), "band", "block", "node", "copies", "tokens").select("cluster", "pair.*", "band", "block", "node", "copies", "tokens")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id, class_id, group_size and n_links.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids and texts, and a key to find a row again: its id, or a digest of its text where it has none."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text_"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.md5(F.coalesce(text, F.lit(""))))).alias("key_"))
 
-    class_id is the smallest id of the rows with an equal set, and group_size their number; n_links is the
-    number of other rows that a row is linked with, those with an equal set among them.
 
-    A-Z are lower-cased; words are runs of characters outside [\\x20\\x09-\\x0D]; a text of fewer than
-    WORDS words has its whole sequence as one shingle. Null texts and texts without words have no shingle
-    and are linked with nothing: their component_id and class_id are their own id, as for null ids without links.
-    Shingles and sets are compared by 64-bit hashes. Rows that share an id are documents of their own.
-    Other columns are not read. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text_"))
-    cells, mean = counted(rows)
+def _joined(docs: DataFrame, id_col: str, text_col: str, key: int) -> DataFrame:
+    """doc_id, n, digest, root, component, class, copies and links of every row; root tells components apart, where no row has an id too."""
+    rows = _rows(docs, id_col, text_col)
+    cells, mean = counted(rows, key)
     small = boundary(mean)
-    sets = cut(described(rows, cells, small))
-    nodes = cut(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("map").alias("map")))
-    posted = sets.filter("prefix is not null").select(F.posexplode("prefix").alias("at", "h"), "node", "n").select("h", "node", "n", F.col("at").cast("long").alias("at"))
-    posted = posted.unionByName(sets.filter("subsets is not null").select(F.explode("subsets").alias("h"), "node", "n", F.lit(-1).cast("long").alias("at")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(posted.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(scan_lists, "a long, b long, tied boolean").distinct())
+    sets = cut(described(rows, cells, small, key))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    of_set = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), first("map"), first("prefix"), first("subsets"))
+    nodes = cut(of_set.select("digest", F.col("least.doc_id").alias("first_id"), F.col("least.key_").alias("first_key"), "n", "copies", "map", "prefix", "subsets", F.monotonically_increasing_id().alias("node")))
+    lists = cell_counts(nodes.select("prefix", "subsets"), lambda batch: (_flat(batch.column(i))[0] for i in range(2)))
+    found = cut(posted(nodes, False, lists).repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(scan_lists, short=SHORT), "a long, b long, tied boolean").distinct())
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
     pairs = found.filter("not tied").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
     ties = pairs.mapInArrow(alike, "a long, b long").unionByName(found.filter("tied").select("a", "b"))
+    if (lists - int(lists.mean()) > HUGE).any():
+        ties = ties.unionByName(aggregated(posted(nodes, True, lists)))
     clusters = components(ties).withColumnRenamed("root", "cluster")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    wanted = cut(
-        clusters.join(blocks, "cluster")
-        .join(nodes.select("node", "first_id", "copies"), "node")
-        .select("node", "cluster", "first_id", "copies", "blocks", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("block"))
-    )
+    wanted = cut(in_blocks(clusters, nodes))
     few = wanted.count() <= SENT_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(wanted["first_id"])).select("cluster", "blocks", "block", "node", "copies", "text_")
+    named = wanted.withColumnRenamed("first_key", "key_")
+    texts = rows.select("key_", "text_").join(F.broadcast(named) if few else named, "key_").select("cluster", "band", "block", "before", "own", "after", "node", "copies", "digest", "text_")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # rows may repeat each other
         for batch in batches:
-            cluster, n, block, node, copies = (np.asarray(batch.column(i)) for i in range(5))
+            node, digests = batch.column(6).to_pylist(), batch.column(8).to_pylist()
             at, tokens = [], []
-            for i, k, t in sets_of(batch.column(5), WORDS):
-                if k == node[i] and len(t):  # an id may stand before other texts too
+            for i, digest, t in sets_of(batch.column(9), WORDS, key):
+                if digest == digests[i] and node[i] not in sent:  # an id may stand before other texts too
+                    if len(sent) < REMEMBERED:
+                        sent.add(node[i])
                     at.append(i)
                     tokens.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cluster[at]), pa.array(n[at]), pa.array(block[at]), pa.array(node[at]), pa.array(copies[at]), pa.array(tokens, pa.binary())], ["cluster", "blocks", "block", "node", "copies", "tokens"])
+            took = batch.select(["cluster", "band", "block", "before", "own", "after", "node", "copies"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(tokens, pa.binary())], [*took.schema.names, "tokens"])
 
-    full = texts.mapInArrow(again, "cluster long, blocks int, block int, node long, copies long, tokens binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = full.select("cluster", "block", "node", "copies", "tokens", other.alias("other")).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "tokens")
-    compared = cut(dealt.repartition(parts, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(compare, "a long, b long, linked long"))
+    full = texts.mapInArrow(again, "cluster long, band int, block int, before int, own int, after int, node long, copies long, tokens binary")
+    key_of = [c.split(" ")[0] for c in _OF_BLOCKS.split(", ")]
+    compared = cut(dealt(full).repartition(*key_of).sortWithinPartitions(*key_of).mapInArrow(compare, "a long, b long, linked long"))
     roots = components(compared.filter("b is not null").select("a", "b"))
     linked_with = compared.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
-    least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"))
-    named = roots.join(least, "root").select("node", "component")
+    least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"), F.count(F.lit(1)).alias("members"))
+    named = lookup(roots, least, "root", "members", ["component"]).select("node", "root", "component")
     links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links")
-    groups = nodes.join(named, "node", "left").join(linked_with, "node", "left").select("node", F.coalesce("component", "first_id").alias("component"), F.col("first_id").alias("class"), "copies", links)
-    got = lookup(sets.select("doc_id", "n", "node"), groups, "node", "copies", ["component", "class", "copies", "links"])
+    groups = nodes.join(named, "node", "left").join(linked_with, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("component", "first_id").alias("component"), F.col("first_id").alias("class"), "copies", links)
+    return lookup(sets.select("doc_id", "n", "digest"), groups, "digest", "copies", ["root", "component", "class", "copies", "links"])
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int | None = None) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id, class_id, group_size and n_links.
+
+    class_id is the smallest id of the rows with an equal set, and group_size their number; n_links is the
+    number of other rows that a row is linked with, those with an equal set among them.
+
+    A-Z are lower-cased; words are runs of characters outside [\\x20\\x09-\\x0D]; a text of fewer than
+    WORDS words has its whole sequence as one shingle. Null texts and texts without words have no shingle
+    and are linked with nothing: their component_id and class_id are their own id, as for null ids without links.
+    Shingles are compared by 64-bit hashes under `key`, which is drawn if it is not given, and sets by 128
+    bits. Rows that share an id are documents of their own. Other columns are not read. An empty table gives
+    an empty result.
+    """
+    got = _joined(docs, id_col, text_col, secrets.randbits(64) if key is None else key)
     return got.select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -387,13 +480,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component, with all their columns.
+    """Of each component of `docs` the row with the smallest id, with all its columns.
 
-    Rows without shingles stay, as do those with null ids that are linked with nothing. Where rows share
-    an id, they stay together. See jaccard_join().
+    Rows without shingles are components of their own and stay. A row without an id stays where no row with
+    one is linked with it. Where rows of a component share the smallest id, one of them stays: the one whose
+    set comes first, and of rows with equal sets any one. See jaccard_join().
     """
-    stay = jaccard_join(docs, id_col, text_col).filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("stays_")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("stays_")), "left_semi")
+    key = secrets.randbits(64)
+    got = _joined(docs, id_col, text_col, key)
+    name, of_set, mark, nth = (own_name(docs, x) for x in ("id_", "set_", "digest_", "nth_"))
+    stay = cut(got.filter(F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name), F.col("digest").alias(of_set), "root"))
+    same_id = F.col(id_col).eqNullSafe(F.col(name))
+    if stay.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.join(stay.select(name), same_id, "left_semi")
+
+    @F.pandas_udf("binary")
+    def digest_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([d for _, d, _ in sets_of(pa.array(texts, pa.string()), WORDS, key)], dtype=object)
+
+    marked = docs.withColumn(mark, digest_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    full, empty = stay.filter(F.col(of_set).isNotNull()), stay.filter(F.col(of_set).isNull())
+    chosen = full.groupBy(name, "root").agg(F.min(of_set).alias(of_set)).select(name, of_set).unionByName(empty.select(name, of_set).distinct())
+    left = marked.join(chosen, same_id & F.col(mark).eqNullSafe(F.col(of_set)), "left_semi")
+    filled = left.filter(F.col(mark).isNotNull()).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, mark).orderBy(F.lit(1)))).filter(F.col(nth) == 1).drop(nth)
+    return filled.unionByName(left.filter(F.col(mark).isNull())).drop(mark)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

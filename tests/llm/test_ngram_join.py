@@ -67,6 +67,64 @@ def test_as_all_pairs(spark, monkeypatch, short, block, small):
     assert got == brute(docs)
 
 
+def test_lists_too_long_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUGE", 3)
+    docs = corpus(11, 260)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(d).collect()), key=repr)
+    assert got == brute(docs)
+
+
+def test_words_made_to_meet(spark):
+    """Words that any polynomial modulo a power of two hashes alike: Thue-Morse and its complement."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    turned = morse.translate({97: "b", 98: "a"})
+    docs = [(1, f"{morse} two three four five"), (2, f"{turned} two three four five"), (3, morse[:100] + " x"), (4, turned[:100] + " x")]
+    got = {r.doc_id: (r.component_id, r.n_links, r.n_shingles) for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (i, 0, 1) for i in (1, 2, 3, 4)}
+
+
+def test_hashes_tell_words_apart():
+    from broadsheet.llm.hashing import LETTERS, hash_words
+    from broadsheet.llm.shingles import IN_WORD
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("ab\u00e9") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 255, 256, 257, 700]))) for _ in range(3000)})
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    one, two = (hash_words(raw, np.array([0, len(raw)]), IN_WORD, LETTERS, k)[0] for k in (0, 5))
+    assert len(set(one.tolist())) == len(words) and not set(one.tolist()) & set(two.tolist())
+    again = hash_words(np.frombuffer(words[7].upper().encode() if words[7].isascii() else words[7].encode(), np.uint8), np.array([0, len(words[7].encode())]), IN_WORD, LETTERS)[0]
+    assert again[0] == one[7]
+
+
+def test_one_of_each(spark):
+    docs = corpus(4, 150) + [(None, "alone with no id at all"), (None, "alone with no id at all"), (None, "another one that has no id"), (50, "same id but other words here"), (50, "the same id but not linked at all with it")]
+    d = spark.createDataFrame([(i, t, f"c{k}", "x", "y") for k, (i, t) in enumerate(docs)], "doc_id long, text string, id_ string, digest string, set_ string").repartition(3)
+    left = ngram_join.one_of_each(d)
+    assert left.columns == d.columns
+    got = left.collect()
+    want = brute(docs)
+    assert sorted((r.doc_id for r in got if r.doc_id is not None and words_of(r.text) != [""]), key=repr).count(50) == 2
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ([x for x in words_of(t) if x] for _, t in docs)]
+    left_sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ([x for x in words_of(r.text) if x] for r in got)]
+    assert sum(not s for s in left_sets) == sum(not s for s in sets)
+    linked_sets = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    up = list(range(len(docs)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and linked_sets(sets[i], sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert sum(bool(s) for s in left_sets) == len({root(i) for i, s in enumerate(sets) if s})
+    assert {r.doc_id for r in got if r.doc_id is not None} == {c for d, n, c in want if c is not None and (d == c)}
+    assert ngram_join.one_of_each(d.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("short,block", [(48, 512), (3, 5)])
 def test_links_as_all_pairs(spark, monkeypatch, short, block):
     monkeypatch.setattr(ngram_join, "SHORT", short)
@@ -101,9 +159,12 @@ def test_long_list_over_batches():
     import pyarrow as pa
 
     r = random.Random(4)
-    rows = sorted([(5, i, 10, 0) for i in range(9000)] + [(r.randrange(6, 900), r.randrange(60), 10, 0) for _ in range(4000)] + [(901, 1, 10, 0), (901, 2, 10, 0)])
+    rows = [(5, i, 10 + i // 4500 * 20, 0) for i in range(9000)] + [(h, x, 10, 0) for h, x in {(r.randrange(6, 900), r.randrange(60)) for _ in range(4000)}] + [(901, 1, 10, 0), (901, 2, 10, 0)]
+    rows.sort(key=lambda x: (x[0], x[2]))
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 700])], ["h", "node", "n", "at"]) for i in range(0, len(rows), 700)]
-    found = {(a, b) for out in ngram_join.scan_lists(iter(batches)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    # nodes of the long list are told from those of short ones, so that its two sizes stay apart
+    shifted = [b.set_column(1, "node", pa.array([x + 100_000 * (h != 5) for x, h in zip(b["node"].to_pylist(), b["h"].to_pylist())])) for b in batches]
+    found = {(a, b) for out in ngram_join.scan_lists(iter(shifted)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
     up = {}
 
     def root(x):
@@ -113,10 +174,10 @@ def test_long_list_over_batches():
 
     for a, b in found:
         up[root(a)] = root(b)
-    assert len({root(i) for i in range(9000)}) == 1
+    assert len({root(i) for i in range(4500)}) == len({root(i) for i in range(4500, 9000)}) == 1 and root(0) != root(8999)
     by_list = {}
     for h, node, _, _ in rows:
-        by_list.setdefault(h, set()).add(node)
+        by_list.setdefault(h, set()).add(node + 100_000 * (h != 5))
     for h, nodes in by_list.items():
         if h != 5 and len(nodes) <= ngram_join.SHORT:
             assert all((a, b) in found for a in nodes for b in nodes if a < b)
