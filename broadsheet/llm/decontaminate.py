@@ -2,28 +2,29 @@
 
 Of every W consecutive hashes of K words the least is kept as a fingerprint. A span of W + K - 1 words
 that a document shares with a benchmark item is such a window in both, so both keep the same hash at
-the same place in it: no shared span of that length goes unseen. Fingerprints are joined, and from each
-meeting the words are compared to the left and to the right as far as they agree.
+the same place in it: no shared span of that length goes unseen. Fingerprints are joined, and each meeting
+is extended to the left and to the right: every window of the document that the meeting may lie in is
+looked up among the benchmark's, once however many meetings it has, and compared word by word.
 
 The benchmark is small as a rule and then goes to every worker, after its size is checked; beyond
-BROADCAST_BYTES the fingerprints meet in a shuffle instead. Both ways give the same rows.
+BROADCAST_BYTES fingerprints and windows meet in shuffles instead. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.common import table
+from broadsheet.llm.common import cut, lookup, own_name, table
 from broadsheet.llm.hashing import LETTERS, chunks, gram_hashes, hash_words
 
 #: Words of a window; an item of fewer words is one window.
@@ -31,6 +32,9 @@ SPAN = 10
 #: A benchmark of at most so many bytes of text is sent to the workers whole.
 BROADCAST_BYTES = 16 << 20
 
+#: Bits of the filter that texts must pass before they move; its size does not depend on the data.
+FILTER_BITS = 1 << 27
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -69,42 +73,53 @@ def fingerprints(words: np.ndarray, begins: np.ndarray, k: int, w: int) -> tuple
     return place, grams[place]
 
 
+def around(place: np.ndarray, begins: np.ndarray, span: int) -> np.ndarray:
+    """Where the windows of `span` words begin that a fingerprint at one of these places can be kept for, each once."""
+    w = plan(span)[1]
+    text = np.searchsorted(begins, place, "right") - 1
+    starts = place[:, None] - np.arange(w)[None, :]
+    inside = (starts >= begins[text][:, None]) & (starts + span <= begins[text + 1][:, None])
+    return np.unique(starts[inside])
+
+
 class Index:
-    """Fingerprints of benchmark items, and their words for comparison."""
+    """Fingerprints and windows of benchmark items, and their words for comparison."""
 
     def __init__(self, ids: Sequence[object], texts: Sequence[str | None]) -> None:
         self.ids = ["" if i is None else str(i) for i in ids]
         self.words = [words_of(t) for t in texts]
         self.spans = sorted({min(len(x), SPAN) for x in self.words if x})
-        self.of: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
+        # a key under which no two different windows have one hash
+        self.key = next(key for key in itertools.count() if self._read(texts, key))
+
+    def _read(self, texts: Sequence[str | None], key: int) -> bool:
+        self.of: dict[int, tuple[np.ndarray, ...]] = {}
         for span in self.spans:
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            marks, windows, others, items, places = [], [], [], [], []
             for item, text in enumerate(texts):
-                if self.words[item] and min(len(self.words[item]), SPAN) == span:
-                    raw = np.frombuffer((text or "").encode(), np.uint8)
-                    hashes, begins = hash_words(raw, np.array([0, len(raw)]), _IN_WORD, LETTERS)
-                    for place, value in zip(*map(np.ndarray.tolist, fingerprints(hashes, begins, *plan(span))), strict=True):
-                        found[value].append((item, place))
-            self.of[span] = (np.array(sorted(found), np.uint64), dict(found))
-
-    def extend(self, words: list[str], meetings: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Runs of words that items share, from meetings (place in the text, item, place in the item)."""
-        runs, items, done = [], set(), {}
-        for place, item, at in sorted(meetings):
-            theirs, shift = self.words[item], place - at
-            if done.get((item, shift), -1) > place:
-                continue
-            low = place
-            while low > 0 and low - 1 - shift >= 0 and words[low - 1] == theirs[low - 1 - shift]:
-                low -= 1
-            high = place
-            while high < len(words) and high - shift < len(theirs) and words[high] == theirs[high - shift]:
-                high += 1
-            done[item, shift] = max(high, place + 1)
-            if high - low >= min(SPAN, len(theirs)):
-                runs.append((low, high))
-                items.add(item)
-        return runs, items
+                if not self.words[item] or min(len(self.words[item]), SPAN) != span:
+                    continue
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                bounds = np.array([0, len(raw)])
+                hashes, begins = hash_words(raw, bounds, _IN_WORD, LETTERS, key)
+                marks.append(fingerprints(hashes, begins, *plan(span))[1])
+                windows.append(gram_hashes(hashes, span))
+                others.append(gram_hashes(hash_words(raw, bounds, _IN_WORD, LETTERS, ~key)[0], span))
+                items.append(np.full(len(windows[-1]), item))
+                places.append(np.arange(len(windows[-1])))
+            window, other, item, place = map(np.concatenate, (windows, others, items, places))
+            order = np.lexsort((item, window))
+            window, other, item, place = (x[order] for x in (window, other, item, place))
+            if ((window[1:] == window[:-1]) & (other[1:] != other[:-1])).any():
+                return False
+            once = np.r_[True, (window[1:] != window[:-1]) | (item[1:] != item[:-1])]  # an item that repeats a window has it once
+            self.of[span] = (np.unique(np.concatenate(marks)), window[once], item[once], place[once])
+        return True
+
+    def found(self, span: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For hashes of windows the first and last entry that have them."""
+        known = self.of[span][1]
+        return np.searchsorted(known, windows, "left"), np.searchsorted(known, windows, "right")
 
 
 def covered(runs: Sequence[tuple[int, int]]) -> int:
@@ -129,20 +144,32 @@ def measure(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     n_words, n_hit, n_items = (np.zeros(len(texts), np.int64) for _ in range(3))
     shas = [NOTHING] * len(texts)
     for low, high, data, bounds in chunks(texts):
-        hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS)
+        hashes, begins = hash_words(data, bounds, _IN_WORD, LETTERS, index.key)
         n_words[low:high] = np.diff(begins)
-        meetings: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        runs: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+        words: dict[int, list[str]] = {}
         for span in index.spans:
-            known, where = index.of[span]
+            known, _, item_of, place_of = index.of[span]
             place, value = fingerprints(hashes, begins, *plan(span))
-            hit = np.flatnonzero(np.isin(value, known))
-            for p, v in zip(place[hit].tolist(), value[hit].tolist(), strict=True):
-                row = int(np.searchsorted(begins, p, "right")) - 1
-                meetings[row].extend((p - int(begins[row]), item, at) for item, at in where[v])
-        for row, met in meetings.items():
-            runs, items = index.extend(words_of(texts[low + row].as_py()), met)
-            ids = {index.ids[i] for i in items}
-            n_hit[low + row], n_items[low + row], shas[low + row] = covered(runs), len(ids), digest(ids)
+            starts = around(place[np.isin(value, known)], begins, span)
+            if not len(starts):
+                continue
+            first, last = index.found(span, gram_hashes(hashes, span)[starts])
+            some = np.flatnonzero(last > first)
+            seen: dict[int, set[int]] = {}
+            for start, entry, end in zip(starts[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                row = int(np.searchsorted(begins, start, "right")) - 1
+                mine = words.get(row) or words.setdefault(row, words_of(texts[low + row].as_py()))
+                at, theirs, there = start - int(begins[row]), index.words[item_of[entry]], int(place_of[entry])
+                if mine[at : at + span] == theirs[there : there + span]:
+                    runs.setdefault(row, []).append((at, at + span))
+                    if entry not in seen.setdefault(row, set()):
+                        seen[row].add(entry)
+                        items.setdefault(row, set()).update(item_of[entry:end].tolist())
+        for row, of_row in runs.items():
+            ids = {index.ids[i] for i in items[row]}
+            n_hit[low + row], n_items[low + row], shas[low + row] = covered(of_row), len(ids), digest(ids)
     return n_words, n_hit, n_items, shas
 
 
@@ -164,12 +191,46 @@ def _key(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
 
-def _met(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """key, n_hit, n_items and items_sha256 of every text that is hit, for a benchmark too large to send about."""
-    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text_"))
-    theirs = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("item_text")).distinct()
-    sizes = theirs.mapInArrow(_sizes, "span int").distinct()
-    spans = [r["span"] for r in sizes.collect()]  # SPAN values at most
+def _window_digest(words: Sequence[str]) -> bytes:
+    """What windows are compared by in a shuffle; no word has a blank."""
+    return hashlib.sha256(" ".join(words).encode()).digest()
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = {min(len(words_of(t)), SPAN) for t in batch.column(1).to_pylist()} - {0}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(spans), pa.int32())], ["span"])
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.conv(F.substring(key, 1, 12), 16, 10).cast("long"), F.lit(FILTER_BITS))
+
+
+def passing(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `texts` (key, text_) whose key may be in `keys`, by a bitmap of FILTER_BITS that every worker gets: no text moves."""
+    page = 1 << 15  # bits of one of Spark's bitmaps
+    pages = keys.select(_bit("key").alias("bit")).groupBy(F.floor(F.col("bit") / page).alias("page")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(page))).alias("bits"))
+    filled = np.zeros((FILTER_BITS // page, page // 8), np.uint8)
+    for r in pages.toLocalIterator():
+        filled[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(filled.ravel())  # FILTER_BITS
+
+    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.asarray(batch.column(2))
+            yield batch.select(["key", "text_"]).filter(pa.array((sent.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+
+    return texts.select("key", "text_", _bit("key").alias("bit")).mapInArrow(let_through, "key string, text_ string")
+
+
+def _met(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """key, low, high and window of every window that a text shares with an item, and the items' windows, for a benchmark too large to send about.
+
+    Only fingerprints leave the documents at first. Texts move where one of theirs is known, each once, and
+    of these only the windows around such a fingerprint go on.
+    """
+    theirs = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text_"))
+    spans = [r["span"] for r in theirs.mapInArrow(_sizes, "span int").distinct().collect()]  # SPAN values at most
 
     def kept(batches: Iterator[pa.RecordBatch], only_own: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,30 +246,39 @@ def _met(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_t
                     take = pa.array(pairs.f0 + low)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pairs.f1.view(np.int64)), pa.array(np.full(len(take), span, np.int32))], ["key", "value", "span"])
 
-    schema = "key string, value long, span int"
-    ours = texts.mapInArrow(lambda b: kept(b, False), schema)
-    known = theirs.select("item", "item_text").mapInArrow(lambda b: kept(b, True), schema).withColumnRenamed("key", "item")
-    pairs = ours.join(known, ["value", "span"]).select("key", "item").distinct()
-    once = texts.groupBy("key").agg(F.first("text_").alias("text_"))
-    both = pairs.join(once, "key").join(theirs, "item").select("key", "text_", "item", "item_text")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if words := words_of(text):
+                    span = min(len(words), SPAN)
+                    found = sorted({_window_digest(words[i : i + span]) for i in range(len(words) - span + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array(found, pa.binary())], ["item", "window"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index = Index([item], [item_text])
-                words = words_of(text)
-                raw = np.frombuffer(text.encode(), np.uint8)
+            for key, text, values in zip(*(batch.column(i) for i in range(3)), strict=True):
+                words, met = words_of(text.as_py()), {(v["span"], v["value"]) for v in values.as_py()}
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
                 hashes, begins = hash_words(raw, np.array([0, len(raw)]), _IN_WORD, LETTERS)
-                met = [(p, 0, at) for s in index.spans for p, v in zip(*map(np.ndarray.tolist, fingerprints(hashes, begins, *plan(s))), strict=True) for _, at in index.of[s][1].get(v, ())]
-                runs, found = index.extend(words, met)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(runs)), pa.array([item] * len(runs)), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64())], ["key", "item", "low", "high"])
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = set(rows["item"])
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_hit": [covered(list(zip(rows["low"], rows["high"], strict=True)))], "n_items": [len(ids)], "items_sha256": [digest(ids)]})
+                for span in sorted({s for s, _ in met}):
+                    place, value = fingerprints(hashes, begins, *plan(span))
+                    known = np.array([v for s, v in met if s == span], np.int64).view(np.uint64)
+                    starts = around(place[np.isin(value, known)], begins, span)
+                    out = [pa.array([key.as_py()] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(starts + span, pa.int64()), pa.array([_window_digest(words[i : i + span]) for i in starts.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, ["key", "low", "high", "window"])
 
-    return both.mapInArrow(compare, "key string, item string, low long, high long").groupBy("key").applyInPandas(gather, "key string, n_hit long, n_items long, items_sha256 string")
+    schema = "key string, value long, span int"
+    texts = docs.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
+    ours = texts.mapInArrow(lambda b: kept(b, False), schema).distinct().withColumn("mark", F.xxhash64("value", "span"))
+    known = theirs.mapInArrow(lambda b: kept(b, True), schema).groupBy(F.xxhash64("value", "span").alias("mark")).agg(F.count(F.lit(1)).alias("items_"))
+    of_text = lookup(cut(ours), cut(known), "mark", "items_", ["items_"]).filter("items_ is not null").groupBy("key").agg(F.collect_set(F.struct("span", "value")).alias("values"), F.lit(True).alias("met"))
+    of_text = cut(of_text)
+    # copies of a text leave their task once, and then meet in pairs of one and the same text
+    moved = passing(texts, of_text).join(of_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text_").alias("text_"))
+    mine = moved.join(of_text, "key").select("key", "text_", "values").mapInArrow(near, "key string, low long, high long, window binary")
+    of_items = cut(theirs.mapInArrow(windows, "item string, window binary").distinct())
+    had = of_items.groupBy("window").agg(F.count(F.lit(1)).alias("items_"))
+    return lookup(cut(mine), cut(had), "window", "items_", ["items_"]).filter("items_ is not null").drop("items_"), of_items
 
 
 def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
@@ -221,20 +291,21 @@ def _far(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
                 n[low:high] = np.diff(hash_words(data, bounds, _IN_WORD, LETTERS)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], [id_col, "key", "n_words"])
 
-    found = _met(docs, items, text_col, item_col, item_text)
+    met, of_items = _met(docs, items, text_col, item_col, item_text)
+    met = cut(met)
+    reached = F.max("high").over(Window.partitionBy("key").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    hit = met.select("key", F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.coalesce(reached, F.lit(0)))).alias("more")).groupBy("key").agg(F.sum("more").alias("n_hit"))
+    ids = met.select("key", "window").distinct().join(of_items, "window").select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("ids"))
     rows = docs.select(F.col(id_col), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text_"))
-    counted = rows.mapInArrow(count, T.StructType([rows.schema.fields[0], T.StructField("key", T.StringType()), T.StructField("n_words", T.LongType())]))
-    return counted.join(found, "key", "left").select(
-        id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(NOTHING)).alias("items_sha256")
+    counted = cut(rows.mapInArrow(count, T.StructType([rows.schema.fields[0], T.StructField("key", T.StringType()), T.StructField("n_words", T.LongType())])))
+    copies = counted.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    found = hit.join(ids, "key").join(copies, "key").select("key", "copies", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    none = F.lit(0).cast("long")
+    return lookup(counted, cut(found), "key", "copies", ["n_hit", "n_items", "items_sha256"]).select(
+        id_col, "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.lit(NOTHING)).alias("items_sha256")
     )
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = {min(len(words_of(t)), SPAN) for t in batch.column(1).to_pylist()} - {0}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(spans), pa.int32())], ["span"])
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of `docs`: id, n_words, n_hit, n_items, items_sha256 and contaminated.
 
@@ -260,11 +331,19 @@ def small_index(items: DataFrame, item_col: str, item_text: str, broadcast_bytes
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of `docs` that no benchmark item hits, with all their columns; see decontaminate()."""
+    """The rows of `docs` that no benchmark item hits, with all their columns; see decontaminate().
+
+    Null and empty texts stay, and all rows where the benchmark is empty; repeated rows stay or go together.
+    """
     index = small_index(items, item_col, item_text, broadcast_bytes)
     if index is None:
-        hit = _met(docs, items, text_col, item_col, item_text).select(F.col("key").alias("hit_key_"))
-        return docs.join(hit, _key(text_col) == F.col("hit_key_"), "left_anti")
+        key = own_name(docs, "hit_key_")
+        marked = docs.withColumn(key, _key(text_col))
+        met, _ = _met(docs, items, text_col, item_col, item_text)
+        hit = cut(met.select(F.col("key").alias(key)).distinct())
+        copies = marked.select(key).join(hit, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("copies_"))
+        of = own_name(docs, "copies_")
+        return lookup(marked, cut(copies.withColumnRenamed("copies_", of)), key, of, [of]).filter(F.col(of).isNull()).drop(key, of)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("long")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from broadsheet.llm.decontaminate import SPAN, decontaminate, words_of
+from broadsheet.llm.decontaminate import SPAN, Index, clean, decontaminate, measure, words_of
 
 DOCS = "doc_id long, text string, item string, key string, n_words string"
 
@@ -58,3 +58,27 @@ def test_empty_tables(spark, bound):
     b = spark.createDataFrame([], "item_id long, text string")
     assert sorted((r.doc_id, r.n_words, r.contaminated) for r in decontaminate(d, b, broadcast_bytes=bound).collect()) == [(1, 3, False), (2, 0, False)]
     assert decontaminate(d.limit(0), b.union(spark.createDataFrame([(1, "a")], "item_id long, text string")), broadcast_bytes=bound).collect() == []
+
+
+@pytest.mark.parametrize("bound", [1 << 30, -1])
+def test_clean(spark, bound):
+    docs, items = random_tables(5)
+    d = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in docs], "doc_id long, text string, hit_key_ string, copies_ string, key string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    left = clean(d, b, broadcast_bytes=bound)
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(((i, t) for (i, t) in docs if not brute([(i, t)], items)[0][-1]), key=repr)
+    assert clean(d.limit(0), b, broadcast_bytes=bound).collect() == []
+    assert clean(d, b.limit(0), broadcast_bytes=bound).count() == len(docs)
+
+
+def test_repeated_words_take_no_longer():
+    import time
+
+    import pyarrow as pa
+
+    text = "a b " * 10_000
+    began = time.perf_counter()
+    found = measure(Index([1], [text]), pa.array([text, "b a " * 4, "a b a"]))
+    assert time.perf_counter() - began < 1
+    assert [x.tolist() for x in found[:3]] == [[20_000, 8, 3], [20_000, 0, 0], [1, 0, 0]]
