@@ -1,8 +1,9 @@
 """Main text of HTML pages by scoring the tree.
 
 Paragraphs pass points for their length and commas to their ancestors, less the further up; the share
-of an element's text that stands in links takes from its points. The element with the most points and
-those of its siblings that look like parts of the same article are kept.
+of an element's text that stands in links takes from its points, and so do class and id words that name
+what is around articles. The element with the most points and those of its siblings that look like parts
+of the same article are kept, without the smaller parts that are named as furniture.
 """
 
 from __future__ import annotations
@@ -46,19 +47,26 @@ CLOSES = {
     "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot", "p"}, frozenset({"table"})),
     "option": ({"option"}, frozenset({"select", "datalist"})),
 }
-#: Words of class, id and role that say what is around an article. Matched as whole words.
+#: Words of class and id that name what is never article text. Matched as whole words.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc"
+    " sidebar sidebars comment comments commentlist disqus replies respond cookie cookies consent gdpr footer colophon".split()
+)
+#: Words that name what is around an article, mostly.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner banners sponsor sponsored sponsors promo promos promotion promoted"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc"
-    " sidebar sidebars aside rail widget widgets related recommended recommendations trending popular"
-    " header masthead topbar footer foot colophon bottom"
-    " comment comments commentlist disqus replies reply respond discussion"
-    " cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login"
+    "advertorial banner banners sponsor sponsored sponsors promo promos promotion promoted aside rail widget widgets related recommended recommendations trending popular"
+    " header masthead topbar foot bottom reply discussion notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login"
     " share sharing social form search searchform copyright legal disclaimer skip".split()
 )
-#: Of those, the ones that articles' own parts are named by as well, and the words that then outweigh them.
-WEAK = frozenset("header form social search skip bottom copyright legal notice notices discussion popular subscribe related share sharing".split())
+#: Beside a word of furniture these say no more than where or how much of it there is: "ad-box" is an ad, "popular-science" is not popular.
+FILLERS = frozenset(
+    "area bar block blocks body box btn button buttons col column container content entry group holder icon icons inline inner item items label layer left link links list main module outer panel posts"
+    " primary region right row secondary section segment slot stories thread title top unit wrap wrapper zone".split()
+)
+#: Names that articles' own parts have; such an element is scored, whatever other names it has.
 WITHIN = frozenset("article content main body story post entry headline".split())
+#: Of AROUND, what articles' own parts are named by as well.
+WEAK = frozenset("header form social search skip bottom copyright legal notice notices discussion popular subscribe related share sharing".split())
 #: Beside these, a word says what an element does or doesn't stand next to.
 BESIDE = frozenset("with has no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
@@ -68,14 +76,15 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element; children are nodes and strings in order of the page."""
 
-    __slots__ = ("attributes", "children", "doubt", "name", "parent", "points", "sizes")
+    __slots__ = ("attributes", "children", "goes", "name", "parent", "points", "sizes", "weight")
 
     def __init__(self, name: str, attributes: str, parent: Node | None) -> None:
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.doubt = 0  # 1 if its names speak of furniture and of articles, 2 if they rather mean a part beside one
-        self.sizes = (0, 0)  # code points of its text, and of that in links
+        self.weight = 1.0  # what its names, and those of the elements around it, leave of its points
+        self.goes = False  # whether it is left out of an article of which it is the smaller part
+        self.sizes = (0, 0)  # code points of its text, and of that in links, without parts that go
 
 
 def parse(page: str) -> Node:
@@ -145,11 +154,8 @@ def marks(node: Node) -> dict[str, str]:
     return out
 
 
-def is_around(node: Node) -> bool:
-    """Whether an element is furniture by its tag, role, class or id.
-
-    Articles, and elements that are named by words of articles too, are left to the points, and marked.
-    """
+def is_never(node: Node) -> bool:
+    """Whether an element is furniture by its tag, by being hidden or by its role."""
     if node.name in DROPPED:
         return True
     if node.name == "header":  # one inside an article is its headline's
@@ -162,34 +168,60 @@ def is_around(node: Node) -> bool:
     has = marks(node)
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I):
         return True
-    if has.get("role", "").lower() in ROLES:
-        return True
-    words = {w.lower() for w in WORD.findall(f"{has.get('class', '')} {has.get('id', '')}")}
-    found = words & AROUND
+    return has.get("role", "").lower() in ROLES
+
+
+def named(node: Node) -> tuple[float, bool, bool]:
+    """What its class and id leave of an element's points, whether it goes where it is the smaller part, and whether it is dropped outright.
+
+    A name that is nothing but furniture drops an element or takes most of its points; one that has other
+    words too, as "popular-science" or "bottom-line", takes little and drops nothing. Articles, and elements
+    that are also named by words of articles, are left to the points.
+    """
+    if not node.attributes or node.name in ("html", "body", "main", "a"):
+        return 1.0, False, False
+    has = marks(node)
+    names = [[w.lower() for w in WORD.findall(name)] for name in re.split(r"\s+|--", f"{has.get('class', '')} {has.get('id', '')}")]
+    words = {w for name in names for w in name}
+    found = words & (AROUND | NEVER)
     if not found or words & BESIDE or words & WITHIN and found <= WEAK:
-        return False
-    if node.name != "article" and not words & WITHIN:
-        return True
-    # "post-content" is content, "post-comments" are comments; what stands after "--" is a variant
-    last = {w[-1].lower() for name in re.split(r"\s+|--", f"{has.get('class', '')} {has.get('id', '')}") if (w := WORD.findall(name))}
-    node.doubt = 1 if last & WITHIN else 2
-    return False
+        return 1.0, False, False
+    if node.name == "article" or words & WITHIN:
+        # "post-content" is content, "post-comments" are comments, "comment-body" is one's; what stands after "--" is a variant
+        part = not {name[-1] for name in names if name} & WITHIN or any(name[0] in NEVER and len(name) > 1 for name in names if name)
+        return 0.75, part and node.name != "article", False
+    pure = [set(name) for name in names if set(name) & found and all(w in found or w in FILLERS or len(w) < 3 for w in name)]
+    if any(name & NEVER for name in pure):
+        return 0.0, True, True
+    if pure:
+        return 0.1, True, False
+    return (0.5, True, False) if words & NEVER else (0.8, False, False)
 
 
 def prune(root: Node) -> None:
-    """Takes away furniture, and measures the text and link text of what stays."""
+    """Takes away furniture, weighs what may be some, and measures the text and link text of what stays."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not is_around(c)]
-        stack.extend(c for c in node.children if not isinstance(c, str))
+        kept: list[Node | str] = []
+        for c in node.children:
+            if not isinstance(c, str):
+                if is_never(c):
+                    continue
+                weight, c.goes, dropped = named(c)
+                if dropped:
+                    continue
+                c.weight = node.weight * weight
+                stack.append(c)
+            kept.append(c)
+        node.children = kept
     for node in reversed(order):
         text = linked = 0
         for c in node.children:
             if isinstance(c, str):
                 text += len(c.strip())
-            else:
+            elif not c.goes:
                 text += c.sizes[0]
                 linked += c.sizes[1]
         node.sizes = (text, text if node.name == "a" else linked)
@@ -221,6 +253,19 @@ def own_text(node: Node) -> str:
     return "".join(out)
 
 
+#: What an element's tag makes of its points.
+TAGS = {"article": 2.0, "main": 1.5, "html": 0.5, "#root": 0.4, "body": 0.8}
+#: A part of an article has at least this share of the best one's points or text, and less of its text in links.
+LIKE, LINKED = 0.2, 0.3
+#: What is named as furniture alone is an article only with so much text.
+LEAST = 200
+
+
+def _alike(nodes_: list[Node], best_: Node) -> list[Node]:
+    """Of article elements those that are parts of one article with the best."""
+    return [n for n in nodes_ if n is best_ or not n.goes and n.weight >= best_.weight and density(n) < LINKED and n.sizes[0] >= LIKE * best_.sizes[0]]
+
+
 def best(root: Node) -> list[Node]:
     """The container with the most points and its kept siblings, in the order of the page."""
     scored: list[Node] = []
@@ -232,38 +277,44 @@ def best(root: Node) -> list[Node]:
             continue
         points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - density(node))
         up, share, level = node.parent if node.name not in ("div", "section", "article", "main", "td", "body") else node, 1.0, 0
-        while up and level < 5:
+        inner = node
+        while up and level < 5 and not (inner.goes and inner is not up):  # what goes tells nothing of what is around it
             if not up.points:
                 scored.append(up)
             up.points += points * share
             level += 1
             share = 1 / (level + 1)
-            up = up.parent
+            inner, up = up, up.parent
     if not scored:
-        return [root]
+        return [root] if root.sizes[0] else []
     articles = [n for n in nodes(root) if n.name in ("article", "main") and n.sizes[0]]
     for node in scored:
-        node.points *= (1 - density(node)) * {"article": 2.0, "main": 1.5, "html": 0.5, "#root": 0.4, "body": 0.8}.get(node.name, 1.0) * (0.75 if node.doubt else 1.0)
+        node.points *= (1 - density(node)) * TAGS.get(node.name, 1.0) * node.weight
     top = max(scored, key=lambda n: n.points)
+    if top.weight <= 0.1 and top.sizes[0] < LEAST:
+        return []
     # a page's own article or main element that holds the winner, or that the winner holds alone, is the whole of it
     inside = top
     while inside and inside.name not in ("article", "main"):
         inside = inside.parent
     if inside:
-        return [inside]
+        if inside.name == "main" or not inside.parent:
+            return [inside]
+        return _alike([c for c in inside.parent.children if not isinstance(c, str) and c.name == "article"], inside)
     held = [a for a in articles if _holds(top, a)]
-    if held and sum(a.sizes[0] for a in held if not any(o is not a and _holds(o, a) for o in held)) >= 0.3 * top.sizes[0]:
-        largest = max(held, key=lambda a: a.points or a.sizes[0] / 100)
-        return [largest]
+    outer = [a for a in held if not any(o is not a and _holds(o, a) for o in held)]
+    if held and sum(a.sizes[0] for a in outer) >= 0.3 * top.sizes[0]:
+        return _alike(outer, max(outer, key=lambda a: a.points or a.sizes[0] / 100))
     if not top.parent:
         return [top]
-    least = max(10.0, 0.2 * top.points)
     kept = []
     for c in top.parent.children:
-        if isinstance(c, str):
+        if isinstance(c, str) or c.goes and c is not top:
             continue
         text, linked = c.sizes[0], density(c)
-        if c is top or c.points >= least or c.name in HEADINGS and linked < 0.5 or c.name in ("p", "blockquote", "pre") and (text > 80 and linked < 0.25 or text and not linked and own_text(c).rstrip().endswith((".", "!", "?", "。"))):
+        as_good = c.points >= LIKE * top.points and linked < LINKED and text >= 80
+        sentence = c.name in ("p", "blockquote", "pre") and (text > 80 and linked < 0.25 or text and not linked and own_text(c).rstrip().endswith((".", "!", "?", "。")))
+        if c is top or as_good or c.name in HEADINGS and linked < 0.5 or sentence:
             kept.append(c)
     return kept
 
@@ -282,7 +333,7 @@ def is_link_list(node: Node) -> bool:
 
 
 def blocks(kept: list[Node]) -> list[str]:
-    """The text of each block, in the order of the page."""
+    """The text of each block, in the order of the page. Lists of links go only where the container is the page itself."""
     out: list[str] = []
     line: list[str] = []
 
@@ -293,6 +344,7 @@ def blocks(kept: list[Node]) -> list[str]:
             out.append(text)
 
     for top in kept:
+        page = top.name in ("body", "html", "#root")
         stack: list[Node | str | None] = [top]
         while stack:
             c = stack.pop()
@@ -302,7 +354,7 @@ def blocks(kept: list[Node]) -> list[str]:
                 line.append(c)
             elif c.name == "br":
                 line.append(" ")
-            elif c not in kept and (is_link_list(c) or c.doubt == 2 and c.sizes[0] < 0.5 * top.sizes[0]):
+            elif c is not top and (page and is_link_list(c) or c.goes and c.sizes[0] <= top.sizes[0]):
                 end()
             else:
                 block = c.name in BLOCKS

@@ -267,6 +267,41 @@ def test_html_articles_with_names_of_furniture(opening):
     assert html_extract.main_text(page) == "\n".join(body)
 
 
+PARAGRAPHS = [f"Paragraph {i} of the article, long enough, with commas, and so on, for it to be taken as its text." for i in range(4)]
+
+
+def marked_up(paragraphs):
+    return "".join(f"<p>{p}</p>" for p in paragraphs)
+
+
+@pytest.mark.parametrize("attribute", ['class="popular-science"', 'class="bottom-line"', 'id="social-policy"', 'class="legal-affairs"', 'class="widget"', 'class="overlay"', 'class="comment-is-free"', 'class="related"', 'class="sidebar-content"'])
+@pytest.mark.parametrize("beside", ["", "<div><div><p>Another paragraph of the page, short.</p></div></div>", '<div class="footer">x</div>'])
+def test_html_names_weigh_and_do_not_cut(attribute, beside):
+    assert html_extract.main_text(f"<body><ul><li><a href=/>Home</a></ul><div class=wrap><div {attribute}>{marked_up(PARAGRAPHS)}</div></div>{beside}</body>") == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("opening,closing", [("<article>", "</article>"), ("<div>", "</div>"), ('<main><article class="x">', "</article></main>"), ("<section id=a>", "</section>")])
+def test_html_links_of_an_article_stay(opening, closing):
+    sources = "<h2>Sources</h2><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    page = f'<body><div class="nav"><a href=1>x</a></div>{opening}{marked_up(PARAGRAPHS)}{sources}{closing}</body>'
+    assert html_extract.main_text(page) == "\n".join([*PARAGRAPHS, "Sources", "First source", "Second source"])
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "section"])
+@pytest.mark.parametrize("first", [1, 2, 3])
+@pytest.mark.parametrize("outer", ["div", "main", "body"])
+def test_html_parts_of_an_article_stay_together(tag, first, outer):
+    parts = f"<{tag}>{marked_up(PARAGRAPHS[:first])}</{tag}><{tag}>{marked_up(PARAGRAPHS[first:])}</{tag}>"
+    page = f'<body><{outer}>{parts}</{outer}><div class="comments"><div>{marked_up(PARAGRAPHS * 2)}</div></div></body>' if outer != "body" else f"<body>{parts}</body>"
+    assert html_extract.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+def test_html_parts_named_as_furniture_go():
+    page = f'<body><div class=a>{marked_up(PARAGRAPHS)}<div class="related-posts"><p>Other, other, other things.</p></div><div class="ad">Buy</div><div class="comment-body"><p>Well, well.</p></div></div></body>'
+    assert html_extract.main_text(page) == "\n".join(PARAGRAPHS)
+    assert html_extract.main_text('<body><div class="newsletter">Sign up now</div></body>') == ""
+
+
 def test_html_of_the_tables(spark):
     """Pages of the tables mark their article, so that its blocks can be read off."""
     import html
