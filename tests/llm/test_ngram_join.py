@@ -201,9 +201,13 @@ def test_subsets_and_boundary():
     assert boundary(1.0) < boundary(100.0) <= ngram_join.LARGEST_SMALL
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [50_000, 3])
+def test_components(spark, monkeypatch, hub):
+    from broadsheet.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
     r = random.Random(3)
-    edges = [(i, i + 1) for i in range(200)] + [(r.randrange(300, 900), r.randrange(300, 900)) for _ in range(250)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(200)] + [(r.randrange(300, 900), r.randrange(300, 900)) for _ in range(250)] + [(5, 5)] + [(1000, i) for i in range(1001, 1100)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     up = {}
 
