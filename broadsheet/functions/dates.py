@@ -6,6 +6,7 @@ A date in a copyright line is never taken. What is found later than `latest` cou
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ _META_REVERSED = rf"(?is)<meta[^>]* content=.\s*{_DAY}[^>]*(?:name|property|item
 _LINKED = rf"(?is)\"datePublished\"\s*:\s*\"{_DAY}"
 _TIME = rf"(?is)<time[^>]* datetime=.\s*{_DAY}"
 _MONTHS = "january february march april may june july august september october november december".split(" ")
+_NUMBERS = "".join(m[:3] for m in _MONTHS)
 _MONTH = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in _MONTHS)
 _DAY_MONTH = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?({_MONTH})\.?,? ((?:19|20)\d{{2}})\b"
 _MONTH_DAY = rf"(?i)\b({_MONTH})\.? (\d{{1,2}})(?:st|nd|rd|th)?,? ((?:19|20)\d{{2}})\b"
@@ -31,11 +33,20 @@ def _day(x: Column) -> Column:
     return F.try_to_timestamp(F.nullif(x, F.lit("")), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(x), body)[0]
+
+
 def from_url(url: Column) -> Column:
-    """A date in the path: /2021/04/30/, or /2021-04-30, or /20210430/."""
-    got = F.regexp_extract(url, r"/((?:19|20)\d{2})[/_-]?(\d{1,2})[/_-]?(\d{1,2})(?:[/_.-]|$)", 0)
-    parts = [F.lpad(F.regexp_extract(url, r"/((?:19|20)\d{2})([/_-]?)(\d{1,2})\2(\d{1,2})(?:[/_.-]|$)", i), n, "0") for i, n in ((1, 4), (3, 2), (4, 2))]
-    return F.when(got != "", _day(F.concat_ws("-", *parts)))
+    """A date in the path: /2021/04/30/, or /2021-4-30, or /20210430/, which takes all eight digits."""
+
+    def parts(found: Column) -> Column:
+        return F.concat_ws("-", F.substr(found, F.lit(2), F.lit(4)), *(F.lpad(F.regexp_extract(found, r"^/\d{4}[/_-]?(\d{1,2})[/_-]?(\d{1,2})", i), 2, "0") for i in (1, 2)))
+
+    parted = F.regexp_extract(url, r"/(?:19|20)\d{2}([/_-])\d{1,2}\1\d{1,2}(?=[/_.-]|$)", 0)
+    packed = F.regexp_extract(url, r"/(?:19|20)\d{6}(?=[/_.-]|$)", 0)
+    of = lambda found: _let(found, lambda f: F.when(f != "", _day(parts(f))))
+    return F.coalesce(of(parted), of(packed))
 
 
 def from_tags(page: Column) -> Column:
@@ -44,14 +55,21 @@ def from_tags(page: Column) -> Column:
 
 
 def _written(text: Column, pattern: str, day: int, month: int) -> Column:
-    number = F.element_at(F.create_map(*(F.lit(x) for i, m in enumerate(_MONTHS) for x in (m[:3], f"{i + 1:02d}"))), F.lower(F.left(F.regexp_extract(text, pattern, month), F.lit(3))))
-    return F.when(text.rlike(pattern), _day(F.concat_ws("-", F.regexp_extract(text, pattern, 3), number, F.lpad(F.regexp_extract(text, pattern, day), 2, "0"))))
+    """The first date of a pattern; the text is searched once, and what was found is taken apart."""
+
+    def day_of(found: Column) -> Column:
+        number = F.lpad(F.floor(F.instr(F.lit(_NUMBERS), F.lower(F.left(F.regexp_extract(found, pattern, month), F.lit(3)))) / 3 + 1).cast("string"), 2, "0")
+        return F.when(found != "", _day(F.concat_ws("-", F.regexp_extract(found, pattern, 3), number, F.lpad(F.regexp_extract(found, pattern, day), 2, "0"))))
+
+    return _let(F.regexp_extract(text, pattern, 0), day_of)
 
 
 def from_text(page: Column) -> Column:
     """The first date written out, day or month first, outside copyright lines."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style|footer)\b.*?</\1>", " "), _COPYRIGHT, " "), "(?s)<[^>]*>", " ")
-    return F.coalesce(_written(text, _DAY_MONTH, 1, 2), _written(text, _MONTH_DAY, 2, 1))
+    text = F.regexp_replace(page, r"(?is)<(script|style|footer)\b.*?</\1>", " ")
+    for pattern in (_COPYRIGHT, "(?s)<[^>]*>"):
+        text = F.regexp_replace(text, pattern, " ")
+    return _let(text, lambda t: F.coalesce(_written(t, _DAY_MONTH, 1, 2), _written(t, _MONTH_DAY, 2, 1)))
 
 
 def latest(as_of: dt.datetime) -> dt.datetime:

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import functools
-import re
-import zipfile
-from pathlib import Path
-from typing import Any
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from importlib import resources
 
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet.functions.urls import host, ip_host, normalize
-from broadsheet.plans.dialect import SPARK
 
 #: Services whose subdomains are sites of their own.
 BLOG_SERVICES = (
@@ -30,68 +27,76 @@ BLOG_SERVICES = (
 BLOG = "(?i)" + "|".join(BLOG_SERVICES)
 
 
-@functools.lru_cache(1)
-def suffix_rules() -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
-    """(plain, wildcard, exception) rules of the public suffix list that ships with Spark, ICANN's part."""
-    jars = sorted((Path(pyspark.__file__).parent / "jars").glob("httpclient-4*.jar"))
-    with zipfile.ZipFile(jars[0]) as jar:
-        text = jar.read("mozilla/public-suffix-list.txt").decode()
-    rules = [r.strip() for r in text.split("===BEGIN ICANN DOMAINS===")[1].split("===END ICANN DOMAINS===")[0].splitlines()]
-    rules = [r.encode("idna").decode() if not r.isascii() and "*" not in r else r for r in rules if r and not r.startswith("//")]
-    return tuple(r for r in rules if r[0] not in "*!"), tuple(r[2:] for r in rules if r.startswith("*.")), tuple(r[1:] for r in rules if r.startswith("!"))
+@dataclass(frozen=True)
+class Suffixes:
+    """The rules of a public suffix list: plain ones, those whose every child is a suffix, and children that are none."""
 
+    plain: frozenset[str]
+    wild: frozenset[str]
+    exceptions: frozenset[str]
 
-@functools.lru_cache(1)
-def suffix_pattern() -> str:
-    """One pattern for the longest public suffix of a host whose labels are in reverse, as a tree of labels."""
-    plain, wild, exceptions = suffix_rules()
-    tree: dict = {}
+    @classmethod
+    def of(cls, lines: Iterable[str]) -> Suffixes:
+        """From the lines of a list; names are taken in the form that hosts have in URLs."""
+        rules = [r.strip() for r in lines]
+        rules = [r.encode("idna").decode() if not r.isascii() and r[0] not in "*!" else r for r in rules if r and not r.startswith("//")]
+        return cls(frozenset(r for r in rules if r[0] not in "*!"), frozenset(r[2:] for r in rules if r.startswith("*.")), frozenset(r[1:] for r in rules if r.startswith("!")))
 
-    def node(rule: str) -> dict:
-        at = tree
-        for label in reversed(rule.split(".")):
-            at = at.setdefault(label, {})
-        return at
+    def labels(self) -> int:
+        """The most labels that a suffix has."""
+        return max((r.count(".") + 1 + (r in self.wild) for r in self.plain | self.wild), default=1)
 
-    for rule in plain:
-        node(rule)[""] = True
-    for rule in wild:
-        node(rule)["*"] = True
-    for rule in exceptions:
-        node(rule.partition(".")[2]).setdefault("!", []).append(rule.partition(".")[0])
 
-    def pattern(at: dict) -> str:
-        below = [re.escape(label) + "(?![^.])" + pattern(next_) for label, next_ in sorted(at.items()) if label not in ("", "*", "!")]
-        if "*" in at:
-            below.append(f"(?!(?:{'|'.join(map(re.escape, at.get('!', ['/'])))})(?![^.]))[^.]+")
-        if not below:
-            return ""
-        # a wildcard's parent is a suffix where nothing stands before it
-        return f"(?:\\.(?:{'|'.join(below)}))" + ("?" if "" in at or "*" in at else "")
+@functools.lru_cache(1)
+def known_suffixes() -> Suffixes:
+    """The list that comes with the package."""
+    return Suffixes.of(resources.files("broadsheet.data").joinpath("public_suffix_list.dat").read_text("utf-8").splitlines())
 
-    return "^(?:" + "|".join(re.escape(label) + "(?![^.])" + pattern(at) for label, at in sorted(tree.items(), key=lambda x: (x[0] not in ("com", "net", "org"), x[0]))) + ")"
 
+@functools.lru_cache(4)
+def _rule(suffixes: Suffixes) -> str:
+    """A SQL function of a host that gives its longest public suffix: its endings, each tested by a list of names of its length.
 
-def _turned(name: Column) -> Column:
-    return F.array_join(F.reverse(F.split(name, "[.]")), ".")
+    It is text, as the list would take a call to the JVM for each name otherwise.
+    """
+    end = lambda i: f"substring_index(h, '.', -{i})"
+    among = lambda i, names: f"{end(i)} IN (" + ", ".join("'" + n.replace("\\", "").replace("'", "") + "'" for n in names) + ")"
+    of_size = lambda names, i: sorted(n for n in names if n.count(".") + 1 == i)
+    cases = []
+    for i in range(suffixes.labels(), 0, -1):
+        tests = [among(i, listed)] if (listed := of_size(suffixes.plain | suffixes.wild, i)) else []
+        if above := of_size(suffixes.wild, i - 1):
+            spared = of_size(suffixes.exceptions, i)
+            tests.append(f"{among(i - 1, above)} AND {end(i)} <> {end(i - 1)}" + (f" AND NOT {among(i, spared)}" if spared else ""))
+        if tests:
+            cases.append(f"WHEN {' OR '.join(f'({t})' for t in tests)} THEN {end(i)}")
+    return f"h -> CASE {' '.join(cases)} END" if cases else "h -> CAST(NULL AS STRING)"
+
+
+def public_suffix(name: Column, suffixes: Suffixes | None = None) -> Column:
+    """The longest public suffix that a host ends in; null without one.
+
+    A host has few endings, and each is looked for among the rules of as many labels, which Spark keeps as
+    a hash set. Nothing is joined.
+    """
+    return F.call_function("transform", F.array(name), F.expr(_rule(suffixes or known_suffixes())))[0]
 
 
-def public_suffix(name: Column) -> Column:
-    """The longest public suffix that a host ends in; null without one."""
-    return F.nullif(_turned(F.regexp_extract(_turned(name), suffix_pattern(), 0)), F.lit(""))
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(x), body)[0]
 
 
-def registered(name: Column) -> Column:
-    """The public suffix and the label before it; empty where there is no such label."""
+def _main(name: Column, suffix: Column) -> Column:
+    rest = F.when(F.length(name) > F.length(suffix) + 1, F.left(name, F.length(name) - F.length(suffix) - 1)).otherwise(F.lit(""))
+    return F.when(suffix.isNull() | (rest == ""), F.lit("")).otherwise(F.concat(F.substring_index(rest, ".", -1), F.lit("."), suffix))
 
-    def of(suffix: Column) -> Column:
-        rest = F.when(F.length(name) > F.length(suffix) + 1, F.left(name, F.length(name) - F.length(suffix) - 1)).otherwise(F.lit(""))
-        return F.when(suffix.isNull() | (rest == ""), F.lit("")).otherwise(F.concat(F.regexp_extract(rest, r"[^.]*$", 0), F.lit("."), suffix))
 
-    return F.transform(F.array(public_suffix(name)), of)[0]
+def registered(name: Column, suffixes: Suffixes | None = None) -> Column:
+    """The public suffix and the label before it; empty where there is no such label."""
+    return _let(public_suffix(name, suffixes), lambda suffix: _main(name, suffix))
 
 
-def canonical_domain(url: Column) -> Column:
+def canonical_domain(url: Column, suffixes: Suffixes | None = None) -> Column:
     """The name that a URL's site goes by.
 
     An address is itself; on services for blogs, which are looked for in the whole normal form, the
@@ -100,24 +105,25 @@ def canonical_domain(url: Column) -> Column:
     """
 
     def of(normal: Column) -> Column:
-        name = host(normal)
+        parts = F.struct(normal.alias("url"), host(normal).alias("host"))
+        return _let(parts, lambda p: _let(F.struct(p["url"].alias("url"), p["host"].alias("host"), public_suffix(p["host"], suffixes).alias("suffix")), named))
 
-        def with_host(h: Column) -> Column:
-            def with_main(main: Column) -> Column:
-                sub = F.when(F.length(h) > F.length(main) + 1, F.left(h, F.length(h) - F.length(main) - 1)).otherwise(F.lit(""))
-                named = F.when(normal.rlike(BLOG), F.concat(sub, F.lit("."), main)).otherwise(main)
-                amp = lambda d: F.replace(F.replace(F.replace(F.replace(F.replace(d, F.lit(".cdn.ampproject.org"), F.lit("")), F.lit("amp-"), F.lit("")), F.lit("/"), F.lit("")), F.lit("--"), F.lit("-")), F.lit("-"), F.lit("."))
-                told = F.transform(F.array(named), lambda d: F.when(F.contains(d, F.lit("cdn.ampproject.org")), amp(d)).otherwise(d))[0]
-                return F.when((told == "") & (public_suffix(h) == h), h).otherwise(told)
+    def named(p: Column) -> Column:
+        h, suffix = p["host"], p["suffix"]
 
-            return F.transform(F.array(registered(h)), with_main)[0]
+        def with_main(main: Column) -> Column:
+            sub = F.when(F.length(h) > F.length(main) + 1, F.left(h, F.length(h) - F.length(main) - 1)).otherwise(F.lit(""))
+            name = F.when(p["url"].rlike(BLOG), F.concat(sub, F.lit("."), main)).otherwise(main)
+            return _let(name, lambda d: F.when(F.contains(d, F.lit("cdn.ampproject.org")), _origin(d)).when((d == "") & (suffix == h), h).otherwise(d))
 
-        return F.transform(F.array(name), with_host)[0]
+        return _let(_main(h, suffix), with_main)
 
-    return F.coalesce(ip_host(url), F.transform(F.array(normalize(url)), of)[0])
+    return F.coalesce(ip_host(url), _let(normalize(url), of))
 
 
-def canonical_domain_of(url: Any, suffixes: tuple[str, ...], on: Any = SPARK) -> Any:
-    """canonical_domain() for hosts under suffixes of one label that are given, over any dialect."""
-    main = on.concat(on.lit(""), on.extract(host(normalize(url, on), on), r"[^.]+\.(?:" + "|".join(suffixes) + ")$"))
-    return on.first_given(ip_host(url, on), main)
+def _origin(cached: Column) -> Column:
+    """The host that a cached copy is of, from the cache's name for it."""
+    out = cached
+    for old, new in ((".cdn.ampproject.org", ""), ("amp-", ""), ("/", ""), ("--", "-"), ("-", ".")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.plans.dialect import SPARK, found
 
-_DC = r"(?is)<meta[^>]* (?:name|property)=.dc\.language.[^>]* content=\"([^\"]+)\""
-_HTTP = r"(?is)<meta[^>]* (?:http-equiv)=.Content-Language.[^>]* content=\"([^\"]+)\""
-_HTML = r"(?is)<html[^>]* (?:xml:lang|lang)=\"([^\"]+)\""
+# ---- fixed values: where a page says its language, the first that is found ----
+_DC = r'(?is)<meta[^>]* (?:name|property)=.dc\.language.[^>]* content="([^"]+)"'
+_HTTP = r'(?is)<meta[^>]* (?:http-equiv)=.Content-Language.[^>]* content="([^"]+)"'
+_HTML = r'(?is)<html[^>]* (?:xml:lang|lang)="([^"]+)"'
+# ---- end of fixed values ----
 #: Rows of each language that a classifier is fitted on at most.
 TRAIN_ROWS = 400
 #: Different trigrams kept of each language.
@@ -24,7 +29,7 @@ TRIGRAMS = 3000
 
 def from_tags(page: Any, on: Any = SPARK) -> Any:
     """What a page says of itself: dc.language, then Content-Language, then the html element."""
-    return on.first_given(*(found(page, p.replace('\\"', '"'), 1, on) for p in (_DC, _HTTP, _HTML)))
+    return on.first_given(*(found(page, p, 1, on) for p in (_DC, _HTTP, _HTML)))
 
 
 def pick(said: Any, guessed: Any, on: Any = SPARK) -> Any:
@@ -43,30 +48,69 @@ def _trigrams(text: str) -> Counter[str]:
     return Counter(text[i : i + 3] for i in range(len(text) - 2))
 
 
-def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, float]]:
-    """Log probabilities of trigrams by language, from TRAIN_ROWS whole texts of each, the first by a hash."""
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col))
-    rows = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.row_number().over(first).alias("k")).filter(F.col("k") <= TRAIN_ROWS)
+@dataclass(frozen=True)
+class Model:
+    """Log probabilities: a row for each trigram that is kept of any language, a column for each language."""
+
+    languages: tuple[str, ...]
+    place: dict[str, int]
+    logs: np.ndarray
+    unknown: np.ndarray
+
+    @classmethod
+    def of(cls, counts: Mapping[str, Counter[str]]) -> Model:
+        """From the trigrams of each language, TRIGRAMS of them at most."""
+        names = tuple(sorted(counts))
+        kept = {lang: dict(counts[lang].most_common(TRIGRAMS)) for lang in names}
+        place = {g: i for i, g in enumerate(sorted({g for k in kept.values() for g in k}))}
+        total = np.array([sum(counts[lang].values()) + TRIGRAMS for lang in names], float)
+        logs = np.tile(-np.log(total), (len(place), 1)) if names else np.zeros((0, 0))
+        for j, lang in enumerate(names):
+            for g, k in kept[lang].items():
+                logs[place[g], j] = math.log((k + 1) / total[j])
+        return cls(names, place, logs, -np.log(total))
+
+
+def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from TRAIN_ROWS whole texts of each language, the first by a hash.
+
+    Trigrams are counted where the texts are; a text longer than others counts for as much as it has.
+    """
+    first = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
+    rows = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRAIN_ROWS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter[str]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, Counter()).update(_trigrams(text or ""))
+        for lang, n in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["l", "g", "n"])
+
     counts: dict[str, Counter[str]] = {}
-    for r in rows.toLocalIterator():
-        counts.setdefault(r.l, Counter()).update(_trigrams(r.t or ""))
-    model = {}
-    for lang, n in counts.items():
-        total = sum(n.values()) + TRIGRAMS
-        model[lang] = {g: math.log((k + 1) / total) for g, k in n.most_common(TRIGRAMS)} | {"": math.log(1 / total)}
-    return model
+    summed = rows.select("l", "t").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    # as many as a language has letters to make trigrams of, however many texts there are
+    for r in summed.orderBy("l", F.desc("n"), "g").toLocalIterator():
+        counts.setdefault(r.l, Counter())[r.g] = r.n
+    return Model.of(counts)
 
 
-def classify(model: dict[str, dict[str, float]], text: str | None) -> str | None:
+def classify(model: Model, text: str | None) -> str | None:
     """The likeliest language; null for a text without letters. Ties go to the first code."""
     grams = _trigrams(text or "")
-    if not model or not any(g.strip() for g in grams):
+    if not model.languages or not any(g.strip() for g in grams):
         return None
-    score = lambda lang: round(sum(k * model[lang].get(g, model[lang][""]) for g, k in grams.items()), 6)
-    return max(sorted(model), key=score)
+    known = [(i, k) for g, k in grams.items() if (i := model.place.get(g)) is not None]
+    rest = sum(grams.values()) - sum(k for _, k in known)
+    score = rest * model.unknown
+    if known:
+        at, times = np.array(known).T
+        score = score + times @ model.logs[at]
+    return model.languages[int(np.argmax(np.round(score, 6)))]
 
 
-def from_text(text: Column, model: dict[str, dict[str, float]]) -> Column:
+def from_text(text: Column, model: Model) -> Column:
     """classify() as a column."""
 
     @F.pandas_udf("string")
@@ -74,8 +118,3 @@ def from_text(text: Column, model: dict[str, dict[str, float]]) -> Column:
         return texts.map(lambda t: classify(model, t))
 
     return guess(text)
-
-
-def known(model: dict[str, dict[str, float]]) -> Sequence[str]:
-    """The languages of a model."""
-    return sorted(model)

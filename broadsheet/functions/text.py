@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import html
-import io
-from html.parser import HTMLParser
+import re
 from typing import Any
 
 import pandas as pd
@@ -45,29 +44,30 @@ def unescape(text: Any, on: Any = SPARK) -> Any:
     return rewritten(text, [(f"(?:{name})", char) for name, char in ENTITIES], on)
 
 
-class _BetweenTags(HTMLParser):
-    """Keeps what stands between tags. References are not resolved, only closed by a semicolon."""
+#: What a browser takes for markup: comments, declarations, and tags, whose quoted values may hold anything.
+MARKUP = r"(?s)<!--.*?-->|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+#: A character reference, perhaps without the semicolon at its end.
+REFERENCE = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
 
-    def __init__(self, markup: str) -> None:
-        super().__init__(convert_charrefs=False)
-        self.kept = io.StringIO()
-        self.handle_data = self.kept.write
-        self.handle_entityref = lambda name: self.kept.write(f"&{name};")
-        self.handle_charref = lambda number: self.kept.write(f"&#{number};")
-        self.feed(markup)
-        self.close()
+
+_MARKUP, _REFERENCE = re.compile(MARKUP), re.compile(REFERENCE)
 
 
 def without_tags(value: str) -> str:
-    """Parsed again as long as that makes tags go; broken markup that is no tag stays."""
-    while ">" in value and (shorter := _BetweenTags(value).kept.getvalue()).count("<") != value.count("<"):
-        value = shorter
-    return value
+    """Markup taken out, and again as long as that puts new markup together.
+
+    The text of scripts and styles stays, as does what is no markup: "a < b > c", or a tag that never ends.
+    References are not resolved, only closed by a semicolon.
+    """
+    before = None
+    while before != value:
+        before, value = value, _MARKUP.sub("", value)
+    return _REFERENCE.sub(r"&\1;", value)
 
 
 @F.pandas_udf(T.StringType())
 def strip_tags_exact(texts: pd.Series) -> pd.Series:
-    """strip_tags() for broken markup as well, by a parser."""
+    """strip_tags() for broken markup as well; see without_tags()."""
     return texts.map(lambda t: None if t is None else without_tags(t))
 
 

@@ -11,10 +11,13 @@ from broadsheet.plans.dialect import SPARK, found, squeezed, stripped
 SHORT = 20
 #: Characters of a normal form.
 LONGEST = 1024
-#: Names that meta titles go by.
+# ---- fixed values: names that meta titles go by, and where titles stand ----
 META_NAMES = "og:title|hdl|twitter:title|dc.title|dcterms.title|title"
 
 _META = r"(?is)<meta[^>]*(?:name|property)=.(?:{names}).[^>]* content={q}([^{q}]+){q}"
+_TITLE = "(?is)<title(?: [^>]*)?>(.*?)</title>"
+_H1 = "(?is)<h1(?: [^>]*)?>(.*?)</h1>"
+# ---- end of fixed values ----
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -31,12 +34,12 @@ def meta_title(page: Any, on: Any = SPARK) -> Any:
 
 def title_tag(page: Any, on: Any = SPARK) -> Any:
     """The stripped text of the first title element."""
-    return stripped(found(page, "(?is)<title(?: [^>]*)?>(.*?)</title>", 1, on), on)
+    return stripped(found(page, _TITLE, 1, on), on)
 
 
 def h1(page: Any, on: Any = SPARK) -> Any:
     """The text of the first h1 without its tags; null without one."""
-    return stripped(unescape(strip_tags(found(page, "(?is)<h1(?: [^>]*)?>(.*?)</h1>", 1, on), on), on), on)
+    return stripped(unescape(strip_tags(found(page, _H1, 1, on), on), on), on)
 
 
 def cleaned(title: Any, on: Any = SPARK) -> Any:

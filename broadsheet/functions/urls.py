@@ -73,9 +73,8 @@ SHORTENERS = (
     "zud.me", "zurl.ws", "zz.gd", "zzang.kr", "›.ws", "✩.ws", "✿.ws", "❥.ws", "➔.ws", "➞.ws", "➡.ws", "➨.ws", "➯.ws", "➹.ws", "➽.ws",
 )
 
-# ---- end of fixed values ----
-
 _WORD = r"[\p{L}\p{N}_]"
+#: What people get wrong in URLs, and what stands there instead, in the order in which it is done.
 REPAIRS = (
     (r"(?i)(https?://)https?:?//", "$1"),
     (rf"(?i)(https?:/)({_WORD})", "$1/$2"),
@@ -85,7 +84,19 @@ REPAIRS = (
     (r"(?i)(https?://[^/]+)\?", "$1/?"),
     (" ", "%20"),
 )
+#: YouTube's pages: of videos, embedded videos, channels, and the rest.
 _YOUTUBE = r"(?i)^https?://[^/]*youtube.com/"
+_YOUTUBE_FORMS = (("watch?v=", r"watch\?v=([^&]+)"), ("watch?v=", r"embed/([^?]+)"), ("channel/", r"channel/([^?]+)"), ("", r"(.*)"))
+#: Archived pages, whose own URL comes after the archive's.
+_ARCHIVED = "(?i)^https://archive.is/[a-z0-9]/[a-z0-9]+/(.*)"
+#: Rewrites of the normal form, after the first label is taken off.
+_REWRITES = ((r"(?i)http://.*pron.*\.podomatic\.com", "http://pronkpops.podomatic.com"), ("#.*", ""), ("(//.*/)/+", "$1"), ("(?i)^https:", "http:"))
+#: What a shortener's URL looks like, and the path of a front page.
+_SHORT = r"(?i)^https?://[a-z]{1,4}\.[a-z]{2}/[a-z0-9]{3,12}/?$"
+_FRONT = r"^$|^/+$|^[a-z/_-]{1,18}/?$|^[A-Z/_-]{1,18}/?$"
+
+# ---- end of fixed values ----
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?({_OCTET}(?:\.{_OCTET}){{3}})(?:[:/?#]|$)"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -107,7 +118,7 @@ def youtube(url: Any, on: Any = SPARK) -> Any:
     def form(u: Any) -> Any:
         part = lambda pattern: on.extract(u, _YOUTUBE + pattern, 1)
         to = lambda prefix, pattern: (on.test(u, _YOUTUBE + pattern), on.concat(on.lit(f"https://www.youtube.com/{prefix}"), part(pattern)))
-        return on.case(to("watch?v=", r"watch\?v=([^&]+)"), to("watch?v=", r"embed/([^?]+)"), to("channel/", r"channel/([^?]+)"), to("", r"(.*)"), other=u)
+        return on.case(*(to(*form) for form in _YOUTUBE_FORMS), other=u)
 
     return on.let(url, form)
 
@@ -168,10 +179,10 @@ def normalize(url: Any, on: Any = SPARK) -> Any:
     """
     u = remove_port(fix_mistakes(on.none_if(url, ""), on), on)
     u = on.let(u, lambda x: on.case((on.test(x, _YOUTUBE), youtube(x, on)), other=on.lower(x)))
-    u = on.replace(u, "(?i)^https://archive.is/[a-z0-9]/[a-z0-9]+/(.*)", "$1")
+    u = on.replace(u, _ARCHIVED, "$1")
     u = on.let(u, lambda x: on.case((on.starts(x, on.lit("http")), x), other=on.concat(on.lit("http://"), x)))
     u = strip_subdomain(u, on)
-    u = rewritten(u, ((r"(?i)http://.*pron.*\.podomatic\.com", "http://pronkpops.podomatic.com"), ("#.*", ""), ("(//.*/)/+", "$1"), ("(?i)^https:", "http:")), on)
+    u = rewritten(u, _REWRITES, on)
     u = sort_query(u, on)
     u = on.let(u, lambda x: on.case((on.test(x, "(?i)https?://[^/]*$"), on.concat(x, on.lit("/"))), other=x))
     return on.replace(on.swap(remove_parameters(u, on), "=&", "&"), "=$", "")
@@ -184,15 +195,13 @@ def url_hash(url: Any, on: Any = SPARK) -> Any:
 
 def is_shortened(url: Any, on: Any = SPARK, shorteners: Sequence[str] = tuple(SHORTENERS)) -> Any:
     """Whether a URL looks like a shortener's: a known host, or a short host and a short path."""
-    short = r"(?i)^https?://[a-z]{1,4}\.[a-z]{2}/[a-z0-9]{3,12}/?$"
-    test = lambda u: on.case((on.absent(host(u, on)), on.same(on.none_if(on.lit(""), ""), on.lit(""))), (on.among(path(u, on), ["", "/"]), on.lit(False)), other=on.either(on.among(host(u, on), list(shorteners)), on.test(u, short)))
+    test = lambda u: on.case((on.absent(host(u, on)), on.same(on.none_if(on.lit(""), ""), on.lit(""))), (on.among(path(u, on), ["", "/"]), on.lit(False)), other=on.either(on.among(host(u, on), list(shorteners)), on.test(u, _SHORT)))
     return on.let(stripped(url, on), test)
 
 
 def is_homepage(url: Any, on: Any = SPARK, shorteners: Sequence[str] = tuple(SHORTENERS)) -> Any:
     """Whether a URL looks like a front page: no path, or a short one in one case."""
-    plain = r"^$|^/+$|^[a-z/_-]{1,18}/?$|^[A-Z/_-]{1,18}/?$"
-    return on.let(stripped(url, on), lambda u: on.both(on.no(is_shortened(u, on, shorteners)), on.test(path(u, on), plain)))
+    return on.let(stripped(url, on), lambda u: on.both(on.no(is_shortened(u, on, shorteners)), on.test(path(u, on), _FRONT)))
 
 
 def is_non_news(name: Any, on: Any = SPARK) -> Any:

@@ -7,6 +7,7 @@ way on either side. Expressions are written once over a dialect; see broadsheet.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +19,7 @@ from broadsheet.operators import relational
 from broadsheet.plans.dialect import DUCK, SPARK
 from broadsheet.plans.extract import extract
 from broadsheet.sources import pages as sources
+from broadsheet.streaming.dedup import dedup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,16 +192,33 @@ over_pages(
 
 
 def canonical_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical domain of every page and of what is derived from its URL."""
+    """The canonical domain of every page and of what is derived from its URL, under suffixes of every kind."""
     p, at = _pages(spark, sf_dir), urls.host(F.col("url"))
-    of = lambda *xs: domains.canonical_domain(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs)))
-    return p.select("page_id", domains.canonical_domain(F.col("url")).alias("domain"), of("https://10.2.3.4/", F.col("page_id").cast("string")).alias("address"), of("http://", at, ".wordpress.com/x").alias("blog"))
+    made = {
+        "domain": F.col("url"),
+        "address": F.concat(F.lit("https://10.2.3.4/"), F.col("page_id").cast("string")),
+        "blog": F.concat(F.lit("http://"), at, F.lit(".wordpress.com/x")),
+        "second_level": F.concat(F.lit("http://x."), at, F.lit(".co.uk/x")),
+        "wildcard": F.concat(F.lit("http://x."), at, F.lit(".any.ck/x")),
+        "spared": F.concat(F.lit("http://x."), at, F.lit(".www.ck/x")),
+        "city": F.concat(F.lit("http://x."), at, F.lit(".city.kobe.jp/x")),
+        "unlisted": F.concat(F.lit("http://x."), at, F.lit(".notasuffix/x")),
+        "bare_suffix": F.lit("http://gov.cn/x"),
+        "cached": F.concat(F.lit("https://"), F.replace(at, F.lit("."), F.lit("-")), F.lit(".cdn.ampproject.org/c/x")),
+    }
+    # all URLs of a page go through one expression, which is planned once
+    each = F.transform(F.array(*made.values()), lambda u: domains.canonical_domain(u))
+    return p.select("page_id", each.alias("d")).select("page_id", *(F.col("d")[i].alias(k) for i, k in enumerate(made)))
 
 
 QUERIES["canonical_domain"] = canonical_domain
+_AT_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1))"
+_LAST_LABEL = f"regexp_extract({_AT_HOST}, '[^.]*$')"
 SQL["canonical_domain"] = f"""
-SELECT page_id, {domains.canonical_domain_of("url", ("com", "net", "org"), DUCK)} AS domain, '10.2.3.4' AS address,
-       regexp_replace({urls.host("url", DUCK)}, '^(m|www|blog|news)\\.', '') || '.wordpress.com' AS blog
+SELECT page_id, regexp_extract({_AT_HOST}, '[^.]+[.](com|net|org)$') AS domain, '10.2.3.4' AS address,
+       regexp_replace({_AT_HOST}, '^(m|www|blog|news)[.]', '') || '.wordpress.com' AS blog,
+       {_LAST_LABEL} || '.co.uk' AS second_level, {_LAST_LABEL} || '.any.ck' AS wildcard, 'www.ck' AS spared, 'city.kobe.jp' AS city, '' AS unlisted, 'gov.cn' AS bare_suffix,
+       replace({_AT_HOST}, '-', '.') AS cached
 FROM pages
 """
 
@@ -268,13 +287,18 @@ SQL["markdown_images"] = "SELECT page_id, url || ' ' || page_id || '.png' AS ima
 
 
 def content_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the length of a text makes of its page, by each page cut to a length of its own."""
-    t = F.left(text.strip_tags(F.col("html")), (F.col("page_id") % 400).cast("int"))
-    return _pages(spark, sf_dir).select("page_id", content.status_of(t).alias("status"), content.status_of(F.nullif(t, t)).alias("missing"))
+    """What the length of a text makes of its page: of its whole text, of its title and of none."""
+    whole = text.strip_tags(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", content.status_of(whole).alias("status"), content.status_of(titles.title_tag(F.col("html"))).alias("title"), content.status_of(F.nullif(whole, whole)).alias("missing"))
 
 
 QUERIES["content_status"] = content_status
-SQL["content_status"] = f"SELECT page_id, CASE WHEN length(substring({text.strip_tags('html', DUCK)}, 1, page_id % 400)) > 200 THEN 'ok' ELSE 'too_short' END AS status, 'failed' AS missing FROM pages"
+SQL["content_status"] = r"""
+SELECT page_id, CASE WHEN length(regexp_replace(html, '(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>', '', 'g')) > 200 THEN 'ok' ELSE 'too_short' END AS status,
+       CASE WHEN regexp_extract(html, '(?is)<title>(.*?)</title>', 1) = '' THEN 'failed' WHEN length(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))) > 200 THEN 'ok' ELSE 'too_short' END AS title,
+       'failed' AS missing
+FROM pages
+"""
 
 
 def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,11 +323,14 @@ def language_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"content_blocks": content_blocks, "raw_text": raw_text, "strip_tags_exact": strip_tags_exact, "language_text": language_text}
+SQL["strip_tags_exact"] = f"""
+SELECT page_id, {text.unescape("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>', '', 'g'), '&([a-zA-Z0-9#]+);?', '&\\1;', 'g')", DUCK)} AS text FROM pages
+"""
 
 
 def overrides_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text, title and domain are given, with defaults for date and language."""
-    given: dict[str, Column] = {"text_content": F.repeat(F.lit("word "), F.lit(50)), "article_title": F.col("page_id").cast("string"), "canonical_domain": F.lit(None).cast("string"), "canonical_url": F.col("url")}
+    given: dict[str, Column] = {"text_content": F.lit("short"), "article_title": F.col("page_id").cast("string"), "canonical_domain": F.lit(None).cast("string"), "canonical_url": F.col("url")}
     default = {"publication_date": F.lit(dt.datetime(2023, 1, 1)).cast("timestamp_ntz"), "language": F.lit("en")}
     out = extract(_pages(spark, sf_dir).withColumn("html", F.lit("<p>no date, no language</p>")), AS_OF, overrides=given, defaults=default)
     return out.select("page_id", "article_title", "normalized_article_title", "canonical_domain", "canonical_url", "publication_date", "language", "text_extraction_method", "extract_status")
@@ -312,13 +339,13 @@ def overrides_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["overrides_defaults"] = overrides_defaults
 SQL["overrides_defaults"] = """
 SELECT page_id, CAST(page_id AS VARCHAR) AS article_title, CAST(page_id AS VARCHAR) AS normalized_article_title, CAST(NULL AS VARCHAR) AS canonical_domain, url AS canonical_url,
-       TIMESTAMP '2023-01-01' AS publication_date, 'en' AS language, 'overridden' AS text_extraction_method, 'ok' AS extract_status
+       TIMESTAMP '2023-01-01' AS publication_date, 'en' AS language, 'overriden' AS text_extraction_method, 'ok' AS extract_status
 FROM pages
 """
 
 
 def other_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The optional part of a record."""
+    """The optional part of a record, where a text is given and so no extractor finds a title."""
     page = F.concat(F.lit('<meta name="author" content="A,B"><meta property="og:image" content="http://x/i.png"><time datetime="2021-05-06">'), F.col("html"))
     out = extract(_pages(spark, sf_dir).withColumn("html", page), AS_OF, overrides={"text_content": F.lit("x")}, other_metadata=True)
     return out.select("page_id", "other.raw_title", "other.raw_publish_date", "other.top_image_url", F.array_join("other.authors", "|").alias("authors"))
@@ -329,18 +356,19 @@ SQL["other_metadata"] = f"SELECT page_id, {titles.title_tag('html', DUCK)} AS ra
 
 
 def extract_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole record of every page."""
-    return extract(_pages(spark, sf_dir), AS_OF, other_metadata=True)
+    """The whole record of every page, with languages by a model trained on the documents."""
+    model = languages.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return extract(_pages(spark, sf_dir), AS_OF, other_metadata=True, language_model=model)
 
 
 def extract_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of a record that needs no page tree: no Python is in this plan."""
-    return extract(_pages(spark, sf_dir), AS_OF).select("page_id", "normalized_url", "unique_url_hash", "canonical_domain", "article_title", "normalized_article_title", "language", "is_homepage", "is_shortened")
+    """The part of a record that needs no page tree, with the text given: no Python is in this plan."""
+    return extract(_pages(spark, sf_dir), AS_OF, overrides={"text_content": F.lit(None).cast("string")}).select("page_id", "normalized_url", "unique_url_hash", "canonical_domain", "article_title", "normalized_article_title", "language", "is_homepage", "is_shortened")
 
 
 QUERIES |= {"extract_flagship": extract_flagship, "extract_native": extract_native}
 SQL["extract_native"] = f"""
-SELECT page_id, {urls.normalize("url", DUCK)} AS normalized_url, {urls.url_hash("url", DUCK)} AS unique_url_hash, {domains.canonical_domain_of("url", ("com", "net", "org"), DUCK)} AS canonical_domain,
+SELECT page_id, {urls.normalize("url", DUCK)} AS normalized_url, {urls.url_hash("url", DUCK)} AS unique_url_hash, regexp_extract(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '[^.]+[.](com|net|org)$') AS canonical_domain,
        {titles.from_html("html", on=DUCK)} AS article_title, {titles.normalize_title(titles.from_html("html", on=DUCK), DUCK, null_as_none=True)} AS normalized_article_title,
        {languages.short_code(languages.from_tags("html", DUCK), DUCK)} AS language, {urls.is_homepage("url", DUCK)} AS is_homepage, {urls.is_shortened("url", DUCK)} AS is_shortened
 FROM pages
@@ -384,7 +412,7 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["domain_counts"] = domain_counts
-SQL["domain_counts"] = f"SELECT {domains.canonical_domain_of('url', ('com', 'net', 'org'), DUCK)} AS domain, count(*) AS n FROM pages GROUP BY 1"
+SQL["domain_counts"] = f"SELECT regexp_extract({_AT_HOST}, '[^.]+[.](com|net|org)$') AS domain, count(*) AS n FROM pages GROUP BY 1"
 
 
 def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,16 +452,16 @@ QUERIES["method_stats"] = method_stats
 
 
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and languages as the html says, against what is derived from ids, and dates."""
-    p = _dated(spark, sf_dir).select("page_id", titles.title_tag(F.col("html")).alias("title"), languages.from_tags(F.col("html")).alias("language"), F.col("day").alias("date"))
-    guess = p.filter("page_id % 5 <> 0").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("title")).alias("title"), F.lit("en").alias("language"), F.date_add("date", (F.col("page_id") % 3).cast("int")).alias("date"))
-    return relational.comparison(p, guess, "page_id", ["title", "language"], "date").select("page_id", "title_agrees", "language_agrees", "days_off")
+    """Titles and languages as the html says, against what is derived from ids, and dates: all pages whose URL has a path."""
+    p = _dated(spark, sf_dir).select("page_id", "url", titles.title_tag(F.col("html")).alias("title"), languages.from_tags(F.col("html")).alias("language"), F.col("day").alias("date"))
+    guess = p.filter(~urls.path(F.col("url")).isin("", "/")).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("title")).alias("title"), F.lit("en").alias("language"), F.date_add("date", (F.col("page_id") % 3).cast("int")).alias("date"))
+    return relational.comparison(p, guess, "page_id", ["title", "language"], "date", limit=None).select("page_id", "title_agrees", "language_agrees", "days_off")
 
 
 QUERIES["comparison_report"] = comparison_report
 SQL["comparison_report"] = f"""
 SELECT page_id, page_id % 2 = 0 AND {titles.title_tag('html', DUCK)} IS NOT NULL AS title_agrees, coalesce({languages.from_tags('html', DUCK)} = 'en', false) AS language_agrees, CAST(-(page_id % 3) AS INTEGER) AS days_off
-FROM pages WHERE page_id % 5 <> 0 ORDER BY page_id LIMIT {relational.REPORT_ROWS}
+FROM pages WHERE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) NOT IN ('', '/')
 """
 
 
@@ -472,3 +500,139 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["fetched_pages"] = fetched_pages
 SQL["fetched_pages"] = r"SELECT page_id, url AS html, CASE WHEN page_id % 4 = 0 THEN 'original' ELSE url END AS final_url, 'cached-' || regexp_replace(replace(url, '\"', ''), '[^\p{L}\p{N}_]+', '', 'g') AS file FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 1"
+
+
+# ---- sources, streams, functions by name and counts, each run to its end ----
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, name: str, schema: str) -> DataFrame:
+    """What a stream writes until nothing is left to read."""
+    folder = _folder(spark, name)
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.readStream.schema(sources.PAGES).parquet(f"{sf_dir}/pages.parque[t]")  # a pattern may be a file or a folder
+    return pages.select("page_id", F.when(F.col("page_id") % 10 != 0, F.col("url")).alias("url"), F.lit(dt.datetime(2025, 1, 1)).alias("seen"))
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that a stream of pages keeps; every tenth page has no URL, and all those come through."""
+    kept = dedup_stream(_page_stream(spark, sf_dir), "seen").select("unique_url_hash", F.when(F.col("url").isNull(), F.col("page_id")).alias("without_url"))
+    return _streamed(spark, kept, "stream-dedup", "unique_url_hash string, without_url long")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages say of themselves, written as CSV and read again; quotes and line ends in it stay."""
+    said = _pages(spark, sf_dir).select("url", languages.from_tags(F.col("html")).alias("language"), F.date_format(F.lit(AS_OF), "yyyy-MM-dd").alias("publish_date"), F.concat(F.lit('A "title",\n'), titles.title_tag(F.col("html"))).alias("title"))
+    folder = _folder(spark, "csv")
+    sources.write_csv(said, folder)
+    return sources.read_truth(spark, folder)
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions as a session's SQL knows them."""
+    relational.register(spark)
+    _pages(spark, sf_dir).createOrReplaceTempView("broadsheet_pages")
+    return spark.sql("SELECT page_id, normalize_url(url) AS normal, url_host(url) AS host, is_homepage_url(url) AS homepage, title_from_html(html) AS title, language_from_tags(html) AS language, feed_url(url) AS feed FROM broadsheet_pages")
+
+
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records have a date, a title and a language, counted as they are written and not in a pass of their own."""
+    records = extract(_pages(spark, sf_dir), AS_OF, overrides={"text_content": F.lit("text")})
+    counted, seen = relational.stage_counts(records, f"stages-{uuid.uuid4().hex}")
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, int(v)) for k, v in sorted(seen.get.items()) if k in ("total", "title", "language", "content")], "stage string, n long")
+
+
+QUERIES |= {"stream_dedup": stream_dedup, "csv_round_trip": csv_round_trip, "sql_functions": sql_functions, "stage_counts": stage_counts}
+_TITLED = "'(?is)<title(?: [^>]*)?>(.*?)</title>'"
+SQL["stream_dedup"] = f"""
+SELECT DISTINCT {urls.url_hash('url', DUCK)} AS unique_url_hash, CAST(NULL AS BIGINT) AS without_url FROM pages WHERE page_id % 10 <> 0
+UNION ALL SELECT NULL, page_id FROM pages WHERE page_id % 10 = 0
+"""
+SQL["csv_round_trip"] = f"""
+SELECT url, {languages.from_tags('html', DUCK)} AS language, '2025-01-01' AS publish_date, 'A "title",' || chr(10) || trim(nullif(regexp_extract(html, {_TITLED}, 1), '')) AS title FROM pages
+"""
+SQL["sql_functions"] = f"""
+SELECT page_id, {urls.normalize('url', DUCK)} AS normal, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host, {urls.is_homepage('url', DUCK)} AS homepage,
+       {titles.from_html('html', on=DUCK)} AS title, {languages.from_tags('html', DUCK)} AS language, {urls.feed_normalize('url', DUCK)} AS feed
+FROM pages
+"""
+SQL["stage_counts"] = f"""
+SELECT 'total' AS stage, count(*) AS n FROM pages UNION ALL SELECT 'content', count(*) FROM pages UNION ALL
+SELECT 'title', count({titles.from_html('html', on=DUCK)}) FROM pages UNION ALL SELECT 'language', count({languages.from_tags('html', DUCK)}) FROM pages
+"""
+
+
+# ---- rules against results that are written out, so that neither side is computed by the other's rules ----
+
+_URL_RESULTS = (
+    ("https://upstract.com/x/fdf95bf448e1f2a8?ref=rss", "http://upstract.com/x/fdf95bf448e1f2a8", False, False),
+    ("http://http://www.al-monitor.com/pulse", "http://al-monitor.com/pulse", False, False),
+    ("http:/www.mysite.com/", "http://mysite.com/", None, None),
+    ("//www.mysite.com/", "http://mysite.com/", None, None),
+    ("https://www.gpo.gov:/fdsys/pkg/PL", "http://gpo.gov/fdsys/pkg/pl", False, False),
+    ("http://newsmachete.com?page=2", "http://newsmachete.com/?page=2", True, False),
+    ("http://fake.com/article?foo=123&UTM_baz=321", "http://fake.com/article?foo=123", True, False),
+    ("http://fake.com/article?foo=1&foo=0&ncid=3#part", "http://fake.com/article?foo=0&foo=1", True, False),
+    ("https://do.ma.in:442/what/ever", "http://do.ma.in/what/ever", True, False),
+    ("http://10.2.3.4/hello/world.html", "http://10.2.3.4/hello/world.html", False, False),
+    ("http://media.com/a", "http://media.com/a", True, False),
+    ("http://a.com//b//c", "http://a.com//b/c", True, False),
+    ("http://x.nytimes.com/a?hp=1&b=2", "http://x.nytimes.com/a?b=2", True, False),
+    ("https://m.facebook.com/a?ref=1&fref=2&q=3", "http://facebook.com/a?q=3", True, False),
+    ("https://archive.is/a/b1/http://x.org/Y", "http://x.org/y", False, True),
+    ("https://www.youtube.com/watch?v=aFCO6WidGVM&t=9", "http://youtube.com/watch?v=aFCO6WidGVM", True, False),
+    ("https://bit.ly/my-url", "http://bit.ly/my-url", False, True),
+    ("http://snipurl.com/a-b-c", "http://snipurl.com/a-b-c", False, True),
+    ("http://0rz.tw/a-b-c", "http://0rz.tw/a-b-c", False, True),
+    ("https://wapo.st/4FGH5Re3", "http://wapo.st/4fgh5re3", False, True),
+    ("https://thekenyatimes.com/counties/kisumu-issuance/", "http://thekenyatimes.com/counties/kisumu-issuance/", False, False),
+)
+_LONG = "A title that is long enough to be one"
+_TITLE_RESULTS = (
+    (f'<meta property="og:title" content="{_LONG} - Media">', _LONG, "a title that is long enough to be one"),
+    (f'<meta content="{_LONG}" property="og:title"><title>x</title>', "x", "x"),
+    (f'<meta name="title" content="short"><title>{_LONG}</title>', _LONG, "a title that is long enough to be one"),
+    (f"<title> | Home | {_LONG}</title>", _LONG, "a title that is long enough to be one"),
+    (f"<title>News | {_LONG}</title><h1><b>{_LONG}</b></h1>", _LONG, "a title that is long enough to be one"),
+    (f"<title>{_LONG} | Desk - Media</title>", _LONG, "a title that is long enough to be one"),
+    ("<h1>Only &amp; h1</h1>", "Only & h1", "only h1"),
+    ("<title>!Small, and odd?</title>", "!Small, and odd?", "small, and odd"),
+    ("<p>", None, None),
+)
+
+
+def url_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs and what the rules make of them, against written results."""
+    u = spark.createDataFrame([(r[0],) for r in _URL_RESULTS], "url string")
+    return u.select("url", urls.normalize(F.col("url")).alias("normal"), urls.url_hash(F.col("url")).alias("hash"), urls.is_homepage(F.col("url")).alias("homepage"), urls.is_shortened(F.col("url")).alias("shortened"))
+
+
+def title_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and their titles, against written results."""
+    p = spark.createDataFrame([(r[0],) for r in _TITLE_RESULTS], "html string")
+    title = titles.from_html(F.col("html"))
+    return p.select("html", title.alias("title"), titles.normalize_title(title).alias("normal"))
+
+
+QUERIES |= {"url_results": url_results, "title_results": title_results}
+
+
+def _values(rows: Any) -> str:
+    one = lambda v: "NULL" if v is None else DUCK.lit(v) if isinstance(v, str) else str(v).lower()
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+SQL["url_results"] = f"SELECT url, normal, sha256(normal) AS hash, homepage, shortened FROM (VALUES {_values(_URL_RESULTS)}) AS t(url, normal, homepage, shortened)"
+SQL["title_results"] = f"SELECT html, title, normal FROM (VALUES {_values(_TITLE_RESULTS)}) AS t(html, title, normal)"

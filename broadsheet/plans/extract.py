@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ def extract(
     overrides: Mapping[str, Column] | None = None,
     defaults: Mapping[str, Column] | None = None,
     other_metadata: bool = False,
-    language_model: dict[str, dict[str, float]] | None = None,
+    language_model: languages.Model | None = None,
     drop_failed: bool = False,
     errors: str = "status",
 ) -> DataFrame:
@@ -41,35 +41,38 @@ def extract(
         raise ValueError(f"no override or default for {', '.join(sorted(unknown))}")
     page, url = F.col(html_col), F.col(final_url_col or url_col)
     keep = [c for c in pages.columns if c not in (html_col,)]
+
+    def either(name: str, build: Callable[[], Column]) -> Column:
+        """What is given, or what is built only if nothing is, or the default where that finds nothing."""
+        if name in given:
+            return given[name]
+        return F.coalesce(build(), fallback[name]) if name in fallback else build()
+
+    def read_language() -> Column:
+        said = languages.from_tags(page)
+        return languages.pick(said, languages.from_text(text, language_model)) if language_model else said
+
+    def read_date() -> Column:
+        return dates.publication_date(page, url, F.lit(dates.latest(as_of)).cast("timestamp_ntz"))
+
     # each in a projection of its own, so that what others build on is computed once
     df = pages.withColumn("normalized_url", urls.normalize(url))
+    none = F.lit(None).cast("string")
     if "text_content" in given:
-        df = df.withColumn("_content", F.struct(given["text_content"].cast("string").alias("text"), F.lit("overridden").alias("method"), content.status_of(given["text_content"]).alias("status")))
+        # a text that is given is taken as it is, however short
+        df = df.withColumn("_content", F.struct(given["text_content"].cast("string").alias("text"), F.lit(content.GIVEN).alias("method"), F.lit(content.OK).alias("status"), none.alias("title"), none.alias("image")))
     else:
-        df = df.withColumn("_content", content.content(page))
+        df = df.withColumn("_content", content.content(page, with_images=other_metadata))
     text = F.col("_content.text")
-    title = given.get("article_title", titles.from_html(page))
-    if "article_title" not in given and "article_title" in fallback:
-        title = F.coalesce(title, fallback["article_title"])
-    date = given.get("publication_date")
-    if date is None:
-        date = dates.publication_date(page, url, F.lit(dates.latest(as_of)).cast("timestamp_ntz"), fallback.get("publication_date"))
-    if "language" in given:
-        language = given["language"]
-    else:
-        said = languages.from_tags(page)
-        language = languages.pick(said, languages.from_text(text, language_model)) if language_model else said
-        if "language" in fallback:
-            language = F.coalesce(language, fallback["language"])
-    df = df.withColumns({"_title": title, "_language": language})
+    df = df.withColumns({"_title": either("article_title", lambda: titles.from_html(page, F.col("_content.title"))), "_language": either("language", read_language)})
     fields = {
         "original_url": F.col(url_col),
         "final_url": url,
         "normalized_url": F.col("normalized_url"),
         "unique_url_hash": F.sha2("normalized_url", 256),
-        "canonical_domain": given.get("canonical_domain", domains.canonical_domain(url)),
-        "canonical_url": given.get("canonical_url", content.canonical_url(page)),
-        "publication_date": date.cast("timestamp_ntz"),
+        "canonical_domain": either("canonical_domain", lambda: domains.canonical_domain(url)),
+        "canonical_url": either("canonical_url", lambda: content.canonical_url(page)),
+        "publication_date": either("publication_date", read_date).cast("timestamp_ntz"),
         "language": languages.short_code(F.col("_language")),
         "full_language": F.col("_language"),
         "text_extraction_method": F.col("_content.method"),
@@ -82,10 +85,11 @@ def extract(
         "version": F.lit(broadsheet.__version__),
     }
     if other_metadata:
+        meta_image = F.nullif(F.regexp_extract(page, r"(?is)<meta[^>]*property=.og:image.[^>]* content=[\"']([^\"']+)", 1), F.lit(""))
         fields["other"] = F.struct(
-            titles.title_tag(page).alias("raw_title"),
+            F.coalesce("_content.title", titles.title_tag(page)).alias("raw_title"),
             dates.from_tags(page).alias("raw_publish_date"),
-            F.nullif(F.regexp_extract(page, r"(?is)<meta[^>]*property=.og:image.[^>]* content=[\"']([^\"']+)", 1), F.lit("")).alias("top_image_url"),
+            F.coalesce("_content.image", meta_image).alias("top_image_url"),
             content.authors(F.regexp_extract(page, r"(?is)<meta[^>]*name=.author.[^>]* content=[\"']([^\"']+)", 1)).alias("authors"),
         )
     out = df.select(*(c for c in keep if c not in fields), *(v.alias(k) for k, v in fields.items()))

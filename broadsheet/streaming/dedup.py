@@ -11,10 +11,12 @@ from broadsheet.functions import urls
 def dedup_stream(pages: DataFrame, seen: str, watermark: str = "1 day", url_col: str = "url") -> DataFrame:
     """The first page of each normal form within the watermark of the time column `seen`.
 
-    State is one row for each hash that the watermark has not passed; pages without a URL come through.
+    State is one row for each hash that the watermark has not passed. Pages without a URL go around it, and
+    all come through.
     """
-    hashed = pages.withColumn("unique_url_hash", F.coalesce(urls.url_hash(F.col(url_col)), F.uuid().cast("string")))
-    return hashed.withWatermark(seen, watermark).dropDuplicatesWithinWatermark(["unique_url_hash"])
+    hashed = pages.withColumn("unique_url_hash", urls.url_hash(F.col(url_col)))
+    known = hashed.filter(F.col("unique_url_hash").isNotNull()).withWatermark(seen, watermark).dropDuplicatesWithinWatermark(["unique_url_hash"])
+    return known.unionByName(hashed.filter(F.col("unique_url_hash").isNull()).withWatermark(seen, watermark))
 
 
 def hourly_counts(pages: DataFrame, seen: str, watermark: str = "1 hour") -> DataFrame:

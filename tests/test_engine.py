@@ -38,6 +38,28 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_queries_without_sql_by_hand(spark):
+    """Those that SQL cannot express, from the pages' own markup."""
+    import html
+    import re
+
+    from broadsheet.functions import languages
+
+    pages = {r.page_id: r for r in queries._pages(spark, SF).collect()}
+    plain = lambda t: " ".join(html.unescape(re.sub("<[^>]*>", " ", t)).split())
+    for r in queries.content_blocks(spark, SF).collect():
+        inner = pages[r.page_id].html.split("<article>")[1].split("</article>")[0]
+        assert r.method == "main_element" and (r.status == "too_short" or " ".join(r.text.split()) == plain(inner))
+    for r in queries.raw_text(spark, SF).collect():
+        body = re.sub(r"(?s)<(script|style|head|noscript)\b.*?</\1>", " ", pages[r.page_id].html)
+        assert set(plain(re.sub(r"<header>[^<]*", "", body)).split()) <= set(r.text.split())
+    model = languages.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {(r.page_id, r.language) for r in queries.language_text(spark, SF).collect()} == {(i, languages.classify(model, re.sub(r"(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>", "", p.html))) for i, p in pages.items()}
+    stats = {(r.text_extraction_method, r.extract_status): r.n for r in queries.method_stats(spark, SF).collect()}
+    assert sum(stats.values()) == len(pages) and {m for m, _ in stats} == {"main_element"}
+    assert queries.extract_flagship(spark, SF).filter("language is null or article_title is null").count() == 0
+
+
 def test_url_queries_read_no_pages_and_run_no_python(spark):
     plan = queries.QUERIES["dedup_url"](spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
@@ -55,6 +77,29 @@ def test_overrides_and_defaults(spark):
         extract(p, dt.datetime(2024, 1, 1), overrides={"nothing": F.lit(1)})
 
 
+def test_what_is_given_is_not_built(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("built though it is given")
+
+    from broadsheet.functions import content, dates, domains, titles
+
+    for module, name in ((domains, "canonical_domain"), (content, "content"), (content, "canonical_url"), (dates, "publication_date"), (titles, "from_html")):
+        monkeypatch.setattr(module, name, never)
+    p = spark.createDataFrame([(1, "http://a.com/x", "<p>y</p>")], "page_id long, url string, html string")
+    given = {"canonical_domain": F.lit("d"), "text_content": F.lit("few"), "canonical_url": F.lit("u"), "publication_date": F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz"), "article_title": F.lit("t")}
+    got = extract(p, dt.datetime(2024, 1, 1), overrides=given, drop_failed=True).collect()
+    assert [(r.canonical_domain, r.text_content, r.text_extraction_method, r.extract_status) for r in got] == [("d", "few", "overriden", "ok")]
+
+
+def test_title_of_the_extractor_and_language_of_the_text(spark):
+    from broadsheet.functions import languages
+
+    docs = spark.createDataFrame([("aaa bbb ccc " * 50, "xx"), ("ddd eee fff " * 50, "yy")], "text string, lang string")
+    p = spark.createDataFrame([(1, "http://a.com/x", "<article><h1><b>From</b> the text</h1>" + "<p>ddd eee fff, ddd eee fff, ddd eee fff.</p>" * 9 + "</article>")], "page_id long, url string, html string")
+    got = extract(p, dt.datetime(2024, 1, 1), language_model=languages.train(docs), other_metadata=True).first()
+    assert (got.language, got.article_title, got.other.raw_title) == ("yy", "From the text", "From the text")
+
+
 def test_errors_raise(spark):
     p = spark.createDataFrame([(1, "http://a.com/x", "<p>short</p>")], "page_id long, url string, html string")
     with pytest.raises(Exception, match="too_short"):

@@ -1,4 +1,4 @@
-"""Golden values of URL, title, language and date functions."""
+"""URL, title, language and date functions against fixed values: results that must come out to the letter."""
 
 import datetime as dt
 
@@ -164,30 +164,27 @@ def test_normalize_title(spark):
     assert values(spark, lambda c: titles.normalize_title(c, null_as_none=True), [None]) == ["none"]
 
 
-def by_loop(title, normal):
-    """The affix rules as a loop over parts."""
-    import re
+SHORT, LONG, LONGER = "Short name", "A part that is long enough", "Another part that is long enough too"
 
-    parts = re.split(r" [:|-] ", normal)
-    if len(parts) == 1:
-        return title
-    if len(parts) == 2:
-        if len(parts[0]) >= 20:
-            return parts[0]
-        return normal[: -len(parts[1]) - 2] if len(parts[1]) < 20 else normal[len(parts[0]) + 2 :]
-    if len(parts[0]) < 20:
-        return normal[: -len(parts[-1]) - 2]
-    k = max(i for i, p in enumerate(parts) if len(p) >= 20)
-    k = 0 if k == len(parts) - 1 else k
-    return normal[: len(normal) - sum(len(p) + 3 for p in parts[k + 1 :])]
 
-
-def test_affixes_as_by_a_loop(spark):
-    import random
-
-    r = random.Random(2)
-    made = [r.choice([" - ", " | ", " : "]).join("w" * r.choice([3, 19, 20, 30]) for _ in range(r.randint(1, 5))) for _ in range(300)]
-    check(spark, titles.without_affixes, [(t, by_loop(t, t)) for t in made])
+def test_affixes(spark):
+    check(
+        spark,
+        titles.without_affixes,
+        [
+            (SHORT, SHORT),
+            (f"{LONG} - {SHORT}", LONG),
+            (f"{LONG} | {LONGER}", LONG),
+            (f"{SHORT} : {LONG}", f" {LONG}"),
+            (f"{SHORT} - Other name", f"{SHORT} "),
+            (f"{LONG} - {SHORT} - {SHORT}", LONG),
+            (f"{LONG} | {SHORT} | {LONGER}", LONG),
+            (f"{LONG} | {LONGER} | {SHORT}", f"{LONG} | {LONGER}"),
+            (f"{SHORT} | {LONG} | {SHORT}", f"{SHORT} | {LONG} "),
+            (f"{LONG} : {LONGER} - {SHORT} - {SHORT}", f"{LONG} : {LONGER}"),
+            ("19 characters, no 20 - a", "19 characters, no 20"),
+        ],
+    )
 
 
 def test_title_from_html(spark):
@@ -240,7 +237,9 @@ def test_language_model(spark):
 def test_language_model_of_all_languages_and_whole_texts(spark):
     df = spark.createDataFrame([(f"l{i:03}", "aaa bbb " * 600 if i != 230 else "aaa " * 1200 + "zyx " * 2000) for i in range(231)] + [(None, "x"), ("", "x")], "lang string, text string")
     model = languages.train(df)
-    assert len(model) == 231 and languages.classify(model, "zyx zyx") == "l230"
+    assert len(model.languages) == 231 and languages.classify(model, "zyx zyx") == "l230"
+    nothing = languages.train(df.limit(0))
+    assert languages.classify(nothing, "abc") is None
 
 
 @pytest.mark.parametrize(
@@ -248,6 +247,10 @@ def test_language_model_of_all_languages_and_whole_texts(spark):
     [
         ("", "http://a.com/2021/04/30/x", dt.datetime(2021, 4, 30)),
         ("", "http://a.com/2021/13/30/x", None),
+        ("", "http://a.com/201912/x", None),
+        ("", "http://a.com/2021123/x", None),
+        ("", "http://a.com/20211203/x", dt.datetime(2021, 12, 3)),
+        ("", "http://a.com/n/2021-4-3-story", dt.datetime(2021, 4, 3)),
         ('<meta property="article:published_time" content="2022-06-01T10:00:00Z">', "http://a.com/", dt.datetime(2022, 6, 1)),
         ('<p>30 March 2022</p>', "http://a.com/", dt.datetime(2022, 3, 30)),
         ("<h2>Nov. 29, 2021</h2>", "http://a.com/", dt.datetime(2021, 11, 29)),
@@ -265,23 +268,51 @@ def test_dates(spark, page, url, expected):
 def test_strip_tags_native_and_by_parser(spark):
     well = ["a <b>c</b> &copy d <!-- x > y --> e", "<p>x<br/>y</p>", "a < b > c", "", "no tags"]
     assert values(spark, text.strip_tags, well)[1:] == values(spark, text.strip_tags_exact, well)[1:]
-    assert text.without_tags("a &copy b <b>x</b>") == "a &copy; b x"
-    assert text.without_tags("<<b>script>x") != "<<b>script>x"
+    broken = {
+        "a &copy b <b>x</b>": "a &copy; b x",
+        "&amp;&#38;&#x26 &": "&amp;&#38;&#x26; &",
+        "<script>var a = 1</script><style>b {}</style>": "var a = 1b {}",
+        "a < b > c": "a < b > c",
+        "a <b": "a <b",
+        "x<!-- c -- > d --><b title='a>b' id=\"<i>\">y</b>": "xy",
+        "<<b>b>script<</i>/p>": "script",
+        "<!DOCTYPE html><?xml?>t": "t",
+        "a<br": "a<br",
+        "<b>" * 3000 + "<" * 300 + "x": "<" * 300 + "x",
+    }
+    assert {t: text.without_tags(t) for t in broken} == broken
     assert values(spark, text.unescape_exact, ["&eacute;&#65;", None]) == ["éA", None]
 
 
 def test_content():
     words = "word " * 45
     page = f"<nav><a href=1>{words}</a></nav><p>{words}</p><footer>{words}</footer>"
-    found, method, status = content.extract_one(page)
-    assert (method, status) == (content.BLOCK_CLASSIFIER, content.OK) and found == words.strip()
-    assert content.extract_one("<p>" + "word " * 20 + "</p>")[1:] == (content.BLOCK_CLASSIFIER, content.TOO_SHORT)
-    assert content.extract_one("")[1:] == (content.FAILED, content.FAILED) == content.extract_one(None)[1:]
+    assert content.extract_one(page, content.EXTRACTORS[2:])[:3] == (words.strip(), content.BLOCK_CLASSIFIER, content.OK)
+    assert content.extract_one("<p>" + "word " * 20 + "</p>", content.EXTRACTORS[2:])[1:3] == (content.BLOCK_CLASSIFIER, content.TOO_SHORT)
+    assert content.extract_one("")[1:3] == (content.FAILED, content.FAILED) == content.extract_one(None)[1:3]
     assert content.extract_one("<p>few</p>" * 90)[1] == content.PARAGRAPHS
     assert "x " in content.by_raw_text(content.Page("<header><p>x</p></header>"))
     assert content.by_raw_text(content.Page("<header>x</header>")) == ""
 
 
+def test_chain_of_extractors():
+    sentence = "This is a sentence, with commas, that is long enough to be one of an article."
+    article = "".join(f"<p>{sentence}</p>" for _ in range(5))
+    want = "\n".join([sentence] * 5)
+    menu = "<ul>" + "<li><a href=/>A link of the menu</a></li>" * 9 + "</ul>"
+    by = lambda page: content.extract_one(page)[:2]
+    assert by(f"<body>{menu}<article>{menu}{article}</article><div><p>{sentence} Elsewhere.</p></div></body>") == (want, content.MAIN_ELEMENT)
+    assert by(f'<body>{menu}<div itemprop="articleBody">{article}</div></body>') == (want, content.MAIN_ELEMENT)
+    assert by(f"<body>{menu}<div><div>{article}</div></div><div><p>{sentence}</p></div></body>") == (want, content.SCORED)
+    assert content.by_sentences(content.Page(f"<div>Menu</div><div>x</div>{article}<p>x</p><p>{sentence}</p><div>a</div><div>b</div><p>{sentence}</p>")) == "\n".join([sentence] * 6)
+    assert content.extract_one("<article><br></article><span>plain</span>")[1] == content.RAW_TEXT
+    assert content.extract_one("<noscript>" + "only here " * 40 + "</noscript>")[1:3] == (content.BARE, content.OK)
+    found = content.extract_one(f'<h1>The <b>title</b></h1><article><img src="a.png" alt="x">{article}<img src=b.png></article>', with_images=True)
+    assert found == (want, content.MAIN_ELEMENT, content.OK, "The title", "a.png")
+    assert content.extract_one("<title> A  b </title><p>x")[3] == "A b"
+    assert [name for name, _ in content.EXTRACTORS] == [content.MAIN_ELEMENT, content.SCORED, content.BLOCK_CLASSIFIER, content.SENTENCES, content.PARAGRAPHS, content.RAW_TEXT, content.BARE]
+
+
 def test_canonical_url(spark):
     check(
         spark,
