@@ -509,3 +509,32 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_join() over the whole documents table."""
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of documents that share a shingle: for tables of a size that bears it.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS line, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT line, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d
+), n AS (
+  SELECT line, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS whole FROM s GROUP BY line
+), met AS (
+  SELECT a.line AS a, b.line AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.line <> b.line GROUP BY a.line, b.line
+), links AS (
+  SELECT a, b FROM met JOIN n x ON x.line = a JOIN n y ON y.line = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(line, other) AS (
+  SELECT line, line FROM n UNION SELECT reach.line, links.b FROM reach JOIN links ON links.a = reach.other
+), component AS (
+  SELECT reach.line, min(d.doc_id) AS component_id FROM reach JOIN d ON d.line = other GROUP BY reach.line
+), linked AS (
+  SELECT a AS line, count(*) AS n_links FROM links GROUP BY a
+), class AS (
+  SELECT line, min(doc_id) OVER (PARTITION BY whole) AS class_id, count(*) OVER (PARTITION BY whole) AS group_size FROM n JOIN d USING (line)
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id, coalesce(group_size, 1) AS group_size, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (line) LEFT JOIN component USING (line) LEFT JOIN class USING (line) LEFT JOIN linked USING (line)
+"""

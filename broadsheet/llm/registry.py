@@ -26,5 +26,7 @@ SQL: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": dedup_exact.OP7_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op10_html_extract": html_extract.OP10_SQL,
 }
