@@ -39,3 +39,26 @@ def test_stages(spark):
     assert {v.doc_id for v in visits} == {r.doc_id for r in before}
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, visits))
+
+
+ODD = [(1, None, "a"), (2, "", "b"), (3, " \t\n", None), (None, "some text that has no id", "a"), (4, "the same text as another row", "a"), (4, "the same text as another row", "a"), (5, "long " * 20000, "b"), (6, "é\U0001f600 日本 \x00 x", "a"), (4, "the same id over another text", "c")]
+#: For each stage the rows of ODD that stay, by their place; of rows 0 to 2 and of 4 and 5 any one.
+STAY = {"toxicity": set(range(9)), "exact_dedup": {3, 6, 7, 8}, "ngram_join": {0, 1, 2, 3, 6, 7, 8}, "decontamination": set(range(9))}
+EITHER = {"exact_dedup": [{0, 1, 2}, {4, 5}], "ngram_join": [{4, 5}]}
+
+
+def test_stages_on_odd_tables(spark):
+    extra = ["id_", "digest", "set_", "key", "hit_key_", "copies_", "text_sha256", "copy_rank", "label_", "row_id"]
+    schema = "doc_id long, text string, source string, nth int, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*r, k, *["x"] * len(extra)) for k, r in enumerate(ODD)], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        left = {r.nth for r in out.collect()}
+        either = EITHER.get(name, [])
+        assert left - set().union(*either) == STAY[name] and all(len(left & e) == 1 for e in either), name
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == docs.columns and empty.collect() == []
+    visits = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    assert len([v for v in visits if v.epoch == 0]) == len(ODD)
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), SF).collect() == []
