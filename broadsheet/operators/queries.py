@@ -7,6 +7,7 @@ way on either side. Expressions are written once over a dialect; see broadsheet.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -506,11 +507,11 @@ SQL["fetched_pages"] = r"SELECT page_id, url AS html, CASE WHEN page_id % 4 = 0
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors see it."""
+    """A new folder where all executors see it; where driver and executors are one process, any will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    return f"{named or tempfile.gettempdir()}/broadsheet-{name}-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, name: str, schema: str) -> DataFrame:
