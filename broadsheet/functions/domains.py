@@ -96,8 +96,8 @@ def registered(name: Column, suffixes: Suffixes | None = None) -> Column:
     return _let(public_suffix(name, suffixes), lambda suffix: _main(name, suffix))
 
 
-def canonical_domain(url: Column, suffixes: Suffixes | None = None) -> Column:
-    """The name that a URL's site goes by.
+def canonical_domain(url: Column, suffixes: Suffixes | None = None, normal: Column | None = None) -> Column:
+    """The name that a URL's site goes by. `normal` is its normal form, where that is known already.
 
     An address is itself; on services for blogs, which are looked for in the whole normal form, the
     subdomain is part of the name; cached copies count for their origin; a host that is nothing but a
@@ -118,7 +118,7 @@ def canonical_domain(url: Column, suffixes: Suffixes | None = None) -> Column:
 
         return _let(_main(h, suffix), with_main)
 
-    return F.coalesce(ip_host(url), _let(normalize(url), of))
+    return F.coalesce(ip_host(url), _let(normalize(url) if normal is None else normal, of))
 
 
 def _origin(cached: Column) -> Column:

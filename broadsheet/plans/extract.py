@@ -70,7 +70,7 @@ def extract(
         "final_url": url,
         "normalized_url": F.col("normalized_url"),
         "unique_url_hash": F.sha2("normalized_url", 256),
-        "canonical_domain": either("canonical_domain", lambda: domains.canonical_domain(url)),
+        "canonical_domain": either("canonical_domain", lambda: domains.canonical_domain(url, normal=F.col("normalized_url"))),
         "canonical_url": either("canonical_url", lambda: content.canonical_url(page)),
         "publication_date": either("publication_date", read_date).cast("timestamp_ntz"),
         "language": languages.short_code(F.col("_language")),

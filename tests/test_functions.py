@@ -284,6 +284,13 @@ def test_strip_tags_native_and_by_parser(spark):
     assert values(spark, text.unescape_exact, ["&eacute;&#65;", None]) == ["éA", None]
 
 
+def test_references_as_python_resolves_them(spark):
+    import html
+
+    odd = ["a &eacute;&Eacute; b", "&#233;&#xE9;&#XE9;", "&#150;&#128;", "&#0;&#xD800;&#1114112;", "&amp;amp; &lt;b&gt;", "&nosuch; & &;", "&NotEqualTilde;", "x&#128512;y", "no reference", "&apos;&quot;&#39;", "", "&#x27;s"]
+    check(spark, text.unescape, [(t, html.unescape(t)) for t in odd] + [(None, None)])
+
+
 def test_content():
     words = "word " * 45
     page = f"<nav><a href=1>{words}</a></nav><p>{words}</p><footer>{words}</footer>"
