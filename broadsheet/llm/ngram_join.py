@@ -113,31 +113,40 @@ def cell_counts(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], Iterator[np
     that neither a task nor the driver holds more than the cells once.
     """
 
+    size = CELLS // SEGMENTS
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, size = np.zeros(CELLS, np.int64), [], 0
+        cells, held, n = np.zeros(CELLS, np.int64), [], 0
         for tokens in itertools.chain.from_iterable(map(tokens_of, batches)):
             held.append(tokens)
-            size += len(tokens)
-            if size >= COUNTED:
+            n += len(tokens)
+            if n >= COUNTED:
                 cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
-                held, size = [], 0
+                held, n = [], 0
         if held:
             cells += np.bincount(cell_of(np.concatenate(held)), minlength=CELLS)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS)), pa.array([part.tobytes() for part in np.split(cells, SEGMENTS)], pa.binary())], ["part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS)), pa.array([narrow(part) for part in np.split(cells, SEGMENTS)], pa.binary())], ["part", "cells"])
+
+    def narrow(part: np.ndarray) -> bytes:
+        """In as few bytes a cell as the largest needs."""
+        return part.astype(np.min_scalar_type(int(part.max()))).tobytes()
+
+    def wide(part: bytes) -> np.ndarray:
+        return np.frombuffer(part, f"u{len(part) // size}").astype(np.int64)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, cells in zip(batch["part"].to_pylist(), batch["cells"], strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(cells.as_buffer(), np.int64)
+                sums[part] = sums.get(part, 0) + wide(cells.as_py())
         for part, cells in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([cells.tobytes()], pa.binary())], ["part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([narrow(cells)], pa.binary())], ["part", "cells"])
 
     schema = "part long, cells binary"
-    total, size = np.zeros(CELLS, np.int64), CELLS // SEGMENTS
+    total = np.zeros(CELLS, np.int64)
     for row in df.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # CELLS numbers
-        total[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["cells"], np.int64)
+        total[row["part"] * size : (row["part"] + 1) * size] = wide(bytes(row["cells"]))
     return total
 
 
@@ -206,13 +215,13 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten()).view(np.uint64), np.repeat(np.arange(len(lists)), size)
 
 
-def posted(nodes: DataFrame, heavy: bool, lists: np.ndarray) -> DataFrame:
+def posted(tokens: DataFrame, heavy: bool, lists: np.ndarray) -> DataFrame:
     """(h, node, n, at) of every token that a node is listed under: at is its place, -1 for a subset.
 
     lists: members by cell, of which those of one list are a part; heavy says which tokens are wanted, those
     whose cell stands out by more than HUGE or the others.
     """
-    sent = nodes.sparkSession.sparkContext.broadcast(lists - int(lists.mean()) > HUGE)  # CELLS bits
+    sent = tokens.sparkSession.sparkContext.broadcast(lists - int(lists.mean()) > HUGE)  # CELLS bits
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +232,7 @@ def posted(nodes: DataFrame, heavy: bool, lists: np.ndarray) -> DataFrame:
                 take = sent.value[cell_of(h)] == heavy
                 yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (h.view(np.int64), node[row], n[row], at)], ["h", "node", "n", "at"])
 
-    return nodes.select("node", "n", "prefix", "subsets").mapInArrow(post, "h long, node long, n long, at long")
+    return tokens.select("node", "n", "prefix", "subsets").mapInArrow(post, "h long, node long, n long, at long")
 
 
 def runs(node: np.ndarray, n: np.ndarray, root: int | None = None, last: int = 0) -> np.ndarray:
@@ -412,17 +421,20 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, key: int) -> DataFrame:
     rows = _rows(docs, id_col, text_col)
     cells, mean = counted(rows, key)
     small = boundary(mean)
-    sets = cut(described(rows, cells, small, key))
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    of_set = sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), first("map"), first("prefix"), first("subsets"))
-    nodes = cut(of_set.select("digest", F.col("least.doc_id").alias("first_id"), F.col("least.key_").alias("first_key"), "n", "copies", "map", "prefix", "subsets", F.monotonically_increasing_id().alias("node")))
-    lists = cell_counts(nodes.select("prefix", "subsets"), lambda batch: (_flat(batch.column(i))[0] for i in range(2)))
-    found = cut(posted(nodes, False, lists).repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(scan_lists, short=SHORT), "a long, b long, tied boolean").distinct())
+    sets = cut(described(rows, cells, small, key).withColumn("row", F.monotonically_increasing_id()))
+    of_set = sets.filter("n > 0").groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("map").alias("map"), F.min(F.when(F.col("map").isNotNull(), F.col("row"))).alias("row")
+    )
+    nodes = cut(of_set.select("digest", F.col("least.doc_id").alias("first_id"), F.col("least.key_").alias("first_key"), "n", "copies", "map", "row", F.monotonically_increasing_id().alias("node")))
+    # tokens move once, from the row of each set that has them
+    tokens = sets.filter("map is not null").select("row", "prefix", "subsets").join(nodes.select("row", "node", "n"), "row")
+    lists = cell_counts(sets.select("prefix", "subsets"), lambda batch: (_flat(batch.column(i))[0] for i in range(2)))
+    found = cut(posted(tokens, False, lists).repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(scan_lists, short=SHORT), "a long, b long, tied boolean").distinct())
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
     pairs = found.filter("not tied").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
     ties = pairs.mapInArrow(alike, "a long, b long").unionByName(found.filter("tied").select("a", "b"))
     if (lists - int(lists.mean()) > HUGE).any():
-        ties = ties.unionByName(aggregated(posted(nodes, True, lists)))
+        ties = ties.unionByName(aggregated(posted(tokens, True, lists)))
     clusters = components(ties).withColumnRenamed("root", "cluster")
     wanted = cut(in_blocks(clusters, nodes))
     few = wanted.count() <= SENT_IDS
