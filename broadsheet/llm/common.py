@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. On one machine, as in tests, one of our own will do."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where driver and executors are one process, as in tests, any will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{tempfile.gettempdir()}/broadsheet-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
