@@ -467,13 +467,13 @@ FROM pages WHERE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)
 
 
 def stage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a total, here of values by event type."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.lit(1.0).alias("seconds"))
-    return relational.stage_shares(e, "event_type")
+    """Shares of a total, here of what events of each type are worth, in exact decimals."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("value").cast("decimal(18,2)").alias("seconds"))
+    return relational.stage_shares(e, "event_type").select("event_type", F.col("seconds").cast("double").alias("seconds"), F.col("percent").cast("double").alias("percent"))
 
 
 QUERIES["stage_shares"] = stage_shares
-SQL["stage_shares"] = "SELECT event_type, CAST(count(*) AS DOUBLE) AS seconds, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM events GROUP BY 1"
+SQL["stage_shares"] = "SELECT event_type, CAST(sum(v) AS DOUBLE) AS seconds, CAST(round(100.0 * sum(v) / sum(sum(v)) OVER (), 2) AS DOUBLE) AS percent FROM (SELECT event_type, CAST(value AS DECIMAL(18, 2)) AS v FROM events) GROUP BY 1"
 
 
 def url_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
