@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -43,9 +44,13 @@ def short_code(code: Any, on: Any = SPARK) -> Any:
     return on.left(code, on.lit(2))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _trigrams(text: str) -> Counter[str]:
-    text = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
-    return Counter(text[i : i + 3] for i in range(len(text) - 2))
+    """How often every three letters stand together, words parted by single blanks."""
+    text = f" {' '.join(_LETTERS.findall(text.lower()))} "
+    return Counter(map("".join, zip(text, text[1:], text[2:], strict=False)))
 
 
 @dataclass(frozen=True)
