@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -76,39 +77,74 @@ class PrefixCounter:
         model = told["model"]
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.vocab = frozenset(model["vocab"])
-        self.longest = max(map(len, self.vocab))
+        self.reach = self._reach(token for token in self.vocab if not token.endswith(END))
+        self.reach_ended = self._reach(token.removesuffix(END) for token in self.vocab if token.endswith(END))
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in told["added_tokens"]) + ")")
         self.letters = byte_letters()
+        self.edges = Remembered(self._edges)
         self.fits = Remembered(self._fits)
         self.head = Remembered(lambda word: self._stems(word, [""], [0]))
         self.count_piece = Remembered(lambda piece: self._count_word(self.spelt(piece)))
         self.count_word = Remembered(self._count_word)
         self.count_run = Remembered(self._count_run)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """BPE by its definition: the best-ranked pair first, from the left."""
+    @staticmethod
+    def _reach(tokens: Iterable[str]) -> dict[str, int]:
+        """The most letters of a token that ends in the same two letters, or is no longer than they are."""
+        reach: dict[str, int] = {}
+        for token in tokens:
+            reach[token[-2:]] = max(reach.get(token[-2:], 1), len(token))
+        return reach
+
+    def _edges(self, token: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What stands at a token's left and at its right end as it is put together, each with the rank at which it goes into the next.
+
+        None for a token that its own letters do not make.
+        """
+        symbols = [*token.removesuffix(END)] if token.endswith(END) and token != END else [*token] if token != END else [token]
+        if token.endswith(END) and token != END:
+            symbols[-1] += END
+        left, right = [(symbols[0], math.inf)], [(symbols[-1], math.inf)]
         while len(symbols) > 1:
-            best = min((self.rank.get(p, 1 << 60) for p in zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 60:
-                break
+            best = min(self.rank.get(p, math.inf) for p in zip(symbols, symbols[1:], strict=False))
+            if best == math.inf:
+                return None
             out, i = [], 0
             while i < len(symbols):
-                if i + 1 < len(symbols) and self.rank.get((symbols[i], symbols[i + 1])) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
+                joins = i + 1 < len(symbols) and self.rank.get((symbols[i], symbols[i + 1])) == best
+                out.append(symbols[i] + symbols[i + 1] if joins else symbols[i])
+                i += 1 + joins
+            for ends, now in ((left, out[0]), (right, out[-1])):
+                if now != ends[-1][0]:
+                    ends[-1] = (ends[-1][0], best)
+                    ends.append((now, math.inf))
             symbols = out
-        return symbols
+        return left, right
 
     def _fits(self, pair: tuple[str, str]) -> bool:
-        """Whether two tokens, the first perhaps '', stay as they are when encoded side by side."""
-        left, right = pair
-        spelt = [*left, *right.removesuffix(END)] if len(right) > len(END) or right != END else [*left, right]
-        if right.endswith(END) and len(right) > len(END):
-            spelt[-1] += END
-        return self.merged(spelt) == ([left, right] if left else [right])
+        """Whether two tokens, the first perhaps '', stay as they are when encoded side by side.
+
+        They do unless, at some time while both are put together, what stands at the first one's right end
+        and the second one's left end join each other before either joins its own neighbour. Of pairs of one
+        rank the one further left joins first.
+        """
+        left, right = (self.edges[t] if t else None for t in pair)
+        if right is None or pair[0] and left is None:
+            return False
+        if not pair[0]:
+            return True
+        here, there, i, j = left[1], right[0], 0, 0
+        while True:
+            (a, a_goes), (b, b_goes) = here[i], there[j]
+            rank = self.rank.get((a, b))
+            if rank is not None and rank < a_goes and rank <= b_goes:
+                return False
+            if a_goes == b_goes == math.inf:
+                return True
+            if a_goes <= b_goes:
+                i += 1
+            else:
+                j += 1
 
     def stems(self, word: str) -> tuple[list[str], list[int]]:
         """For every prefix of a word written in byte letters, without a word end: last token and count."""
@@ -116,9 +152,9 @@ class PrefixCounter:
         return (last, count) if len(word) <= HEAD else self._stems(word, last.copy(), count.copy())
 
     def _stems(self, word: str, last: list[str], count: list[int]) -> tuple[list[str], list[int]]:
-        vocab, fits, longest = self.vocab, self.fits, self.longest
+        vocab, fits, reach = self.vocab, self.fits, self.reach
         for end in range(len(last), len(word) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
                 token = word[start:end]
                 if token in vocab and fits[last[start], token]:
                     last.append(token)
@@ -129,7 +165,7 @@ class PrefixCounter:
     def ended(self, word: str, end: int, last: list[str], count: list[int]) -> int:
         """The count of the first `end` letters as a whole word."""
         vocab, fits = self.vocab, self.fits
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach_ended.get(word[max(0, end - 2) : end], 1)), end):
             token = word[start:end] + END
             if token in vocab and fits[last[start], token]:
                 return count[start] + 1
@@ -203,15 +239,40 @@ class PrefixCounter:
                 total += sum(map(self.count_piece.__getitem__, PIECE.findall(run.lower()))) if sure(run) else self.count_run[run]
         return total
 
+    def prefixes(self, text: str) -> list[int]:
+        """The tokens of every prefix of a text, by code points from none to all."""
+        counts, before, run = [0], 0, (0, 0)
+        for start, end, total, (low, high) in self.table(text):
+            special, known = self.special.fullmatch(text, low, high), sure(text[low:high])
+            if special or known:
+                counts.extend([before] * (start + 1 - len(counts)))
+            if special:
+                counts.extend(self._into_special(text, start, k, run, counts) for k in range(start + 1, end))
+                counts.append(total)
+            elif known:
+                counts.extend(before + c for c in self.prefixes_of_piece(text[start:end].lower())[1:])
+            elif (low, high) != run:
+                counts.extend([before] * (low + 1 - len(counts)))
+                counts.extend(before + self._count_run(text[low:k]) for k in range(low + 1, high + 1))
+            before, run = total, (low, high)
+        counts.extend([before] * (len(text) + 1 - len(counts)))
+        return counts
+
+    def _into_special(self, text: str, start: int, end: int, run: tuple[int, int], counts: Sequence[int] | Mapping[int, int]) -> int:
+        """The tokens of text[:end], which breaks off in a special token from `start` on: it goes on with the run that stands right before it."""
+        low = run[0] if run[1] == start and not self.special.fullmatch(text, *run) else start
+        return counts[low] + self.count(text[low:end])
+
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix that has at most `budget` tokens."""
-        before, base, run = 0, 0, (0, 0)
+        before, base, run, last = 0, 0, (0, 0), (0, 0, 0)
         for start, end, total, (low, high) in self.table(text):
             if (low, high) != run:
-                base, run = before, (low, high)
+                last, base, run = (*run, base), before, (low, high)
             if total > budget:
                 if self.special.fullmatch(text, low, high):
-                    return start
+                    counts = dict.fromkeys([start], before) | {last[0]: last[2]}
+                    return next((k for k in range(end - 1, start, -1) if self._into_special(text, start, k, last[:2], counts) <= budget), start)
                 if sure(text[low:high]):
                     counts = self.prefixes_of_piece(text[start:end].lower())
                     return start + max((k for k, c in enumerate(counts) if before + c <= budget), default=0)

@@ -95,8 +95,14 @@ def test_longest_prefix_of_any_text():
         s = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
         counts = [n(s[:k]) for k in range(len(s) + 1)]
         assert of.count(s) == counts[-1] == max((x[2] for x in of.steps(s)), default=0), repr(s)
+        assert of.prefixes(s) == counts, repr(s)
         for budget in (0, 1, 2, 3, 5, 8):
             assert of.longest_prefix(s, budget) == max(k for k, c in enumerate(counts) if c <= budget), (s, budget)
+    for s in ("a!<|endoftext|>", "!!<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext|>", "’!<|endoftext|>", "") + tuple("".join(r.choice(["!", "<|", "<|endoftext|>", "a", "’", " ", "'l"]) for _ in range(r.randint(0, 7))) for _ in range(400)):
+        counts = [n(s[:k]) for k in range(len(s) + 1)]
+        assert of.prefixes(s) == counts, s
+        for budget in range(6):
+            assert of.longest_prefix(s, budget) == max(k for k, c in enumerate(counts) if c <= budget), (s, budget)
     s = "— " + "unbelievably internationalization " * 300
     assert of.longest_prefix(s, 100) == max(k for k in range(1600) if n(s[:k]) <= 100) < 1599
 
