@@ -87,7 +87,8 @@ class Index:
 
     def __init__(self, ids: Sequence[object], texts: Sequence[str | None]) -> None:
         self.ids = ["" if i is None else str(i) for i in ids]
-        self.words = [words_of(t) for t in texts]
+        once: dict[str, str] = {}  # a word that many items have is kept and sent once
+        self.words = [[once.setdefault(w, w) for w in words_of(t)] for t in texts]
         self.spans = sorted({min(len(x), SPAN) for x in self.words if x})
         # a key under which no two different windows have one hash
         self.key = next(key for key in itertools.count() if self._read(texts, key))
