@@ -45,7 +45,7 @@ SHORT = 48
 #: No set beyond this size is enumerated; it has 1,160 subsets.
 LARGEST_SMALL = 19
 #: Nodes of a block at most, about, and their tokens.
-BLOCK, BLOCK_TOKENS = 256, 4_000_000
+BLOCK, BLOCK_TOKENS = 128, 2_000_000
 #: Sets are in one band or in neighbouring ones if they can be linked: 1.26 is beyond 1 / 0.8.
 BAND = 1.26
 #: A list of more members than this, by the count of its cell, is tied by aggregation.
