@@ -56,7 +56,7 @@ class Page(HTMLParser):
         self.main: list[int] = []
         self.blocks = [Block("[document]")]
         self.raw: list[str] = []
-        self.titles: dict[str, list[str]] = {"h1": [], "title": []}
+        self.titles: dict[str, list[list[str]]] = {"h1": [], "title": []}
         self.feed(page)
         self.close()
 
@@ -71,6 +71,8 @@ class Page(HTMLParser):
         self.elements += 1
         if tag not in _VOID:
             self.open.append((tag, self.elements))
+        if tag in self.titles:
+            self.titles[tag].append([])
         if tag in ("article", "main") or (has.get("itemprop") or "").lower() == "articlebody" or (has.get("role") or "").lower() == "main":
             self.main.append(self.elements)
         if tag in _BLOCKS:
@@ -93,7 +95,7 @@ class Page(HTMLParser):
             self.raw.append(data)
         for name, parts in self.titles.items():
             if name in tags:
-                parts.append(data)
+                parts[-1].append(data)
         if not _SKIPPED.intersection(tags):
             self.blocks[-1].text.append(data)
             if "a" in tags:
@@ -104,8 +106,8 @@ class Page(HTMLParser):
         return [(b, w) for b in self.blocks if (w := b.words())]
 
     def title(self) -> str | None:
-        """The first h1 with a text, else the title element."""
-        return next((t for name in ("h1", "title") if (t := " ".join("".join(self.titles[name]).split()))), None)
+        """The text of the first h1 that has one, else of the title element."""
+        return next((t for name in ("h1", "title") for parts in self.titles[name] if (t := " ".join("".join(parts).split()))), None)
 
 
 def _text(blocks: list[tuple[Block, list[str]]]) -> str:

