@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -47,33 +46,37 @@ def short_code(code: Any, on: Any = SPARK) -> Any:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _trigrams(text: str) -> Counter[str]:
-    """How often every three letters stand together, words parted by single blanks."""
-    text = f" {' '.join(_LETTERS.findall(text.lower()))} "
-    return Counter(map("".join, zip(text, text[1:], text[2:], strict=False)))
+def _trigrams(text: str) -> np.ndarray:
+    """Every three characters that stand together, words parted by single blanks, as numbers of 21 bits a character; empty without letters."""
+    words = _LETTERS.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.int64)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities: a row for each trigram that is kept of any language, a column for each language."""
+    """Log probabilities: a row for each trigram that is kept of any language, in order, a column for each language."""
 
     languages: tuple[str, ...]
-    place: dict[str, int]
+    grams: np.ndarray
     logs: np.ndarray
     unknown: np.ndarray
 
     @classmethod
-    def of(cls, counts: Mapping[str, Counter[str]]) -> Model:
-        """From the trigrams of each language, TRIGRAMS of them at most."""
+    def of(cls, counts: Mapping[str, Mapping[int, int]]) -> Model:
+        """From the trigrams of each language, the TRIGRAMS first of them by count and then by number."""
         names = tuple(sorted(counts))
-        kept = {lang: dict(counts[lang].most_common(TRIGRAMS)) for lang in names}
-        place = {g: i for i, g in enumerate(sorted({g for k in kept.values() for g in k}))}
+        kept = {lang: dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:TRIGRAMS]) for lang in names}
+        grams = sorted({g for k in kept.values() for g in k})
+        place = {g: i for i, g in enumerate(grams)}
         total = np.array([sum(counts[lang].values()) + TRIGRAMS for lang in names], float)
-        logs = np.tile(-np.log(total), (len(place), 1)) if names else np.zeros((0, 0))
+        logs = np.tile(-np.log(total), (len(grams), 1)) if names else np.zeros((0, 0))
         for j, lang in enumerate(names):
             for g, k in kept[lang].items():
                 logs[place[g], j] = math.log((k + 1) / total[j])
-        return cls(names, place, logs, -np.log(total))
+        return cls(names, np.array(grams, np.int64), logs, -np.log(total))
 
 
 def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -86,32 +89,36 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     rows = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRAIN_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter[str]] = {}
         for batch in batches:
+            by_language: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(_trigrams(text or ""))
-        for lang, n in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["l", "g", "n"])
-
-    counts: dict[str, Counter[str]] = {}
-    summed = rows.select("l", "t").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+                by_language.setdefault(lang, []).append(_trigrams(text or ""))
+            for lang, found in by_language.items():
+                grams, n = np.unique(np.concatenate(found), return_counts=True)
+                # a language without a single letter is known all the same
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * max(len(grams), 1)), pa.array(grams if len(grams) else [None], pa.int64()), pa.array(n if len(n) else [0], pa.int64())], ["l", "g", "n"])
+
+    counts: dict[str, dict[int, int]] = {}
+    summed = rows.select("l", "t").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     # as many as a language has letters to make trigrams of, however many texts there are
-    for r in summed.orderBy("l", F.desc("n"), "g").toLocalIterator():
-        counts.setdefault(r.l, Counter())[r.g] = r.n
+    for r in summed.collect():
+        of = counts.setdefault(r.l, {})
+        if r.g is not None:
+            of[r.g] = r.n
     return Model.of(counts)
 
 
 def classify(model: Model, text: str | None) -> str | None:
     """The likeliest language; null for a text without letters. Ties go to the first code."""
     grams = _trigrams(text or "")
-    if not model.languages or not any(g.strip() for g in grams):
+    if not model.languages or not len(grams):
         return None
-    known = [(i, k) for g, k in grams.items() if (i := model.place.get(g)) is not None]
-    rest = sum(grams.values()) - sum(k for _, k in known)
-    score = rest * model.unknown
-    if known:
-        at, times = np.array(known).T
-        score = score + times @ model.logs[at]
+    if len(model.grams):
+        at = np.minimum(np.searchsorted(model.grams, grams), len(model.grams) - 1)
+        at = at[model.grams[at] == grams]
+        score = model.logs[at].sum(0) + (len(grams) - len(at)) * model.unknown
+    else:
+        score = len(grams) * model.unknown
     return model.languages[int(np.argmax(np.round(score, 6)))]
 
 
