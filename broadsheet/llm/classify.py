@@ -35,7 +35,7 @@ class Task:
     prior: float
 
 
-TOXICITY = Task(label="toxic", normal="words", measure="distances", rows=(6000, 4000), pieces=(1 << 14, 1 << 17), dictionary=((1 << 20, 0), (1 << 15, 12)), folds=5, held=0, prior=0.1)
+TOXICITY = Task(label="toxic", normal="words", measure="distances", rows=(6000, 4000), pieces=(3 << 14, 1 << 17), dictionary=((3 << 20, 0), (1 << 16, 12)), folds=5, held=0, prior=0.1)
 QUALITY = Task(label="quality", normal="raw", measure="sizes", rows=(4000, 4000), pieces=(1 << 17, 1 << 17), dictionary=((1 << 15, 16), (1 << 15, 16)), folds=3, held=1, prior=0.9)
 
 

@@ -89,7 +89,7 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     """A compressor of short windows that finds every place of the dictionary; frames bear no header."""
     log = max(17, min(22, len(dictionary).bit_length()))
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=log + 1, hash_log=log, chain_log=log, search_log=6
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=log + 1, hash_log=log, chain_log=log, search_log=4
     )
     kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
