@@ -349,8 +349,8 @@ def test_mixing_holds_the_limit_where_entropy_cannot_be_met(spark):
     rows = [(1, "w", "tiny")] + [(i, "w " * 500, "huge") for i in range(2, 40)]
     visits = mixing.mix(docs_of(spark, rows), mixing.Target(entropy=1.0, repeats=3.0)).collect()
     assert 1 <= sum(v.source == "tiny" for v in visits) <= 4 and 0 < visits[0].exponent < 1
-    close = mixing.mix(docs_of(spark, [(i, "w " * (3 + i % 2), "ab"[i % 2]) for i in range(40)]), mixing.Target(entropy=0.99, repeats=3.0)).collect()
-    assert {v.exponent for v in close} == {1.0}
+    close = mixing.mix(docs_of(spark, [(i, "w " * (3 + i % 2), "ab"[i % 2]) for i in range(40)]), mixing.Target(entropy=0.98, repeats=3.0)).collect()
+    assert {v.exponent for v in close} == {1.0}  # three sevenths and four sevenths have 0.985 bits
 
 
 def test_mixing_spreads_rows_that_repeat_each_other(spark, monkeypatch):
