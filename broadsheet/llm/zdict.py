@@ -97,9 +97,9 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
 
-@functools.lru_cache(8)
+@functools.lru_cache(1)
 def compressors(measure: str, zero: bytes, one: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-    """Once for each worker and model."""
+    """Once for each worker and model. A worker outlives its job, and so keeps none but the last: a pair of toxicity takes some 50 MB."""
     if measure == "distances":  # what stands in for the other dictionary is found in no text
         return compressor(bytes(len(one)) + zero), compressor(one.replace(b"\x37\xa4\x30\xec", bytes(4), 1) + zero)
     return compressor(zero), compressor(one)
