@@ -63,3 +63,17 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, values: Seq
     hot = got.filter(F.col("_heavy") | F.col(key).isNull()).select(*left.columns, *values)
     cold = got.filter(F.col("_heavy").isNull() & F.col(key).isNotNull()).select(*left.columns).join(rest, key, "left")
     return hot.unionByName(cold.select(*left.columns, *values))
+
+
+def _crc_of(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for an engine without the function: crc32 of a text's UTF-8 bytes, unsigned."""
+    table_of = "[" + ", ".join(str(_crc_of(b)) for b in range(256)) + "]"
+    in_hex = f"hex(encode({text}))"
+    byte = f"CAST('0x' || substr({in_hex}, 2 * k + 1, 2) AS BIGINT)"
+    return f"xor(list_reduce(list_transform(range(length({in_hex}) // 2), lambda k: {byte}), lambda c, b: xor(({table_of})[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
