@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions import content, dates, domains, languages, text, titles, urls
-from broadsheet.operators import relational
+from broadsheet.operators import relational, web_queries
 from broadsheet.plans.dialect import DUCK, SPARK
 from broadsheet.plans.extract import extract
 from broadsheet.sources import pages as sources
@@ -651,3 +651,6 @@ def _values(rows: Any) -> str:
 
 SQL["url_results"] = f"SELECT url, normal, sha256(normal) AS hash, homepage, shortened FROM (VALUES {_values(_URL_RESULTS)}) AS t(url, normal, homepage, shortened)"
 SQL["title_results"] = f"SELECT html, title, normal FROM (VALUES {_values(_TITLE_RESULTS)}) AS t(html, title, normal)"
+
+QUERIES |= web_queries.QUERIES
+SQL |= web_queries.SQL

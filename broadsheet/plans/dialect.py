@@ -8,6 +8,7 @@ Patterns keep to what Java's and RE2's regular expressions have in common.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -17,6 +18,14 @@ from pyspark.sql import functions as F
 Rules = Sequence[tuple[str, str]]
 
 
+@dataclass(frozen=True)
+class Form:
+    """A rewrite that the other operations can't express, as a SQL lambda of each engine; without one for the other engine it leaves all as it is there."""
+
+    spark: str
+    duck: str = ""
+
+
 class Spark:
     """Columns."""
 
@@ -138,6 +147,9 @@ class Spark:
     def sha256(self, x: Column) -> Column:
         return F.sha2(x, 256)
 
+    def form(self, x: Column, rewrite: Form) -> Column:
+        return F.call_function("transform", F.array(x), F.expr(rewrite.spark))[0]
+
 
 class Duck:
     """SQL text."""
@@ -268,6 +280,9 @@ class Duck:
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 
+    def form(self, x: str, rewrite: Form) -> str:
+        return f"list_transform([{x}], {rewrite.duck})[1]" if rewrite.duck else x
+
 
 class SparkSql(Duck):
     """SQL text for Spark, for functions that a session knows by name."""
@@ -338,6 +353,9 @@ class SparkSql(Duck):
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
+    def form(self, x: str, rewrite: Form) -> str:
+        return f"transform(array({x}), {rewrite.spark})[0]"
+
 
 SPARK = Spark()
 DUCK = Duck()
