@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import domains, hosts, urls
 from broadsheet.plans.dialect import DUCK
+from broadsheet.sources import charsets
+from broadsheet.sources import pages as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +124,55 @@ SELECT page_id, known || '.example' AS ascii, {_chosen_sql([_SPOKEN.get(known, l
        'http://' || known || '.com/' || page_id AS normal_of_ascii, known || '.com' AS domain, known || '.com' AS domain_of_ascii, 'x' || page_id || '.xn--p1ai' AS suffixed
 FROM (SELECT page_id, {_KNOWN} AS known FROM pages)
 """
+
+
+# ---- responses as servers send them ----
+
+#: What stands in the pages' place in bodies of other character sets, each in a set that has its letters.
+_SPOKEN_IN = (
+    ("shift_jis", "日本の首相は月曜日、東京で記者会見を開き、新しい経済政策について説明した。"),
+    ("euc_jp", "この記事では、東京の新しい図書館とその本について説明しています。"),
+    ("gb18030", "中国政府星期一宣布新的经济政策，专家认为这将影响全球市场的发展。"),
+    ("big5", "台灣總統星期一在台北宣布新的經濟政策，專家認為這將影響全球市場的發展。"),
+    ("euc_kr", "한국 정부는 월요일 서울에서 새로운 경제 정책을 발표했다고 밝혔다."),
+    ("windows-1251", "Правительство в понедельник объявило о новой экономической политике."),
+    ("koi8-r", "Министр сообщил журналистам, что переговоры продолжатся завтра."),
+    ("windows-1253", "Η ελληνική κυβέρνηση ανακοίνωσε τη Δευτέρα νέα οικονομική πολιτική."),
+    ("windows-1250", "Rząd ogłosił w poniedziałek nową politykę gospodarczą, która może zmienić życie wielu ludzi."),
+    ("windows-1252", "Le gouvernement français a annoncé lundi une politique économique très attendue."),
+    ("utf-8", "Où est-ce que ça mène ? 日本 и Россия."),
+    ("utf-16", "Texte à deux octets, 日本."),
+)
+_SETS = len(_SPOKEN_IN)
+_LINKS = (
+    ('<http://a.org/x?a=1,2>; rel="original", <http://b.org/t>; rel="timemap"; type="application/link-format"', "http://a.org/x?a=1,2"),
+    ('<http://b.org/t>; rel=timegate , <http://a.org/y>;title="one, <two>; rel=\\"none\\""; REL="Latest-Version ORIGINAL"', "http://a.org/y"),
+    ('<http://a.org/first>; rel="first memento"; rel="original", <http://b.org>; rev=original', None),
+    ("not a link", None),
+)
+
+
+def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' bytes in twelve character sets, declared wrongly or not at all, decoded from the bytes; UTF-8 is believed where it is declared."""
+    spoken = F.get(F.array(*(F.unhex(F.lit(text.encode(name).hex())) for name, text in _SPOKEN_IN)), (F.col("page_id") % _SETS).cast("int"))
+    of_page = F.regexp_replace("html", "[^\\x00-\\x7f]", "")
+    # in text of two bytes a character the page's own letters must be so too
+    wide = F.when(F.col("page_id") % _SETS == _SETS - 1, F.concat(spoken, F.substr(F.encode(of_page, "UTF-16LE"), F.lit(1)))).otherwise(F.concat(F.encode(of_page, "UTF-8"), spoken))
+    kind = F.when(F.col("page_id") % 3 == 0, F.lit("text/html; charset=ISO-8859-1")).when(F.col("page_id") % 3 == 1, F.lit("Text/HTML"))
+    link = _chosen([value for value, _ in _LINKS])
+    headers = F.map_filter(F.map_from_arrays(F.array(F.lit("Content-Type"), F.lit("LINK"), F.lit("Memento-Datetime")), F.array(kind, link, F.when(F.col("page_id") % 5 != 0, F.lit("x")))), lambda _, v: v.isNotNull())
+    made = _pages(spark, sf_dir).select("page_id", "url", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), headers.alias("headers"), wide.alias("body"))
+    out = sources.fetched_raw(made).select("page_id", "charset", "final_url", F.sha2("html", 256).alias("html_sha256"), F.length("html").cast("long").alias("n_chars"))
+    believed = _pages(spark, sf_dir).select("page_id", charsets.decode(F.encode("html", "ISO-8859-1"), F.lit('"UTF-8"')).alias("d"))
+    return out.join(believed.select("page_id", F.col("d.charset").alias("believed")), "page_id")
+
+
+QUERIES["raw_responses"] = raw_responses
+_SPOKEN_SQL = _chosen_sql([text for _, text in _SPOKEN_IN])
+_OWN_SQL = "regexp_replace(html, '[^\\x00-\\x7f]', '', 'g')"
+_ORIGINALS = "[" + ", ".join("NULL" if url is None else DUCK.lit(url) for _, url in _LINKS) + f"][page_id % {len(_LINKS)} + 1]"
+SQL["raw_responses"] = f"""
+SELECT page_id, {_chosen_sql([name for name, _ in _SPOKEN_IN])} AS charset, CASE WHEN page_id % 5 <> 0 THEN coalesce({_ORIGINALS}, url) ELSE url END AS final_url,
+       sha256(html) AS html_sha256, length(html) AS n_chars, 'utf-8' AS believed
+FROM (SELECT page_id, url, CASE WHEN page_id % {_SETS} = {_SETS - 1} THEN {_SPOKEN_SQL} || {_OWN_SQL} ELSE {_OWN_SQL} || {_SPOKEN_SQL} END AS html FROM pages WHERE page_id % 7 <> 0)
+"""
