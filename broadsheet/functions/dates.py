@@ -16,11 +16,11 @@ AHEAD = 90
 #: Names of meta tags that date a page, the most telling first.
 META_NAMES = "article:published_time|datepublished|date|dc.date|dc.date.issued|dcterms.created|pubdate|publishdate|publish-date|sailthru.date|parsely-pub-date|og:published_time|article.published|cxenseparse:recs:publishtime"
 
-_DAY = r"((?:19|20)\d{2}-\d{2}-\d{2})"
-_META = rf"(?is)<meta[^>]*(?:name|property|itemprop)=.(?:{META_NAMES}).[^>]* content=.\s*{_DAY}"
-_META_REVERSED = rf"(?is)<meta[^>]* content=.\s*{_DAY}[^>]*(?:name|property|itemprop)=.(?:{META_NAMES})[\"']"
-_LINKED = rf"(?is)\"datePublished\"\s*:\s*\"{_DAY}"
-_TIME = rf"(?is)<time[^>]* datetime=.\s*{_DAY}"
+_GIVEN = r"=\s*[\"']?\s*([^\"'>]{6,60})"
+_META = rf"(?is)<meta[^>]*(?:name|property|itemprop)=.(?:{META_NAMES}).[^>]* content{_GIVEN}"
+_META_REVERSED = rf"(?is)<meta[^>]* content{_GIVEN}[^>]*(?:name|property|itemprop)=.(?:{META_NAMES})[\"']"
+_LINKED = r"(?is)\"datePublished\"\s*:\s*\"([^\"]{6,60})"
+_TIME = rf"(?is)<time[^>]* datetime{_GIVEN}"
 _MONTHS = "january february march april may june july august september october november december".split(" ")
 _NUMBERS = "".join(m[:3] for m in _MONTHS)
 _MONTH = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in _MONTHS)
@@ -49,9 +49,32 @@ def from_url(url: Column) -> Column:
     return F.coalesce(of(parted), of(packed))
 
 
-def from_tags(page: Column) -> Column:
-    """Meta tags, then linked data, then time elements."""
-    return F.coalesce(*(_day(F.regexp_extract(page, p, 1)) for p in (_META, _META_REVERSED, _LINKED, _TIME)))
+def day_of(given: Column) -> Column:
+    """The day that the value of a tag tells; null for none.
+
+    Years first, parted by -, / or . or not at all, whatever the time behind them; days first, parted by
+    dots; or with the month's English name, as mail and web servers write it. The day is the one that is
+    written, in whatever zone.
+    """
+    parted, packed, dotted = r"^\s*((?:19|20)\d{2})([-/.])(\d{1,2})\2(\d{1,2})(?!\d)", r"^\s*((?:19|20)\d{2})(\d{2})(\d{2})(?!\d{3})", r"^\s*(\d{1,2})[.](\d{1,2})[.]((?:19|20)\d{2})(?!\d)"
+
+    def by(pattern: str, year: int, month: int, day: int) -> Column:
+        part = lambda i: F.lpad(F.regexp_extract(given, pattern, i), 2, "0")
+        return F.when(given.rlike(pattern), _day(F.concat_ws("-", F.regexp_extract(given, pattern, year), part(month), part(day))))
+
+    return F.coalesce(by(parted, 1, 3, 4), by(packed, 1, 2, 3), by(dotted, 3, 2, 1), _written(given, _DAY_MONTH, 1, 2), _written(given, _MONTH_DAY, 2, 1))
+
+
+def _tagged(page: Column, pattern: str) -> Column:
+    """The first day that a tag of a kind tells."""
+    days = F.transform(F.regexp_extract_all(page, F.lit(pattern), 1), lambda given: _let(given, day_of))
+    return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
+
+
+def from_tags(page: Column, linked: Column | None = None) -> Column:
+    """Meta tags, then linked data, then time elements. linked: the date that a page's linked data gives, where it has been read."""
+    known = [] if linked is None else [_let(linked, day_of)]
+    return F.coalesce(_tagged(page, _META), _tagged(page, _META_REVERSED), *known, _tagged(page, _LINKED), _tagged(page, _TIME))
 
 
 def _written(text: Column, pattern: str, day: int, month: int) -> Column:
@@ -77,9 +100,9 @@ def latest(as_of: dt.datetime) -> dt.datetime:
     return as_of + dt.timedelta(days=AHEAD)
 
 
-def publication_date(page: Column, url: Column, cap: Column | None = None, default: Column | None = None) -> Column:
+def publication_date(page: Column, url: Column, cap: Column | None = None, default: Column | None = None, linked: Column | None = None) -> Column:
     """When a page was published, as a timestamp without a zone at midnight; else `default`."""
-    found = F.coalesce(from_url(url), from_tags(page), from_text(page))
+    found = F.coalesce(from_url(url), from_tags(page, linked), from_text(page))
     if cap is not None:
         found = F.transform(F.array(found), lambda d: F.when(d <= cap, d))[0]
     return found if default is None else F.coalesce(found, default)

@@ -6,13 +6,15 @@ what each of them must come to.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.functions import domains, hosts, urls
+from broadsheet.functions import dates, domains, hosts, linked_data, text, urls
 from broadsheet.plans.dialect import DUCK
+from broadsheet.plans.extract import extract
 from broadsheet.sources import charsets
 from broadsheet.sources import pages as sources
 
@@ -154,7 +156,7 @@ _LINKS = (
 
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' bytes in twelve character sets, declared wrongly or not at all, decoded from the bytes; UTF-8 is believed where it is declared."""
-    spoken = F.get(F.array(*(F.unhex(F.lit(text.encode(name).hex())) for name, text in _SPOKEN_IN)), (F.col("page_id") % _SETS).cast("int"))
+    spoken = F.get(F.array(*(F.unhex(F.lit(spoken.encode(name).hex())) for name, spoken in _SPOKEN_IN)), (F.col("page_id") % _SETS).cast("int"))
     of_page = F.regexp_replace("html", "[^\\x00-\\x7f]", "")
     # in text of two bytes a character the page's own letters must be so too
     wide = F.when(F.col("page_id") % _SETS == _SETS - 1, F.concat(spoken, F.substr(F.encode(of_page, "UTF-16LE"), F.lit(1)))).otherwise(F.concat(F.encode(of_page, "UTF-8"), spoken))
@@ -168,7 +170,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["raw_responses"] = raw_responses
-_SPOKEN_SQL = _chosen_sql([text for _, text in _SPOKEN_IN])
+_SPOKEN_SQL = _chosen_sql([spoken for _, spoken in _SPOKEN_IN])
 _OWN_SQL = "regexp_replace(html, '[^\\x00-\\x7f]', '', 'g')"
 _ORIGINALS = "[" + ", ".join("NULL" if url is None else DUCK.lit(url) for _, url in _LINKS) + f"][page_id % {len(_LINKS)} + 1]"
 SQL["raw_responses"] = f"""
@@ -176,3 +178,58 @@ SELECT page_id, {_chosen_sql([name for name, _ in _SPOKEN_IN])} AS charset, CASE
        sha256(html) AS html_sha256, length(html) AS n_chars, 'utf-8' AS believed
 FROM (SELECT page_id, url, CASE WHEN page_id % {_SETS} = {_SETS - 1} THEN {_SPOKEN_SQL} || {_OWN_SQL} ELSE {_OWN_SQL} || {_SPOKEN_SQL} END AS html FROM pages WHERE page_id % 7 <> 0)
 """
+
+
+# ---- linked data and dates in tags ----
+
+#: Linked data in several shapes; ~ stands for the page's id. Beside each what it tells: title, authors, image, day published, type.
+_LINKED = (
+    ('{"@type": "NewsArticle", "headline": "News &amp; more ~", "author": {"@type": "Person", "name": "Ann ~"}, "image": "http://i/~.png", "datePublished": "2021-04-30T10:00:00Z"}', "News & more ~", "Ann ~", "http://i/~.png", "2021-04-30", "NewsArticle"),
+    ('[{"@type": "Organization", "name": "O"}, {"@type": ["CreativeWork", "BlogPosting"], "name": "Blog ~", "author": [{"name": "A"}, "B ~", {"name": "A"}], "image": [{"url": "http://i/1~"}, "x"], "dateCreated": "Fri, 30 Apr 2021 10:00:00 GMT"}]', "Blog ~", "A|B ~", "http://i/1~", "2021-04-30", "CreativeWork"),
+    ('{"@context": "https://schema.org", "@graph": [{"@type": "WebPage", "name": "The page"}, {"@type": "Article", "headline": "Graph ~", "author": [{"@id": "#a"}, {"@id": "#nobody"}], "image": {"@id": "#i"}, "datePublished": "20210430"}, {"@id": "#a", "@type": "Person", "name": "Al ~"}, {"@id": "#i", "url": "http://i/g~"}]}', "Graph ~", "Al ~", "http://i/g~", "2021-04-30", "Article"),
+    ('{"@type": "WebPage", "name": "outer", "mainEntity": {"@graph": [{"@type": "http://schema.org/Report", "headline": "Deep ~", "image": {"contentUrl": "c~"}, "datePublished": "April 30, 2021"}]}}', "Deep ~", None, "c~", "2021-04-30", "http://schema.org/Report"),
+    ('{"@type": "NewsArticle", "headline": "broken ~", </script><script type="application/ld+json">//<![CDATA[\n{"@type": "Article", "headline": "Second ~", "author": "C"};//]]>', "Second ~", "C", None, None, "Article"),
+    ('{"@type": "WebPage", "name": "Only a page ~", "image": []}', "Only a page ~", None, None, None, "WebPage"),
+    ('"a text"', None, None, None, None, None),
+    ('{"name": "of no type", "@graph": 7}', None, None, None, None, None),
+)
+
+
+def _linked_page(rest: Column) -> Column:
+    return F.concat(F.lit('<SCRIPT data-x="1" type="application/ld+json">'), F.replace(_chosen([shape[0] for shape in _LINKED]), F.lit("~"), _id()), F.lit("</SCRIPT>"), rest)
+
+
+def linked_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What linked data says of articles, in lists, graphs and by reference, among broken scripts; and of the pages as they are, which have none."""
+    rows = _pages(spark, sf_dir).select("page_id", linked_data.article(_linked_page(F.col("html"))).alias("a"), linked_data.article(F.col("html")).isNull().alias("none_"))
+    return rows.select("page_id", "a.title", F.array_join("a.authors", "|").alias("authors"), "a.image", dates.day_of(F.col("a.published")).alias("published"), "a.type", "none_")
+
+
+def record_of_linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a page that has no tags but linked data: its title, date, authors and image are from there."""
+    made = _pages(spark, sf_dir).withColumn("html", _linked_page(text.strip_tags(F.col("html"))))
+    out = extract(made.withColumn("url", F.lit("http://x.org/a")), dt.datetime(2025, 1, 1), overrides={"text_content": F.lit("x")}, other_metadata=True)
+    return out.select("page_id", "article_title", "publication_date", F.array_join("other.authors", "|").alias("authors"), "other.top_image_url", "other.raw_title")
+
+
+def pub_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in tags as servers and editors write them."""
+    day = F.date_add(F.lit("2020-02-27").cast("date"), (F.col("page_id") % 400).cast("int"))
+    written = [F.date_format(day, f) for f in ("EEE, dd MMM yyyy 10:11:12 'GMT'", "yyyyMMdd", "yyyyMMdd'T'101112", "MMMM d, yyyy", "d.M.yyyy", "yyyy/M/d 10:00", "yyyy-MM-dd'T'10:00:00.000+02:00", "EEEE, d MMMM yyyy")]
+    value = F.get(F.array(*written), (F.col("page_id") % len(written)).cast("int"))
+    tag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta name="pubdate" content="soon"><meta property="article:published_time" content="'), value, F.lit('">')))
+    tag = tag.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<meta content=" '), value, F.lit("\" name='date'>"))).otherwise(F.concat(F.lit("<time class=x datetime='"), value, F.lit("'>")))
+    return _pages(spark, sf_dir).select("page_id", dates.publication_date(F.concat(tag, F.col("html")), F.col("url")).alias("date"), dates.from_tags(F.col("html")).isNull().alias("none_"))
+
+
+QUERIES |= {"linked_metadata": linked_metadata, "record_of_linked_data": record_of_linked_data, "pub_date_forms": pub_date_forms}
+
+
+def _told_sql(i: int) -> str:
+    values = ", ".join("NULL" if shape[i] is None else DUCK.lit(shape[i]) for shape in _LINKED)
+    return f"replace(CAST([{values}][page_id % {len(_LINKED)} + 1] AS VARCHAR), '~', CAST(page_id AS VARCHAR))"
+
+
+SQL["linked_metadata"] = f"SELECT page_id, {_told_sql(1)} AS title, {_told_sql(2)} AS authors, {_told_sql(3)} AS image, CAST({_told_sql(4)} AS TIMESTAMP) AS published, {_told_sql(5)} AS type, true AS none_ FROM pages"
+SQL["record_of_linked_data"] = f"SELECT page_id, {_told_sql(1)} AS article_title, CAST({_told_sql(4)} AS TIMESTAMP) AS publication_date, {_told_sql(2)} AS authors, {_told_sql(3)} AS top_image_url, {_told_sql(1)} AS raw_title FROM pages"
+SQL["pub_date_forms"] = "SELECT page_id, CAST(DATE '2020-02-27' + CAST(page_id % 400 AS INTEGER) AS TIMESTAMP) AS date, true AS none_ FROM pages"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import broadsheet
-from broadsheet.functions import content, dates, domains, languages, titles, urls
+from broadsheet.functions import content, dates, domains, languages, linked_data, titles, urls
 
 #: Fields that an override or a default may be given for.
 OVERRIDES = ("canonical_domain", "publication_date", "text_content", "article_title", "language", "canonical_url")
@@ -53,7 +53,7 @@ def extract(
         return languages.pick(said, languages.from_text(text, language_model)) if language_model else said
 
     def read_date() -> Column:
-        return dates.publication_date(page, url, F.lit(dates.latest(as_of)).cast("timestamp_ntz"))
+        return dates.publication_date(page, url, F.lit(dates.latest(as_of)).cast("timestamp_ntz"), linked=F.col("_linked.published"))
 
     # each in a projection of its own, so that what others build on is computed once
     df = pages.withColumn("normalized_url", urls.normalize(url))
@@ -63,8 +63,9 @@ def extract(
         df = df.withColumn("_content", F.struct(given["text_content"].cast("string").alias("text"), F.lit(content.GIVEN).alias("method"), F.lit(content.OK).alias("status"), none.alias("title"), none.alias("image")))
     else:
         df = df.withColumn("_content", content.content(page, with_images=other_metadata))
+    df = df.withColumn("_linked", linked_data.article(page))
     text = F.col("_content.text")
-    df = df.withColumns({"_title": either("article_title", lambda: titles.from_html(page, F.col("_content.title"))), "_language": either("language", read_language)})
+    df = df.withColumns({"_title": either("article_title", lambda: titles.from_html(page, F.coalesce("_content.title", "_linked.title"))), "_language": either("language", read_language)})
     fields = {
         "original_url": F.col(url_col),
         "final_url": url,
@@ -87,10 +88,10 @@ def extract(
     if other_metadata:
         meta_image = F.nullif(F.regexp_extract(page, r"(?is)<meta[^>]*property=.og:image.[^>]* content=[\"']([^\"']+)", 1), F.lit(""))
         fields["other"] = F.struct(
-            F.coalesce("_content.title", titles.title_tag(page)).alias("raw_title"),
-            dates.from_tags(page).alias("raw_publish_date"),
-            F.coalesce("_content.image", meta_image).alias("top_image_url"),
-            content.authors(F.regexp_extract(page, r"(?is)<meta[^>]*name=.author.[^>]* content=[\"']([^\"']+)", 1)).alias("authors"),
+            F.coalesce("_content.title", titles.title_tag(page), "_linked.title").alias("raw_title"),
+            dates.from_tags(page, F.col("_linked.published")).alias("raw_publish_date"),
+            F.coalesce("_content.image", meta_image, "_linked.image").alias("top_image_url"),
+            F.coalesce("_linked.authors", content.authors(F.regexp_extract(page, r"(?is)<meta[^>]*name=.author.[^>]* content=[\"']([^\"']+)", 1))).alias("authors"),
         )
     out = df.select(*(c for c in keep if c not in fields), *(v.alias(k) for k, v in fields.items()))
     if errors == "raise":
