@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +19,10 @@ _DC = r'(?is)<meta[^>]* (?:name|property)=.dc\.language.[^>]* content="([^"]+)"'
 _HTTP = r'(?is)<meta[^>]* (?:http-equiv)=.Content-Language.[^>]* content="([^"]+)"'
 _HTML = r'(?is)<html[^>]* (?:xml:lang|lang)="([^"]+)"'
 # ---- end of fixed values ----
-#: Rows of each language that a classifier is fitted on at most.
+#: Rows of each language that train() fits a model on, at most.
 TRAIN_ROWS = 400
+#: Trigrams of a model that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Different trigrams kept of each language.
 TRIGRAMS = 3000
 
@@ -43,16 +43,25 @@ def short_code(code: Any, on: Any = SPARK) -> Any:
     return on.left(code, on.lit(2))
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# ---- the language of a text, by how likely its trigrams are in each language ----
+
+_LETTERS = regex.compile(r"\p{L}+")
+#: Parts into which the trigrams, or texts, of one language are dealt before they are ranked.
+_DEALT = 64
 
 
 def _trigrams(text: str) -> np.ndarray:
-    """Every three characters that stand together, words parted by single blanks, as numbers of 21 bits a character; empty without letters."""
+    """Every three characters that stand together in a word with a blank at either end, as numbers of 21 bits a character."""
     words = _LETTERS.findall(text.lower())
     if not words:
         return np.zeros(0, np.int64)
-    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    c = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    one, two, three = c[:-2], c[1:-1], c[2:]
+    return (one << 42 | two << 21 | three)[two != 32]
+
+
+def _number(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
 
 
 @dataclass(frozen=True)
@@ -65,68 +74,129 @@ class Model:
     unknown: np.ndarray
 
     @classmethod
-    def of(cls, counts: Mapping[str, Mapping[int, int]]) -> Model:
-        """From the trigrams of each language, the TRIGRAMS first of them by count and then by number."""
-        names = tuple(sorted(counts))
-        kept = {lang: dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:TRIGRAMS]) for lang in names}
-        grams = sorted({g for k in kept.values() for g in k})
-        place = {g: i for i, g in enumerate(grams)}
-        total = np.array([sum(counts[lang].values()) + TRIGRAMS for lang in names], float)
-        logs = np.tile(-np.log(total), (len(grams), 1)) if names else np.zeros((0, 0))
-        for j, lang in enumerate(names):
-            for g, k in kept[lang].items():
-                logs[place[g], j] = math.log((k + 1) / total[j])
-        return cls(names, np.array(grams, np.int64), logs, -np.log(total))
-
-
-def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from TRAIN_ROWS whole texts of each language, the first by a hash.
-
-    Trigrams are counted where the texts are; a text longer than others counts for as much as it has.
+    def of(cls, rows: Iterable[tuple[str, str | None, float | None, float]]) -> Model:
+        """From (language, trigram, log, unknown) of model_table()."""
+        rows = list(rows)
+        unknown = {lang: u for lang, _, _, u in rows}
+        names = tuple(sorted(unknown))
+        grams = sorted({_number(g) for _, g, _, _ in rows if g is not None})
+        place, column = {g: i for i, g in enumerate(grams)}, {lang: j for j, lang in enumerate(names)}
+        none = np.array([unknown[lang] for lang in names], float)
+        logs = np.tile(none, (len(grams), 1)) if names else np.zeros((0, 0))
+        for lang, gram, log, _ in rows:
+            if gram is not None:
+                logs[place[_number(gram)], column[lang]] = log
+        return cls(names, np.array(grams, np.int64), logs, none)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"\p{L}+"), 0)
+
+
+def _grams(word: Column) -> Column:
+    """The trigrams of a word with a blank at either end: as many as it has letters. Letters are looked up in an array, as a text is read from its start each time."""
+    letters = lambda w: F.split(F.concat(F.lit(" "), w, F.lit(" ")), "")
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    return F.transform(F.array(letters(word)), at)[0]
+
+
+def _first_of_each(df: DataFrame, by: str, order: Sequence[Column], item: str, k: int) -> DataFrame:
+    """The `k` first rows of each value of `by`: first of each part of them, then of what is left, so that no task ranks all of one value."""
+    part = F.pmod(F.xxhash64(item), F.lit(_DEALT))
+    for keys in ([F.col(by), part], [F.col(by)]):
+        df = df.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank_") <= k).drop("rank_")
+    return df
+
+
+def sample(texts: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang_ and text_ of the `rows` first different texts of each language by their digests; digests alone are ranked."""
+    all_ = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("lang_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
+    keyed = all_.withColumn("key_", F.md5("text_"))
+    first = _first_of_each(keyed.select("lang_", "key_").distinct(), "lang_", [F.col("key_")], "key_", rows)
+    return keyed.join(first, ["lang_", "key_"], "left_semi").dropDuplicates(["lang_", "key_"]).select("lang_", "text_")
+
+
+def model_table(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, gram, log and unknown: the TRIGRAMS most common trigrams of each language, and what any other one counts for.
+
+    All texts count whole, as tables: different words of each language, then their trigrams, so that a hot
+    language is added up before it is shuffled. A log is that of the share of a trigram, each of the kept
+    and of as many unknown ones counted once more. A language without a letter has one row with a null gram.
+    Rows without a language teach nothing; null texts have no letters.
     """
-    first = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
-    rows = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRAIN_ROWS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_language: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_language.setdefault(lang, []).append(_trigrams(text or ""))
-            for lang, found in by_language.items():
-                grams, n = np.unique(np.concatenate(found), return_counts=True)
-                # a language without a single letter is known all the same
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * max(len(grams), 1)), pa.array(grams if len(grams) else [None], pa.int64()), pa.array(n if len(n) else [0], pa.int64())], ["l", "g", "n"])
-
-    counts: dict[str, dict[int, int]] = {}
-    summed = rows.select("l", "t").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    # as many as a language has letters to make trigrams of, however many texts there are
-    for r in summed.collect():
-        of = counts.setdefault(r.l, {})
-        if r.g is not None:
-            of[r.g] = r.n
-    return Model.of(counts)
+    rows = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("lang"), _words(F.col(text_col)).alias("words"))
+    words = rows.select("lang", F.explode_outer("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    grams = words.select("lang", "n", F.explode_outer(F.when(F.col("word").isNotNull(), _grams(F.col("word")))).alias("gram")).groupBy("lang", "gram").agg(F.sum(F.when(F.col("gram").isNotNull(), F.col("n")).otherwise(0)).alias("n"))
+    totals = grams.groupBy("lang").agg((F.sum("n") + TRIGRAMS).cast("double").alias("total"))
+    kept = _first_of_each(grams.filter(F.col("gram").isNotNull()), "lang", [F.desc("n"), F.asc("gram")], "gram", TRIGRAMS)
+    # a row for each language, which are few
+    told = totals.join(kept, "lang", "left")
+    return told.select("lang", "gram", F.when(F.col("gram").isNotNull(), F.log((F.col("n") + 1) / F.col("total"))).alias("log"), (-F.log("total")).alias("unknown"))
 
 
-def classify(model: Model, text: str | None) -> str | None:
-    """The likeliest language; null for a text without letters. Ties go to the first code."""
-    grams = _trigrams(text or "")
-    if not model.languages or not len(grams):
-        return None
+def guessed(texts: DataFrame, model: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """`key` and language of every row of `texts`, by tables alone; keys must differ. Null for a text without letters; ties go to the first code.
+
+    The model is read three times, and so had better be a table that is written. Trigrams meet its own, which are broadcast if BROADCAST_ROWS at most and shuffled to otherwise,
+    and are added up by text and language where they are before they are shuffled.
+    """
+    gains = model.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.collect_list(F.struct("lang", (F.col("log") - F.col("unknown")).alias("gain"))).alias("gains"))
+    few = gains.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = texts.select(F.col(key).alias("key_"), F.explode(_words(F.col(text_col))).alias("word"))
+    grams = words.select("key_", F.explode(_grams(F.col("word"))).alias("gram"))
+    met = grams.join(F.broadcast(gains) if few else gains, "gram").select("key_", F.explode("gains").alias("g"))
+    sums = met.groupBy("key_", "g.lang").agg(F.sum("g.gain").alias("gain")).groupBy("key_").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("gains"))
+    # one row, with as many entries as there are languages
+    known = model.groupBy("lang").agg(F.first("unknown").alias("unknown")).agg(F.array_sort(F.collect_list(F.struct("lang", "unknown"))).alias("known"))
+    letters = F.length(F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\P{L}+", "")).cast("long")
+    rows = texts.select(F.col(key).alias("key_"), letters.alias("n")).join(sums, "key_", "left").crossJoin(F.broadcast(known))
+    gain = lambda k: F.coalesce(F.try_element_at(F.col("gains"), k["lang"]), F.lit(0.0))
+    scores = F.transform("known", lambda k: F.struct((-F.round(gain(k) + F.col("n") * k["unknown"], 6)).alias("score"), k["lang"].alias("lang")))
+    return rows.select(F.col("key_").alias(key), F.when(F.col("n") > 0, F.array_min(scores)["lang"]).alias("language"))
+
+
+def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
+    """A model for from_text(), from whole texts of `rows` rows of each language; see sample() and model_table().
+
+    TRIGRAMS rows of each language come to the driver.
+    """
+    table = model_table(sample(texts, rows, text_col, lang_col), "text_", "lang_")
+    return Model.of((r["lang"], r["gram"], r["log"], r["unknown"]) for r in table.collect())
+
+
+def classify_all(model: Model, texts: Sequence[str | None]) -> list[str | None]:
+    """The likeliest language of each text; null for one without letters. Ties go to the first code."""
+    each = [_trigrams(t or "") for t in texts]
+    sizes = np.array([len(g) for g in each], np.int64)
+    if not model.languages or not sizes.sum():
+        return [None] * len(each)
+    grams = np.concatenate(each)
+    score = sizes[:, None] * model.unknown
     if len(model.grams):
         at = np.minimum(np.searchsorted(model.grams, grams), len(model.grams) - 1)
-        at = at[model.grams[at] == grams]
-        score = model.logs[at].sum(0) + (len(grams) - len(at)) * model.unknown
-    else:
-        score = len(grams) * model.unknown
-    return model.languages[int(np.argmax(np.round(score, 6)))]
+        known = np.flatnonzero(model.grams[at] == grams)
+        row = np.repeat(np.arange(len(each)), sizes)[known]
+        for j in range(len(model.languages)):
+            score[:, j] += np.bincount(row, model.logs[at[known], j] - model.unknown[j], len(each))
+    best = np.argmax(np.round(score, 6), axis=1)
+    return [model.languages[b] if n else None for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
+
+
+def classify(model: Model, text: str | None) -> str | None:
+    """classify_all() of one text."""
+    return classify_all(model, [text])[0]
+
+
+#: Texts that are judged in one go.
+_AT_ONCE = 64
 
 
 def from_text(text: Column, model: Model) -> Column:
-    """classify() as a column."""
+    """classify_all() as a column."""
 
     @F.pandas_udf("string")
     def guess(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: classify(model, t))
+        given = texts.tolist()
+        return pd.Series([g for low in range(0, len(given), _AT_ONCE) for g in classify_all(model, given[low : low + _AT_ONCE])], dtype=object)
 
     return guess(text)

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text
+from broadsheet.plans.dialect import SPARK, Form
 
 # ---- fixed values: where linked data stands, and the names that it goes by ----
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script"
@@ -24,6 +25,7 @@ _INSIDE = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item"
 # ---- end of fixed values ----
 #: Levels of lists and graphs within each other that are opened.
 DEPTH = 3
+_LISTED = Form("i -> CASE WHEN i IS NULL THEN CAST(array() AS ARRAY<VARIANT>) WHEN startswith(schema_of_variant(i), 'ARRAY') THEN coalesce(try_variant_get(i, '$', 'array<variant>'), CAST(array() AS ARRAY<VARIANT>)) ELSE array(i) END")
 FIELDS = "struct<title:string,authors:array<string>,image:string,published:string,modified:string,type:string>"
 
 
@@ -41,8 +43,7 @@ def _kind(item: Column) -> Column:
 
 def _listed(item: Column) -> Column:
     """The items of a list, or a single item as one; none for null."""
-    none = F.array().cast("array<variant>")
-    return F.when(item.isNull(), none).when(F.startswith(_kind(item), F.lit("ARRAY")), F.coalesce(F.try_variant_get(item, "$", "array<variant>"), none)).otherwise(F.array(item))
+    return SPARK.form(item, _LISTED)
 
 
 def _is_object(item: Column) -> Column:

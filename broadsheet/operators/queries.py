@@ -7,7 +7,6 @@ way on either side. Expressions are written once over a dialect; see broadsheet.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -20,6 +19,7 @@ from broadsheet.operators import relational, web_queries
 from broadsheet.plans.dialect import DUCK, SPARK
 from broadsheet.plans.extract import extract
 from broadsheet.sources import pages as sources
+from broadsheet.sources import shared
 from broadsheet.streaming.dedup import dedup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,9 +318,9 @@ def strip_tags_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every page's text, by a model trained on the documents."""
-    model = languages.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return _pages(spark, sf_dir).select("page_id", languages.from_text(text.strip_tags(F.col("html")), model).alias("language"))
+    """The language of every page's text, by a model of all documents, all by tables."""
+    model = shared.written(languages.model_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return languages.guessed(_pages(spark, sf_dir).select("page_id", text.strip_tags(F.col("html")).alias("text")), model, "page_id")
 
 
 QUERIES |= {"content_blocks": content_blocks, "raw_text": raw_text, "strip_tags_exact": strip_tags_exact, "language_text": language_text}
@@ -338,6 +338,28 @@ SELECT page_id, CASE WHEN enough THEN found END AS text, 'main_element' AS metho
 FROM {_ARTICLES} JOIN pages USING (page_id)
 """
 SQL["method_stats"] = f"SELECT 'main_element' AS text_extraction_method, CASE WHEN enough THEN 'ok' ELSE 'too_short' END AS extract_status, count(*) AS n FROM {_ARTICLES} GROUP BY 2"
+SQL["language_text"] = rf"""
+WITH words AS (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS word FROM documents WHERE lang <> '') GROUP BY lang, word
+), grams AS (
+  SELECT lang, substring(' ' || word || ' ', i, 3) AS gram, sum(n) AS n FROM (SELECT lang, word, n, unnest(range(1, length(word) + 1)) AS i FROM words) GROUP BY lang, gram
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang) + {languages.TRIGRAMS} AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM grams
+), model AS (
+  SELECT lang, gram, ln((n + 1) / total) + ln(total) AS gain FROM ranked WHERE rank <= {languages.TRIGRAMS}
+), langs AS (
+  SELECT lang, -ln(max(total)) AS unknown FROM ranked GROUP BY lang
+), texts AS (
+  SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>', '', 'g')), '\p{{L}}+') AS words FROM pages
+), seen AS (
+  SELECT page_id, substring(' ' || word || ' ', i, 3) AS gram, count(*) AS n FROM (SELECT page_id, word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT page_id, unnest(words) AS word FROM texts)) GROUP BY page_id, gram
+), sums AS (
+  SELECT page_id, lang, sum(n * gain) AS gain FROM seen JOIN model USING (gram) GROUP BY page_id, lang
+), scores AS (
+  SELECT page_id, lang, round(coalesce(gain, 0) + n * unknown, 6) AS score FROM (SELECT page_id, sum(n) AS n FROM seen GROUP BY page_id) CROSS JOIN langs LEFT JOIN sums USING (page_id, lang)
+)
+SELECT page_id, language FROM pages LEFT JOIN (SELECT page_id, list(lang ORDER BY score DESC, lang)[1] AS language FROM scores GROUP BY page_id) USING (page_id)
+"""
 SQL["strip_tags_exact"] = f"""
 SELECT page_id, {text.unescape("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>', '', 'g'), '&([a-zA-Z0-9#]+);?', '&\\1;', 'g')", DUCK)} AS text FROM pages
 """
@@ -521,11 +543,8 @@ SQL["fetched_pages"] = r"SELECT page_id, url AS html, CASE WHEN page_id % 4 = 0
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors see it; where driver and executors are one process, any will do."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.gettempdir()}/broadsheet-{name}-{uuid.uuid4().hex}"
+    """A new folder where all executors see it."""
+    return f"{shared.folder(spark)}/broadsheet-{name}-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, name: str, schema: str) -> DataFrame:

@@ -43,8 +43,6 @@ def test_queries_without_sql_by_hand(spark):
     import html
     import re
 
-    from broadsheet.functions import languages
-
     pages = {r.page_id: r for r in queries._pages(spark, SF).collect()}
     plain = lambda t: " ".join(html.unescape(re.sub("<[^>]*>", " ", t)).split())
     for r in queries.content_blocks(spark, SF).collect():
@@ -53,8 +51,6 @@ def test_queries_without_sql_by_hand(spark):
     for r in queries.raw_text(spark, SF).collect():
         body = re.sub(r"(?s)<(script|style|head|noscript)\b.*?</\1>", " ", pages[r.page_id].html)
         assert set(plain(re.sub(r"<header>[^<]*", "", body)).split()) <= set(r.text.split())
-    model = languages.train(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert {(r.page_id, r.language) for r in queries.language_text(spark, SF).collect()} == {(i, languages.classify(model, re.sub(r"(?s)<!--.*?-->|<[!?/]?[a-zA-Z][^>]*>", "", p.html))) for i, p in pages.items()}
     stats = {(r.text_extraction_method, r.extract_status): r.n for r in queries.method_stats(spark, SF).collect()}
     assert sum(stats.values()) == len(pages) and {m for m, _ in stats} == {"main_element"}
     assert queries.extract_flagship(spark, SF).filter("language is null or article_title is null").count() == 0
@@ -92,8 +88,6 @@ def test_what_is_given_is_not_built(spark, monkeypatch):
 
 
 def test_title_of_the_extractor_and_language_of_the_text(spark):
-    from broadsheet.functions import languages
-
     docs = spark.createDataFrame([("aaa bbb ccc " * 50, "xx"), ("ddd eee fff " * 50, "yy")], "text string, lang string")
     p = spark.createDataFrame([(1, "http://a.com/x", "<article><h1><b>From</b> the text</h1>" + "<p>ddd eee fff, ddd eee fff, ddd eee fff.</p>" * 9 + "</article>")], "page_id long, url string, html string")
     got = extract(p, dt.datetime(2024, 1, 1), language_model=languages.train(docs), other_metadata=True).first()

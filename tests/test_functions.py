@@ -234,6 +234,25 @@ def test_language_model(spark):
     assert languages.classify(model, "") is None and languages.classify(model, None) is None
 
 
+def test_language_by_tables_as_by_the_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 3"), (-4, "日本" * 2000), (-5, "Été, ÇA va? the the")], "doc_id long, text string")
+    texts = docs.select("doc_id", "text").unionByName(odd)
+    table = languages.model_table(docs)
+    model = languages.Model.of(map(tuple, table.select("lang", "gram", "log", "unknown").collect()))
+    want = {r.doc_id: languages.classify(model, r.text) for r in texts.collect()}
+    got = {r.doc_id: r.language for r in languages.guessed(texts, table, "doc_id").collect()}
+    assert got == want and [want[k] for k in (-1, -2, -3)] == [None] * 3
+    assert languages.guessed(texts.limit(0), table, "doc_id").count() == 0
+    assert {r.language for r in languages.guessed(odd, languages.model_table(docs.limit(0)), "doc_id").collect()} == {None}
+
+
+def test_model_counts_all_texts(spark):
+    df = spark.createDataFrame([("a", "ab")] * 3 + [("b", "b" * 50), ("b", None), ("c", "1 2"), (None, "x"), ("", "x")], "lang string, text string")
+    got = {(r.lang, r.gram): (round(2.718281828459045 ** r.log * (3000 + n)) if r.gram else None) for r in languages.model_table(df).collect() for n in [{"a": 6, "b": 50}.get(r.lang, 0)]}
+    assert got == {("a", " ab"): 4, ("a", "ab "): 4, ("b", " bb"): 2, ("b", "bbb"): 49, ("b", "bb "): 2, ("c", None): None}
+
+
 def test_language_model_of_all_languages_and_whole_texts(spark):
     df = spark.createDataFrame([(f"l{i:03}", "aaa bbb " * 600 if i != 230 else "aaa " * 1200 + "zyx " * 2000) for i in range(231)] + [(None, "x"), ("", "x")], "lang string, text string")
     model = languages.train(df)
