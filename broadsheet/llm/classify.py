@@ -19,24 +19,28 @@ from broadsheet.llm.common import cut, table
 class Task:
     """What a classifier learns and from how much.
 
-    rows: labelled rows of each kind at most. pieces: windows of zdict.WINDOW bytes that each kind's
-    dictionary is made from at most; these are all of the texts that the driver ever holds. dictionary:
-    bytes of each, and of a trained one's segments; 0 for text as it stands.
+    rows: labelled rows of each kind at most, the only bound on what is learnt from. teach: the fifths of
+    them, by a hash of the text, that make the kind's dictionary; the others calibrate. dictionary: bytes of
+    each, and of the segments that it is trained in.
     """
 
     label: str
     normal: str
     measure: str
     rows: tuple[int, int]
-    pieces: tuple[int, int]
+    teach: tuple[int, int]
     dictionary: tuple[tuple[int, int], tuple[int, int]]
     folds: int
     held: int
     prior: float
 
 
-TOXICITY = Task(label="toxic", normal="words", measure="distances", rows=(6000, 4000), pieces=(3 << 14, 1 << 17), dictionary=((3 << 20, 0), (1 << 16, 12)), folds=5, held=0, prior=0.1)
-QUALITY = Task(label="quality", normal="raw", measure="sizes", rows=(4000, 4000), pieces=(1 << 17, 1 << 17), dictionary=((1 << 15, 16), (1 << 15, 16)), folds=3, held=1, prior=0.9)
+TOXICITY = Task(label="toxic", normal="words", measure="distances", rows=(6000, 4000), teach=(1, 4), dictionary=((3 << 20, zdict.WINDOW), (1 << 16, 12)), folds=5, held=0, prior=0.1)
+QUALITY = Task(label="quality", normal="raw", measure="sizes", rows=(4000, 4000), teach=(4, 4), dictionary=((1 << 15, 16), (1 << 15, 16)), folds=3, held=1, prior=0.9)
+#: Windows that one trainer is given at most, on the driver too; more are trained in parts on the workers first.
+AT_ONCE = 1 << 18
+#: Bytes in front of a dictionary's text, at most, that are tables.
+_TABLES = 1024
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -44,12 +48,46 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def dictionary(pieces: DataFrame, size: int, segment: int) -> bytes:
+    """A dictionary trained on all windows of `pieces`.
+
+    As long as they are more than AT_ONCE, they are dealt out by hash to as many trainers as it takes, on
+    the workers, and what these pick, a half of it at most, goes on as windows. So the windows that come to
+    the driver are bounded, and yet every one of them has been given to a trainer.
+    """
+    picked = min(max(2 * size, 1 << 20), AT_ONCE * zdict.WINDOW // 2)
+
+    def train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def done() -> pa.RecordBatch:
+            text = zdict.trained(held, picked, segment)[_TABLES:]
+            cut_up = [text[i : i + zdict.WINDOW] for i in range(0, len(text), zdict.WINDOW)]
+            return pa.RecordBatch.from_arrays([pa.array(cut_up, pa.binary())], ["piece"])
+
+        for batch in batches:
+            for k, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != part and held:
+                    yield done()
+                    held = []
+                part = k
+                held.append(piece)
+        if held:
+            yield done()
+
+    while (n := pieces.count()) > AT_ONCE:
+        parts = -(-2 * n // AT_ONCE)
+        dealt = pieces.select(F.pmod(F.xxhash64("piece"), F.lit(parts)).alias("part"), "piece").repartition("part").sortWithinPartitions("part", "piece")
+        pieces = cut(dealt.mapInArrow(train_part, "piece binary"))
+    return zdict.trained([bytes(r["piece"]) for r in pieces.orderBy(F.xxhash64("piece"), "piece").collect()], size, segment)  # AT_ONCE windows
+
+
 def learn(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text") -> zdict.Model:
     """A model from a bounded sample: of each label the `rows` first by a hash of the id, outside the held-out fold.
 
-    Texts of the sample are whole and stay on the workers. Four fifths of them are cut into windows, of
-    which the `pieces` first of each label by a hash come to the driver to make the dictionaries; the
-    others are measured on the workers, and a few numbers of each come to calibrate. What is drawn does
+    Texts of the sample are whole and stay on the workers. Those that teach are cut into windows, all of
+    which make the dictionaries; see dictionary(). The others are measured on the workers, and a few
+    numbers of each come to calibrate. What is drawn does
     not depend on how the tables are laid out. Rows with null ids or labels teach nothing; of an id
     labelled twice the larger label counts, and of an id that several documents bear the least text.
     Without labels the model gives every text the prior.
@@ -70,20 +108,19 @@ def learn(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id"
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = normal(text or "")
-                if zdict.teaches(b) and (pieces := sorted(set(zdict.windows(b)))):
+                if zdict.teaches(b, task.teach[label]) and (pieces := sorted(set(zdict.windows(b)))):
                     yield pa.RecordBatch.from_arrays([pa.array([label] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["label_", "piece"])
 
     pieces = sample.mapInArrow(cut_up, "label_ int, piece binary").distinct()
-    first = [pieces.filter(F.col("label_") == k).orderBy(F.xxhash64("piece"), "piece").limit(n).select("piece") for k, n in enumerate(task.pieces)]
-    held = [[bytes(r["piece"]) for r in rows.collect()] for rows in first]  # pieces of WINDOW bytes
-    zero, one = (zdict.trained(p, size, segment) if segment else zdict.plain(p, size) for p, (size, segment) in zip(held, task.dictionary, strict=True))
+    pieces = cut(pieces)
+    zero, one = (dictionary(pieces.filter(F.col("label_") == k).select("piece"), *made) for k, made in enumerate(task.dictionary))
     model = zdict.Model(task.normal, task.measure, zero, one)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of the dictionaries' size
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(label, normal(text or "")) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [(label, zdict.digest(b), zdict.MEASURES[task.measure](sent.value, b)) for label, b in rows if not zdict.teaches(b)]
+            rows = [(label, zdict.digest(b), zdict.MEASURES[task.measure](sent.value, b)) for label, b in rows if not zdict.teaches(b, task.teach[label])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, (pa.int32(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["label_", "key", "x"])
 
     seen = {bytes(r["key"]): r for r in sample.mapInArrow(measure, "label_ int, key binary, x array<double>").orderBy("key", "label_").collect()}  # a few numbers of each row

@@ -1,8 +1,7 @@
 """Two kinds of text told apart by how well zstandard dictionaries of either kind compress them.
 
-Each dictionary is made from windows of its own kind alone: `trained` by zstandard's own trainer, which
-picks the segments that most samples have, or `plain`, which is text as it stands. Two measures are made
-from them:
+Each dictionary is made from windows of its own kind alone, by zstandard's own trainer, which picks the
+segments that most samples have. Two measures are made from them:
 
 * `distances` looks at each window by itself. The dictionary of kind 0 is ordinary text; that of kind 1
   is laid in front of it, so that what both explain costs the same bytes and only what ordinary text
@@ -56,22 +55,18 @@ def digest(normal: bytes) -> bytes:
     return hashlib.blake2b(normal, digest_size=8).digest()
 
 
-def teaches(normal: bytes) -> bool:
-    """Whether a labelled text goes into the dictionaries; a fifth is kept to calibrate. Copies stay together."""
-    return digest(normal)[0] % 5 != 0
-
-
-def plain(pieces: Sequence[bytes], size: int) -> bytes:
-    """The windows end to end, `size` bytes at most."""
-    return b"".join(pieces)[-size:]
+def teaches(normal: bytes, fifths: int) -> bool:
+    """Whether a labelled text is among the fifths that go into the dictionaries; the rest calibrates. Copies stay together."""
+    return digest(normal)[0] % 5 >= 5 - fifths
 
 
 def trained(pieces: Sequence[bytes], size: int, segment: int) -> bytes:
     """A dictionary by zstandard's trainer, of segments of so many bytes; the windows themselves if they are too few for it."""
+    whole = b"".join(pieces)
     try:
-        return zstandard.train_dictionary(size, list(pieces), k=segment, d=8).as_bytes()
+        return zstandard.train_dictionary(min(size, max(len(whole), 1)), list(pieces), k=segment, d=8).as_bytes()
     except zstandard.ZstdError:
-        return plain(pieces, size)
+        return whole[-size:]
 
 
 @dataclass(frozen=True)
