@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never article text.
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside form button select option datalist dialog menu object canvas svg math audio video map applet".split())
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside button select option datalist dialog menu object canvas svg audio video map applet annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -50,7 +50,7 @@ CLOSES = {
 #: Words of class and id that name what is never article text. Matched as whole words.
 NEVER = frozenset(
     "ad ads advert adverts advertisement advertisements advertising nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc"
-    " sidebar sidebars comment comments commentlist disqus replies respond cookie cookies consent gdpr footer colophon".split()
+    " sidebar sidebars comment comments commentlist disqus replies respond responses cookie cookies consent gdpr footer colophon".split()
 )
 #: Words that name what is around an article, mostly.
 AROUND = frozenset(
@@ -61,7 +61,7 @@ AROUND = frozenset(
 #: Beside a word of furniture these say no more than where or how much of it there is: "ad-box" is an ad, "popular-science" is not popular.
 FILLERS = frozenset(
     "area bar block blocks body box btn button buttons col column container content entry group holder icon icons inline inner item items label layer left link links list main module outer panel posts"
-    " primary region right row secondary section segment slot stories thread title top unit wrap wrapper zone".split()
+    " primary reader readers region right row secondary section segment slot stories thread title top unit user users visitor visitors wrap wrapper zone".split()
 )
 #: Names that articles' own parts have; such an element is scored, whatever other names it has.
 WITHIN = frozenset("article content main body story post entry headline".split())
@@ -70,6 +70,11 @@ WEAK = frozenset("header form social search skip bottom copyright legal notice n
 #: Beside these, a word says what an element does or doesn't stand next to.
 BESIDE = frozenset("with has no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: Headings of what readers wrote, those that say how many there are, and those that may also be an article's own.
+COUNTED = re.compile(r"(?:\d+ (?:reader |user )?(?:comments?|responses?|replies|reply)|(?:reader |user )?(?:comments?|responses|replies) ?[(\[:]? ?\d+ ?[)\]]?)(?: (?:to|on) .*)?", re.I)
+SAID = re.compile(r"(?:(?:reader|user)s?'? )?(?:comments|responses|replies)|(?:leave|post|add) a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
+#: What short texts beside an article say that are no part of it.
+NOTICE = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|all rights reserved|\bcookies?\b|\b(?:sign|log) (?:up|in)\b|\bsubscribe\b|\bnewsletter\b|\badvert", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -91,7 +96,18 @@ def parse(page: str) -> Node:
     """The tree of a page. Unclosed elements end as HTML lets them end; stray end tags do nothing."""
     root = here = Node("#root", "", None)
     at, end = 0, len(page)
-    depth: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
+    stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack open elements of a name are, so that no search walks up the tree
+
+    def close(place: int) -> Node:
+        """Ends all elements from a place of the stack on; the one around them."""
+        while len(stack) > place:
+            places[stack.pop().name].pop()
+        return stack[-1]
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     while at < end:
         m = MARKUP.search(page, at)
         if not m:
@@ -105,34 +121,17 @@ def parse(page: str) -> Node:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if depth.get(name):
-                while here.name != name:
-                    depth[here.name] -= 1
-                    here = here.parent
-                depth[name] -= 1
-                here = here.parent
+            if places.get(name):
+                here = close(places[name][-1])
             elif name == "br":
                 here.children.append(Node("br", "", here))
             continue
         if name in CLOSES:
             shut, wall = CLOSES[name]
-            while any(depth.get(x) for x in shut):
-                up = here
-                while up.parent and up.name not in shut and up.name not in wall:
-                    up = up.parent
-                if up.name not in shut:
-                    break
-                while here is not up:
-                    depth[here.name] -= 1
-                    here = here.parent
-                depth[here.name] -= 1
-                here = here.parent
-        elif name == "body" and depth.get("head"):
-            while here.name != "head":
-                depth[here.name] -= 1
-                here = here.parent
-            depth["head"] -= 1
-            here = here.parent
+            while (place := last(shut)) and place > last(wall):
+                here = close(place)
+        elif name == "body" and places.get("head"):
+            here = close(places["head"][-1])
         node = Node(name, attributes, here)
         here.children.append(node)
         if name in RAW:
@@ -142,7 +141,8 @@ def parse(page: str) -> Node:
             at = at or end
         elif name not in VOID:
             here = node
-            depth[name] = depth.get(name, 0) + 1
+            places.setdefault(name, []).append(len(stack))
+            stack.append(node)
     return root
 
 
@@ -154,15 +154,34 @@ def marks(node: Node) -> dict[str, str]:
     return out
 
 
-def is_never(node: Node) -> bool:
-    """Whether an element is furniture by its tag, by being hidden or by its role."""
+def wrapping(root: Node) -> set[int]:
+    """The forms that stand around an article, as some servers put one around every page: by id().
+
+    They hold a main element or an article, or most of what the page has in long paragraphs.
+    """
+    order = list(nodes(root))
+    if not any(n.name == "form" for n in order):
+        return set()
+    prose, holds = {}, {}
+    for n in reversed(order):
+        inner = [c for c in n.children if not isinstance(c, str)]
+        text = own_text(n).strip() if n.name in BLOCKS and n.name not in DROPPED else ""
+        prose[id(n)] = 0 if n.name in DROPPED else sum(prose[id(c)] for c in inner) + (len(text) if len(text) >= 80 else 0)
+        holds[id(n)] = n.name not in DROPPED and any(c.name in ("article", "main") or holds[id(c)] for c in inner)
+    whole = prose[id(root)]
+    return {id(n) for n in order if n.name == "form" and (holds[id(n)] or prose[id(n)] >= max(LEAST, whole / 2))}
+
+
+def is_never(node: Node, within: bool, wraps: set[int]) -> bool:
+    """Whether an element is furniture by its tag, by being hidden or by its role; `within` an article its header is a headline's."""
     if node.name in DROPPED:
         return True
-    if node.name == "header":  # one inside an article is its headline's
-        up = node.parent
-        while up and up.name not in ("article", "main"):
-            up = up.parent
-        return up is None
+    if node.name == "header":
+        return not within
+    if node.name == "form":
+        return id(node) not in wraps
+    if node.name == "label" and ("for" in marks(node) or any(c.name in ("input", "select", "textarea") for c in node.children if not isinstance(c, str))):
+        return True
     if not node.attributes or node.name in ("html", "body", "main", "a"):
         return False
     has = marks(node)
@@ -200,20 +219,26 @@ def named(node: Node) -> tuple[float, bool, bool]:
 
 def prune(root: Node) -> None:
     """Takes away furniture, weighs what may be some, and measures the text and link text of what stays."""
-    order, stack = [], [root]
+    order, stack, wraps = [], [(root, False)], wrapping(root)
     while stack:
-        node = stack.pop()
+        node, within = stack.pop()
         order.append(node)
+        within = within or node.name in ("article", "main")
         kept: list[Node | str] = []
-        for c in node.children:
+        below = ""  # the heading of readers' comments that this is below
+        for c, then in zip(node.children, said_next(node.children), strict=True):
             if not isinstance(c, str):
-                if is_never(c):
+                if c.name in HEADINGS and not (below and c.name > below):
+                    below = c.name if heads_comments(c, then) else ""
+                if below or is_never(c, within, wraps):
                     continue
                 weight, c.goes, dropped = named(c)
                 if dropped:
                     continue
                 c.weight = node.weight * weight
-                stack.append(c)
+                stack.append((c, within))
+            elif below:
+                continue
             kept.append(c)
         node.children = kept
     for node in reversed(order):
@@ -227,6 +252,24 @@ def prune(root: Node) -> None:
         node.sizes = (text, text if node.name == "a" else linked)
 
 
+def said_next(children: list[Node | str]) -> list[Node | None]:
+    """For each child the next element after it."""
+    out: list[Node | None] = []
+    after = None
+    for c in reversed(children):
+        out.append(after)
+        after = after if isinstance(c, str) else c
+    return out[::-1]
+
+
+def heads_comments(heading: Node, then: Node | None) -> bool:
+    """Whether a heading is that of readers' comments: it counts them, or a list, a form or furniture follows it."""
+    text = BLANK.sub(" ", own_text(heading)).strip()
+    if COUNTED.fullmatch(text):
+        return True
+    return bool(SAID.fullmatch(text)) and then is not None and (then.name in ("ul", "ol", "form", "dl") or named(then)[1])
+
+
 def density(node: Node) -> float:
     """The share of an element's text that stands in links."""
     return node.sizes[1] / node.sizes[0] if node.sizes[0] else 0.0
@@ -259,6 +302,9 @@ TAGS = {"article": 2.0, "main": 1.5, "html": 0.5, "#root": 0.4, "body": 0.8}
 LIKE, LINKED = 0.2, 0.3
 #: What is named as furniture alone is an article only with so much text.
 LEAST = 200
+#: Elements that list or show something, and the end of a sentence.
+LISTS = frozenset("ul ol dl table figure pre blockquote".split())
+SENTENCE = re.compile(r"[.!?。！？][\"'”’)]*\s*\Z")
 
 
 def _alike(nodes_: list[Node], best_: Node) -> list[Node]:
@@ -287,7 +333,6 @@ def best(root: Node) -> list[Node]:
             inner, up = up, up.parent
     if not scored:
         return [root] if root.sizes[0] else []
-    articles = [n for n in nodes(root) if n.name in ("article", "main") and n.sizes[0]]
     for node in scored:
         node.points *= (1 - density(node)) * TAGS.get(node.name, 1.0) * node.weight
     top = max(scored, key=lambda n: n.points)
@@ -301,10 +346,13 @@ def best(root: Node) -> list[Node]:
         if inside.name == "main" or not inside.parent:
             return [inside]
         return _alike([c for c in inside.parent.children if not isinstance(c, str) and c.name == "article"], inside)
-    held = [a for a in articles if _holds(top, a)]
-    outer = [a for a in held if not any(o is not a and _holds(o, a) for o in held)]
-    if held and sum(a.sizes[0] for a in outer) >= 0.3 * top.sizes[0]:
+    outer = _outermost(top)
+    if outer and sum(a.sizes[0] for a in outer) >= 0.3 * top.sizes[0]:
         return _alike(outer, max(outer, key=lambda a: a.points or a.sizes[0] / 100))
+    # what holds nothing else is no more than a wrapper of it
+    while (up := top.parent) and up.name in ("div", "section", "form", "td") and up.sizes[0] == top.sizes[0] and up.weight == top.weight:
+        up.points = max(up.points, top.points)
+        top = up
     if not top.parent:
         return [top]
     kept = []
@@ -313,18 +361,32 @@ def best(root: Node) -> list[Node]:
             continue
         text, linked = c.sizes[0], density(c)
         as_good = c.points >= LIKE * top.points and linked < LINKED and text >= 80
-        sentence = c.name in ("p", "blockquote", "pre") and (text > 80 and linked < 0.25 or text and not linked and own_text(c).rstrip().endswith((".", "!", "?", "。")))
-        if c is top or as_good or c.name in HEADINGS and linked < 0.5 or sentence:
+        sentence = c.name in ("p", "blockquote", "pre") and (text > 80 and linked < 0.25 or text and not linked and SENTENCE.search(own_text(c)))
+        if c is top or as_good or c.name in HEADINGS and linked < 0.5 or sentence or c.weight >= top.weight and is_part(c):
             kept.append(c)
     return kept
 
 
-def _holds(outer: Node, inner: Node | None) -> bool:
-    while inner:
-        if inner is outer:
-            return True
-        inner = inner.parent
-    return False
+def is_part(node: Node) -> bool:
+    """Whether a block beside an article that no name speaks against is a part of it: a list, table or figure without many links, or one with a sentence."""
+    if not node.sizes[0] or node.name not in BLOCKS or density(node) >= LINKED:
+        return False
+    texts = [own_text(n) for n in nodes(node) if n.name in BLOCKS and not n.goes]
+    if node.sizes[0] < LEAST and any(NOTICE.search(t) for t in texts):
+        return False
+    return node.name in LISTS or any(n.name in LISTS for n in nodes(node)) or any(SENTENCE.search(t) for t in texts)
+
+
+def _outermost(top: Node) -> list[Node]:
+    """The articles and main elements below that no other holds."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node is not top and node.name in ("article", "main") and node.sizes[0]:
+            out.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return out
 
 
 def is_link_list(node: Node) -> bool:

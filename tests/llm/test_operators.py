@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -332,6 +333,69 @@ def test_html_parts_named_as_furniture_go():
     assert html_extract.main_text('<body><div class="newsletter">Sign up now</div></body>') == ""
 
 
+@pytest.mark.parametrize("opening,closing", [("<form action=/p.aspx>", "</form>"), ("<main><form>", "</form></main>"), ("<form><div>", "</div></form>"), ("<form><article>", "</article></form>")])
+def test_html_of_pages_inside_a_form(opening, closing):
+    controls = "<input type=hidden value=1><div class=newsletter><label for=e>Your address</label><input id=e><button>Go</button></div>"
+    page = f"<body>{opening}<h1>Headline</h1>{marked_up(PARAGRAPHS)}{controls}{closing}<form><p>Search this site, please.</p><input></form></body>"
+    assert html_extract.main_text(page) == "\n".join(["Headline", *PARAGRAPHS])
+
+
+LAST = "A last part of a hundred and forty letters, which is much shorter than what stands before it on the page, and is a part of it even so, all of it."
+
+
+@pytest.mark.parametrize(
+    "after,lines",
+    [
+        ("<ul><li>Flour</li><li>Two eggs</li></ul>", ["Flour", "Two eggs"]),
+        ("<section><p>One sentence.</p></section>", ["One sentence."]),
+        ("<section><h2>More</h2><p>One sentence.</p><p>And another!</p></section>", ["More", "One sentence.", "And another!"]),
+        (f"<div>{LAST}</div>", [LAST]),
+        ("<table><tr><td>Year</td><td>1999</td></tr></table>", ["Year", "1999"]),
+        ('<ul class="menu"><li>Flour</li></ul>', []),
+        ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>", []),
+        ("<div>© 1999 A company. All rights reserved.</div>", []),
+        ("<h3>Comments (2)</h3><ul><li>I do not think so.</li><li>I do.</li></ul>", []),
+        ('<h3>Comments</h3><ul class="user-responses"><li>I do not think so.</li></ul>', []),
+        ("<h3>2 replies to this page</h3><div><p>I do not think so, and I have long thought about it, with care.</p></div>", []),
+        ("<h2>Comments</h2><p>The language has comments of two kinds.</p>", ["Comments", "The language has comments of two kinds."]),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["", "<div><div>"])
+def test_html_beside_a_classless_article(after, lines, wrap):
+    page = f"<body><div>{wrap}{marked_up(PARAGRAPHS)}{wrap.replace('<', '</')}</div>{after}</body>"
+    assert html_extract.main_text(page) == "\n".join([*PARAGRAPHS, *lines])
+    page = f"<body><article>{marked_up(PARAGRAPHS)}{after}</article></body>"
+    if lines:
+        assert html_extract.main_text(page) == "\n".join([*PARAGRAPHS, *lines])
+
+
+def test_html_formulas_stay():
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
+    assert html_extract.main_text(f"<article>{marked_up(PARAGRAPHS)}<p>So {formula}.</p></article>") == "\n".join([*PARAGRAPHS, "So x=1."])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<article><p>Some text, and more.</p></article>" * n,
+        lambda n: "<dl><dd>" + "<b>" * n + "<table>" + "<i>" * n + "<dt>x" * n,
+        lambda n: "<dd><dl>" + "<div>" * n + "<dt>x</dt>" * n,
+        lambda n: "<div>" * n + "<header>x</header>" * n,
+        lambda n: "<form>" * n + "text, and more." + "</form>" * n,
+        lambda n: "<p>" + "<b>" * n + "<div>x</div>" * n,
+        lambda n: "<h2>Comments</h2>" * n,
+    ],
+)
+def test_html_takes_linear_time(page):
+    def seconds(n):
+        started = time.process_time()
+        html_extract.main_text(page(n))
+        return time.process_time() - started
+
+    seconds(200)
+    assert min(seconds(16000) for _ in range(2)) < 24 * min(seconds(2000) for _ in range(3)) + 0.2
+
+
 def test_html_of_the_tables(spark):
     """Pages of the tables mark their article, so that its blocks can be read off."""
     import html
