@@ -11,9 +11,11 @@ budgets read the stored counts and encode nothing again.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import math
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -29,8 +31,9 @@ from broadsheet.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 #: A document with more tokens is over the limit.
 LIMIT = 2048
-#: Entries of a generation of a worker's caches of pieces, of their beginnings and of pairs of tokens.
-REMEMBERED = 300_000
+#: Bytes of a generation of each of a worker's six caches, and the longest key that they keep.
+REMEMBERED = 32 << 20
+KEPT = 64
 #: Letters of a word whose table is kept for other words that begin alike.
 HEAD = 6
 #: Characters whose classes are the same in every version of Unicode: up to U+024F. Runs without blanks
@@ -39,6 +42,8 @@ UNSURE = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
 #: No piece and no normal form reaches over these blanks.
 RUN = re.compile("[^ \t-\r]+")
+#: Two blanks, which the normal form makes one.
+BLANK = re.compile("[^\\S\x1c-\x1f]{2}")
 END = "</w>"
 
 
@@ -49,20 +54,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """A cache that asks `compute` for what it lacks. Of two generations the older goes when the younger is full."""
+    """A cache that asks `compute` for what it lacks. Of two generations the older goes when the younger holds REMEMBERED bytes.
 
-    def __init__(self, compute) -> None:
+    `each` is what an entry takes beside its key, in bytes. Texts of more than KEPT letters are not kept.
+    """
+
+    def __init__(self, compute, each: int) -> None:
         super().__init__()
-        self.compute = compute
+        self.compute, self.each = compute, each
+        self.held = 0
         self.older: dict = {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= REMEMBERED:
+        if type(key) is str and len(key) > KEPT:
+            return value
+        self.held += sys.getsizeof(key) + self.each
+        if self.held > REMEMBERED:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
         return value
 
@@ -81,12 +94,13 @@ class PrefixCounter:
         self.reach_ended = self._reach(token.removesuffix(END) for token in self.vocab if token.endswith(END))
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in told["added_tokens"]) + ")")
         self.letters = byte_letters()
-        self.edges = Remembered(self._edges)
-        self.fits = Remembered(self._fits)
-        self.head = Remembered(lambda word: self._stems(word, [""], [0]))
-        self.count_piece = Remembered(lambda piece: self._count_word(self.spelt(piece)))
-        self.count_word = Remembered(self._count_word)
-        self.count_run = Remembered(self._count_run)
+        self.furthest = max(*self.reach.values(), *self.reach_ended.values(), 2)
+        self.edges = Remembered(self._edges, 2000)
+        self.fits = Remembered(self._fits, 200)
+        self.head = Remembered(lambda word: self._stems(word, [""], [0]), 1000)
+        self.count_piece = Remembered(lambda piece: self._count_word(self.spelt(piece)), 100)
+        self.count_word = Remembered(self._count_word, 100)
+        self.count_run = Remembered(self._count_run, 100)
 
     @staticmethod
     def _reach(tokens: Iterable[str]) -> dict[str, int]:
@@ -146,14 +160,21 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def stems(self, word: str) -> tuple[list[str], list[int]]:
-        """For every prefix of a word written in byte letters, without a word end: last token and count."""
+    def stems(self, word: str, room: float = math.inf) -> tuple[list[str], list[int]]:
+        """For every prefix of a word written in byte letters, without a word end: last token and count.
+
+        Both end early where no longer prefix can have `room` tokens or fewer: a count is one more than one
+        that stands no further back than the longest token.
+        """
         last, count = self.head[word[:HEAD]]
-        return (last, count) if len(word) <= HEAD else self._stems(word, last.copy(), count.copy())
+        return (last, count) if len(word) <= HEAD else self._stems(word, last.copy(), count.copy(), room)
 
-    def _stems(self, word: str, last: list[str], count: list[int]) -> tuple[list[str], list[int]]:
-        vocab, fits, reach = self.vocab, self.fits, self.reach
+    def _stems(self, word: str, last: list[str], count: list[int], room: float = math.inf) -> tuple[list[str], list[int]]:
+        vocab, fits, reach, beyond = self.vocab, self.fits, self.reach, 0
         for end in range(len(last), len(word) + 1):
+            beyond = beyond + 1 if count[-1] >= room else 0
+            if beyond > self.furthest:
+                break
             for start in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
                 token = word[start:end]
                 if token in vocab and fits[last[start], token]:
@@ -179,15 +200,17 @@ class PrefixCounter:
         last, count = self.stems(word[:-1])
         return self.ended(word, len(word), last, count)
 
-    def prefixes_of_piece(self, piece: str) -> list[int]:
-        """The count of each prefix of a piece, by code points from none to all."""
+    def prefixes_of_piece(self, piece: str, room: float = math.inf) -> list[int]:
+        """The count of each prefix of a piece, by code points from none to all, or to where no more can have `room` tokens or fewer."""
+        if piece[0] == "'" and len(piece) <= 3:  # a contraction that is cut off falls into other pieces
+            return [sum(map(self.count_piece.__getitem__, PIECE.findall(piece[:k]))) for k in range(len(piece) + 1)]
         word, counts, at = self.spelt(piece), [0], 0
-        last, count = self.stems(word)
-        for k, letter in enumerate(piece, 1):
+        last, count = self.stems(word, room)
+        for letter in piece:
             at += len(letter.encode())
-            cut = PIECE.findall(piece[:k])
-            # a contraction that is cut off falls into other pieces
-            counts.append(self.ended(word, at, last, count) if cut == [piece[:k]] else sum(map(self.count_piece.__getitem__, cut)))
+            if at > len(last):
+                break
+            counts.append(self.ended(word, at, last, count))
         return counts
 
     def normal(self, text: str) -> str:
@@ -253,7 +276,7 @@ class PrefixCounter:
                 counts.extend(before + c for c in self.prefixes_of_piece(text[start:end].lower())[1:])
             elif (low, high) != run:
                 counts.extend([before] * (low + 1 - len(counts)))
-                counts.extend(before + self._count_run(text[low:k]) for k in range(low + 1, high + 1))
+                counts.extend(before + c for c in self.prefixes_of_run(text[low:high])[1:])
             before, run = total, (low, high)
         counts.extend([before] * (len(text) + 1 - len(counts)))
         return counts
@@ -274,30 +297,96 @@ class PrefixCounter:
                     counts = dict.fromkeys([start], before) | {last[0]: last[2]}
                     return next((k for k in range(end - 1, start, -1) if self._into_special(text, start, k, last[:2], counts) <= budget), start)
                 if sure(text[low:high]):
-                    counts = self.prefixes_of_piece(text[start:end].lower())
+                    counts = self.prefixes_of_piece(text[start:end].lower(), budget - before)
                     return start + max((k for k, c in enumerate(counts) if before + c <= budget), default=0)
-                return low + self._longest_of_run(text[low:high], start - low, end - low, before - base, budget - base)
+                counts = self.prefixes_of_run(text[low:high], budget - base)
+                return low + max(k for k, c in enumerate(counts) if c <= budget - base)
             before = total
         return len(text)
 
-    def _longest_of_run(self, run: str, start: int, end: int, before: int, room: int) -> int:
-        """The longest prefix of a run that has at most `room` tokens; the piece from start to end is the first beyond it."""
-        normal, letters = self.normal(run), [self.normal(c) for c in run]
-        if len(normal) == len(run) and "".join(letters) == normal:
-            piece = normal[start:end]
-            if sure(piece):
-                counts = self.prefixes_of_piece(piece)
-            else:
-                word, at, counts = self.spelt(piece), 0, [0]
-                last, count = self.stems(word)
-                for letter in piece:
-                    at += len(letter.encode())
-                    counts.append(self.ended(word, at, last, count))
-            return start + max((k for k, c in enumerate(counts) if before + c <= room), default=0)
-        # letters that the normal form joins, reorders or makes more of: every prefix by itself
-        while end < len(run) and self.normal(run[:end]) + self.normal(run[end:]) != normal:
-            end += 1
-        return next(k for k in range(end, -1, -1) if self._count_run(run[:k]) <= room)
+    def _clusters(self, run: str) -> list[tuple[str, str]] | None:
+        """A run cut where nothing that follows changes the normal form of what stands before: each part with its normal form.
+
+        None where the library's normal form of the whole is another than that of the parts.
+        """
+        starts = [0]
+        for i in range(1, len(run)):
+            c = run[i]
+            if not (BLANK.match(run[i - 1 : i + 1]) or unicodedata.combining(c) or c in joining()):
+                starts.append(i)
+        parts = [run[a:b] for a, b in zip(starts, [*starts[1:], len(run)], strict=True)]
+        forms = {part: self.normal(part) for part in set(parts)}
+        return [(part, forms[part]) for part in parts] if "".join(map(forms.__getitem__, parts)) == self.normal(run) else None
+
+    def _cut(self, normal: str) -> list[tuple[str, int, int]]:
+        """The library's pieces of a text in normal form: each in byte letters, with its start and end in code points."""
+        made = PreTokenizedString(normal)
+        self.library.pre_tokenizer.pre_tokenize(made)
+        return [(word, *at) for word, at, _ in made.get_splits("original", "char") if word]
+
+    def prefixes_of_run(self, run: str, room: float = math.inf) -> list[int]:
+        """The tokens of every prefix of a run, by code points from none to all, or to where no more can have `room` or fewer.
+
+        What a prefix adds to the whole parts before it is cut together with the last letters of those: three,
+        back to where a piece begins, of which a longer piece gives two. Only the end of its last piece is new, and
+        the counts that are stored at the letters before it are read and not made again. So time goes with the
+        length of the run, but for the square of the length of a letter with all its marks.
+        """
+        clusters = self._clusters(run)
+        if clusters is None:
+            return [self._count_run(run[:k]) for k in range(len(run) + 1)]
+        normal = "".join(form for _, form in clusters)
+        bytes_to = [0, *itertools.accumulate(len(c.encode()) for c in normal)]
+        pieces, total = [], 0
+        for word, begin, end in self._cut(normal):
+            pieces.append((word, begin, end, total))
+            total += self.count_word[word]
+        counts, known, stored, at, i = [0], {}, (-1, [], []), 0, 0
+        for part, form in clusters:
+            while i < len(pieces) and pieces[i][1] < at:
+                i += 1
+            first = i
+            while first and (first == i or at - pieces[first][1] < 3):
+                first -= 1
+            word, begin, end, before = pieces[first] if i else ("", at, at, 0)
+            if before > room:
+                break
+            end = min(end, at)
+            long, letters = end - begin > 3, bytes_to[end] - bytes_to[begin]
+            if long:
+                if stored[0] != first:
+                    stored = (first, *self.stems(word, room - before))
+                if letters >= len(stored[1]):
+                    break
+                begin = end - 2
+            for k in range(1, len(part) + 1):
+                added = form if k == len(part) or form == " " else self.normal(part[:k])
+                cut = known.get((normal[begin:at], added))
+                if cut is None:
+                    cut = known[normal[begin:at], added] = [w for w, _, _ in self._cut(normal[begin:at] + added)]
+                if long:
+                    more = cut[0][bytes_to[end] - bytes_to[begin] :]
+                    counts.append(before + self._goes_on(word, letters, more, *stored[1:]) + sum(map(self.count_word.__getitem__, cut[1:])))
+                else:
+                    counts.append(before + sum(map(self.count_word.__getitem__, cut)))
+            at += len(form)
+        return counts
+
+    def _goes_on(self, word: str, letters: int, more: str, last: list[str], count: list[int]) -> int:
+        """The count of the first `letters` of a word with others after them, as a whole word, from the counts stored at those letters."""
+        if not more:
+            return self.ended(word, letters, last, count)
+        low = max(0, letters - self.furthest)
+        whole = word[low:letters] + more
+        return self.ended(whole, len(whole), *self._stems(whole[:-1], last[low : letters + 1], count[low : letters + 1]))
+
+
+@functools.cache
+def joining() -> frozenset[str]:
+    """The letters that a letter before them may take in when it is brought into its normal form, beside marks."""
+    vowels_and_ends = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+    taken = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset(map(chr, vowels_and_ends)) | {chr(int(parts[1], 16)) for parts in taken if len(parts) == 2 and parts[0][0] != "<"}
 
 
 def sure(text: str) -> bool:

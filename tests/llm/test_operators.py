@@ -108,6 +108,52 @@ def test_longest_prefix_of_any_text():
     assert of.longest_prefix(s, 100) == max(k for k in range(1600) if n(s[:k]) <= 100) < 1599
 
 
+def test_prefixes_that_end_inside_letters_and_their_marks():
+    of = token_count.counter(public_tokenizers.path(token_count.TOKENIZER))
+    n = lambda s: len(of.library.encode(s, add_special_tokens=False).ids)
+    r = random.Random(11)
+    words = ["\u304b\u3099", "\u30ab\u3099\u30bf", "e\u0301", "s\u0302", "r\u0302e\u0302", "=\u0338", "'", "'r", "''", "!", "x\u0301", "H\u0331", "İ", "\u1112\u1161\u11ab", "\u1112\u1161", "\u3000", "\u2003", "\x1c", "abcdef", "Ω", "\u212b", "\u0301", "\u0344", "a\u0315\u0302", "9\u0301", "日", "\u0915\u093c"]
+    for _ in range(1500):
+        s = "".join(r.choice(words) for _ in range(r.randint(1, 14)))
+        counts = [n(s[:k]) for k in range(len(s) + 1)]
+        assert of.prefixes(s) == counts, ascii(s)
+        for budget in (0, 1, 2, 4, 7, 12):
+            assert of.longest_prefix(s, budget) == max(k for k, c in enumerate(counts) if c <= budget), (ascii(s), budget)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=100_000)),
+        "a" * 100_000,
+        "!" * 100_000,
+        "".join(random.Random(4).choices(["\u304b\u3099", "\u304d\u3099", "\u306f\u309a", "\u306e"], k=60_000)),
+        "".join(random.Random(5).choices(["e\u0301", "a\u0302", "x\u0301", "b"], k=60_000)),
+        "e\u0301" * 50_000,
+        "\u3000" * 100_000,
+        "日本語" * 33_000,
+    ],
+)
+def test_long_words_and_runs(text):
+    of = token_count.counter(public_tokenizers.path(token_count.TOKENIZER))
+    n = lambda s: len(of.library.encode(s, add_special_tokens=False).ids)
+    started = time.process_time()
+    k = of.longest_prefix(text, 2048)
+    assert time.process_time() - started < 4
+    assert k == len(text) or n(text[:k]) <= 2048 < min(n(text[:j]) for j in range(k + 1, min(k + 30, len(text) + 1)))
+    assert of.count(text) == n(text)
+    short = text[:3000]
+    assert of.prefixes(short)[::101] == [n(short[:j]) for j in range(0, 3001, 101)]
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_count, "REMEMBERED", 10_000)
+    cache = token_count.Remembered(len, 100)
+    for i in range(1000):
+        assert cache[f"word {i}"] == len(f"word {i}") and len(cache) <= 70 and len(cache.older) <= 70
+    assert cache["x" * 65] == 65 and "x" * 65 not in cache
+
+
 # ---- URL filter ----
 
 
