@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.llm import classify, decontaminate, dedup_exact, mixing, ngram_join
-from broadsheet.llm.common import shared_folder, table
+from broadsheet.llm.common import cut, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,11 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents. Each is written to the shared folder and read by the next, and removed after that."""
+    """All stages over the documents. Each is written to the shared folder and read by the next, and removed after that.
+
+    The visits of the last one, which have no texts, are written to the checkpoint folder, so that nothing reads
+    what the stage before wrote any more.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
@@ -87,4 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             _remove(spark, before)
         before = here
-    return STAGES[-1][1](spark, docs, sf_dir)
+    mixture = cut(STAGES[-1][1](spark, docs, sf_dir))
+    _remove(spark, folder)
+    return mixture
