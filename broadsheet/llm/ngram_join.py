@@ -411,9 +411,9 @@ def dealt(sets: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids and texts, and a key to find a row again: its id, or a digest of its text where it has none."""
+    """Ids and texts, and a key to find a row again: its id, if it has one, and a hash of its text, as an id may stand before many texts."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text_"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.md5(F.coalesce(text, F.lit(""))))).alias("key_"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text_"), F.concat_ws("|", F.col(id_col).cast("string"), F.hex(F.xxhash64(text))).alias("key_"))
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, key: int) -> DataFrame:
@@ -439,7 +439,10 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, key: int) -> DataFrame:
     wanted = cut(in_blocks(clusters, nodes))
     few = wanted.count() <= SENT_IDS
     named = wanted.withColumnRenamed("first_key", "key_")
-    texts = rows.select("key_", "text_").join(F.broadcast(named) if few else named, "key_").select("cluster", "band", "block", "before", "own", "after", "node", "copies", "digest", "text_")
+    texts = rows.select("key_", "text_")
+    # rows that repeat each other share a key, which may be hot
+    texts = texts.join(F.broadcast(named), "key_") if few else lookup(texts, named, "key_", "copies", [c for c in named.columns if c != "key_"]).filter("node is not null")
+    texts = texts.select("cluster", "band", "block", "before", "own", "after", "node", "copies", "digest", "text_")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # rows may repeat each other

@@ -151,6 +151,21 @@ def test_ids_sent_or_joined(spark, monkeypatch):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("sent", [400_000, -1])
+def test_one_id_before_a_third_of_all_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT_IDS", sent)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join(w if r.random() > 0.01 else f"x{r.randint(0, 9)}" for w in base) for _ in range(60)]
+    docs = [(7, t) for t in near] + [(7, near[0])] * 30 + corpus(3, 90)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted(((g.doc_id, g.n_shingles, g.component_id) for g in jaccard_join(df).collect()), key=repr)
+    assert got == brute(docs)
+    # a text is found again by id and text, so that no row of an id meets another's
+    keys = ngram_join._rows(df, "doc_id", "text").select("key_").distinct().count()
+    assert keys == len({(d, t) for d, t in docs})
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
