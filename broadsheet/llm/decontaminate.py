@@ -274,8 +274,8 @@ def _met(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_t
     known = theirs.mapInArrow(lambda b: kept(b, True), schema).groupBy(F.xxhash64("value", "span").alias("mark")).agg(F.count(F.lit(1)).alias("items_"))
     of_text = lookup(cut(ours), cut(known), "mark", "items_", ["items_"]).filter("items_ is not null").groupBy("key").agg(F.collect_set(F.struct("span", "value")).alias("values"), F.lit(True).alias("met"))
     of_text = cut(of_text)
-    # copies of a text leave their task once, and then meet in pairs of one and the same text
-    moved = passing(texts, of_text).join(of_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text_").alias("text_"))
+    # copies of a text leave their task once, as they are grouped before they meet anything
+    moved = passing(texts, of_text).groupBy("key").agg(F.first("text_").alias("text_"))
     mine = moved.join(of_text, "key").select("key", "text_", "values").mapInArrow(near, "key string, low long, high long, window binary")
     of_items = cut(theirs.mapInArrow(windows, "item string, window binary").distinct())
     had = of_items.groupBy("window").agg(F.count(F.lit(1)).alias("items_"))

@@ -72,6 +72,16 @@ def test_clean(spark, bound):
     assert clean(d, b.limit(0), broadcast_bytes=bound).count() == len(docs)
 
 
+@pytest.mark.parametrize("bound", [1 << 30, -1])
+def test_a_third_of_all_rows_are_copies_of_a_text_that_is_hit(spark, bound):
+    docs, items = random_tables(1)
+    hot = next(t for _, t in items if t and len(t.split()) > 9) + " and more"
+    docs = docs + [(50_000 + i, hot) for i in range(len(docs) // 2)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate(d, b, broadcast_bytes=bound).collect()), key=repr)
+    assert got == brute(docs, items) and sum(g[0] is not None and g[0] >= 50_000 and g[-1] for g in got) == len(docs) // 3
+
+
 def test_repeated_words_take_no_longer():
     import time
 
