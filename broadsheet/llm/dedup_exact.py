@@ -96,16 +96,15 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of `docs` that dedup_exact() keeps, with all their columns.
 
-    Rows that repeat each other in id and text as well are told apart by their whole contents only
-    where that is possible; of rows alike in id and text one stays.
+    Of rows alike in id, length and text but for blanks any one stays. Such rows are brought down to one in
+    every task before anything is shuffled, so that it makes no difference how many of them there are.
     """
-    digest, rank = own_name(docs, "text_sha256"), own_name(docs, "copy_rank")
+    place, row = own_name(docs, "place_"), own_name(docs, "row_")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = dedup_exact(docs, id_col, text_col, fan_in).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_points").alias("_kept_points"))
-    same = docs.withColumn(digest, F.sha2(F.translate(text, BLANKS, ""), 256))
-    met = same.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(digest) == F.col("_kept_sha")) & (F.length(text) == F.col("_kept_points")), "left_semi")
-    once = Window.partitionBy(id_col, digest).orderBy(F.lit(1))
-    return met.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1).drop(digest, rank)
+    of = lambda digest, points, id_: F.sha2(F.concat_ws("|", digest, points, F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit(""))), 256)
+    kept = dedup_exact(docs, id_col, text_col, fan_in).filter("kept").select(of(F.col("text_sha256"), F.col("n_points"), F.col(id_col)).alias(place))
+    one = docs.groupBy(of(F.sha2(F.translate(text, BLANKS, ""), 256), F.length(text), F.col(id_col)).alias(place)).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return one.join(kept, place, "left_semi").select(f"{row}.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

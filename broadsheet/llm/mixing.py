@@ -23,8 +23,9 @@ REPEATS = 4.0
 SECTIONS = 64
 #: Steps; SECTIONS to this power is the fineness.
 STEPS = 3
-#: Tokens of a block, about. A source has as many blocks as it takes.
+#: Tokens and documents of a block, at most, about. A source has as many blocks as it takes.
 BLOCK_TOKENS = 100_000
+BLOCK_DOCS = 20_000
 #: Digits of a block's turn by which blocks stand on shelves, so that their places are added up in two steps.
 SHELF = 3
 #: Rows that repeat each other are one row with a number until the end, and are written out by so many.
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
         .groupBy("id_", "source_", "n_tokens", "row_key")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    sources = cut(rows.groupBy("source_").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")))
+    sources = cut(rows.groupBy("source_").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs")))
     a = exponent(sources, target, budget)
     logs = F.log(F.greatest("tokens", F.lit(1)).cast("double"))
     top = sources.agg(F.max(logs).alias("top")).first()["top"] or 0.0
@@ -127,9 +128,10 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
         F.round(share / F.lit(whole), 6).alias("weight"),
         # a pass that is due is not missed by the rounding of logarithms
         (to_spend if budget is not None else F.greatest(to_spend, "tokens")).alias("to_spend"),
-        F.ceil(F.greatest("tokens", F.lit(1)) / BLOCK_TOKENS).cast("long").alias("blocks"),
+        "docs",
+        F.ceil(F.greatest(F.lit(1) / BLOCK_TOKENS, F.col("tokens") / BLOCK_TOKENS, F.col("docs") / BLOCK_DOCS)).cast("long").alias("blocks"),
     ).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.col("to_spend") / F.greatest("tokens", F.lit(1)))).cast("int"))
-    told = lookup(rows, planned, "source_", "tokens", ["tokens", "weight", "to_spend", "passes", "blocks"])
+    told = lookup(rows, planned, "source_", "docs", ["tokens", "weight", "to_spend", "passes", "blocks"])
     # a copy beyond the first has a key of its own, so that copies fall into different blocks
     nth = spread(told, "copies", "nth").withColumn("key", F.when(F.col("nth") == 0, F.col("row_key")).otherwise(F.md5(F.concat_ws("|", "row_key", "nth"))))
     number = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
@@ -168,16 +170,16 @@ WITH d AS (
          row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS nth, md5(concat_ws('|', {SEED}, doc_id, md5(coalesce(text, '')))) AS row_key
   FROM documents
 ), s AS (
-  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source
 ), fit AS (
   SELECT ln(max(tokens)) AS top,
          greatest(0.0, CASE WHEN max(tokens) = min(tokens) THEN 0.0 ELSE ceil((1 - ln({REPEATS}) / (ln(max(tokens)) - ln(min(tokens)))) * {SECTIONS**STEPS}) / {SECTIONS**STEPS}.0 END) AS a
   FROM s WHERE tokens > 0
 ), shares AS (
-  SELECT source, tokens, a, top, CASE WHEN tokens > 0 THEN exp(a * (ln(greatest(tokens, 1)) - top)) ELSE 0.0 END AS share FROM s, fit
+  SELECT source, tokens, docs, a, top, CASE WHEN tokens > 0 THEN exp(a * (ln(greatest(tokens, 1)) - top)) ELSE 0.0 END AS share FROM s, fit
 ), plan AS (
   SELECT source, tokens, a, round(share / sum(share) OVER (), 6) AS weight, greatest(CAST(round(share * exp(top)) AS BIGINT), tokens) AS to_spend,
-         CAST(ceil(greatest(tokens, 1) / {BLOCK_TOKENS}.0) AS BIGINT) AS blocks
+         CAST(ceil(greatest(1 / {BLOCK_TOKENS}.0, tokens / {BLOCK_TOKENS}.0, docs / {BLOCK_DOCS}.0)) AS BIGINT) AS blocks
   FROM shares
 ), visits AS (
   SELECT *, CAST(('0x' || substr(key, 1, 12)) AS BIGINT) % blocks AS block, unnest(generate_series(0, greatest(CAST(ceil(to_spend / CAST(greatest(tokens, 1) AS DOUBLE)) AS BIGINT), 1) - 1)) AS epoch

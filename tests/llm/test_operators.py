@@ -29,7 +29,7 @@ ODD = [(1, None, "a"), (2, "", "b"), (3, " \t\n", None), (None, "some text here"
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -66,6 +66,15 @@ def test_exact_dedup(spark):
 # ---- tokens ----
 
 
+def test_keep_first_where_a_third_of_all_rows_are_alike(spark):
+    rows = [(5, "the same text", f"s{i}") for i in range(300)] + [(5, "thesame text", "t"), (5, "the same  text", "most")] + [(i, f"text {i % 200}", "x") for i in range(10, 610)]
+    docs = docs_of(spark, rows).withColumn("place_", F.lit(1)).withColumn("row_", F.array(F.lit(1))).repartition(7)
+    got = dedup_exact.keep_first(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.source) for r in got.collect()]
+    assert len(kept) == 201 and (5, "most") in kept and sorted(i for i, s in kept if s == "x") == list(range(10, 210))
+
+
 def test_token_counts_are_the_librarys(spark):
     of = token_count.counter(public_tokenizers.path(token_count.TOKENIZER))
     r = random.Random(5)
@@ -496,6 +505,17 @@ def test_mixing_spreads_rows_that_repeat_each_other(spark, monkeypatch):
     assert sorted(v.place for v in visits if v.source == "a") == list(range(100))
 
 
+def test_mixing_spreads_documents_without_tokens(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 25)
+    rows = [(i, "", "a") for i in range(400)] + [(1000 + i, "w w", "a") for i in range(3)] + [(2000 + i, "w " * 9, "b") for i in range(10)]
+    visits = [v for v in mixing.mix(docs_of(spark, rows)).collect() if v.source == "a" and v.epoch == 0]
+    assert sorted(v.place for v in visits) == list(range(403)) and {v.doc_id for v in visits} == {i for i, _, s in rows if s == "a"}
+    sizes = {}
+    for v in visits:
+        sizes[v.block] = sizes.get(v.block, 0) + 1
+    assert len(sizes) == 17 and max(sizes.values()) < 60
+
+
 def test_mixing_block_sizes(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
     visits = mixing.mix(docs_of(spark, [(i, "w " * (1 + i % 7), "ab"[i % 5 == 0]) for i in range(200)])).collect()

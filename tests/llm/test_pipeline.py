@@ -1,10 +1,11 @@
 """Each stage of the pipeline on what the stage before kept, against plain Python."""
 
 import hashlib
+import pathlib
 
 import corpus_pipeline
 from broadsheet.llm import classify, zdict
-from broadsheet.llm.common import table
+from broadsheet.llm.common import shared_folder, table
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_ngram_join import brute as linked
 
@@ -39,6 +40,7 @@ def test_stages(spark):
     assert {v.doc_id for v in visits} == {r.doc_id for r in before}
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, visits))
+    assert not list(pathlib.Path(shared_folder(spark)).glob("pipeline-*/*"))
 
 
 ODD = [(1, None, "a"), (2, "", "b"), (3, " \t\n", None), (None, "some text that has no id", "a"), (4, "the same text as another row", "a"), (4, "the same text as another row", "a"), (5, "long " * 20000, "b"), (6, "é\U0001f600 日本 \x00 x", "a"), (4, "the same id over another text", "c")]
