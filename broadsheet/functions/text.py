@@ -61,17 +61,23 @@ def _references() -> str:
     return f"x -> CASE WHEN contains(x, '&') THEN array_join(transform(split(x, '(?=&)'), {piece}), '') ELSE x END"
 
 
+def unescape_common(text: Any, on: Any = SPARK) -> Any:
+    """With the common character references resolved, in every dialect alike. Names that merely begin with one stay."""
+    return rewritten(text, [(f"(?:{name})", char) for name, char in ENTITIES], on)
+
+
 def unescape(text: Any, on: Any = SPARK) -> Any:
     """With character references resolved: all that end in a semicolon as a Column, the common ones in other dialects."""
     if on is SPARK:
         return F.call_function("transform", F.array(text), F.expr(_references()))[0]
-    return rewritten(text, [(f"(?:{name})", char) for name, char in ENTITIES], on)
+    return unescape_common(text, on)
+
 
 
 #: What a browser takes for markup: comments, declarations, and tags, whose quoted values may hold anything.
 MARKUP = r"(?s)<!--.*?-->|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-#: A character reference, perhaps without the semicolon at its end.
-REFERENCE = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
+#: What begins as a character reference does, perhaps without the semicolon at its end.
+REFERENCE = "&([a-zA-Z0-9#]+);?"
 
 
 _MARKUP, _REFERENCE = re.compile(MARKUP), re.compile(REFERENCE)

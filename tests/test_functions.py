@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions import content, dates, domains, languages, text, titles, urls
-from broadsheet.operators import relational
+from broadsheet.operators import queries, relational
 
 
 def values(spark, f, inputs):
@@ -303,6 +304,21 @@ def test_strip_tags_native_and_by_parser(spark):
     assert values(spark, text.unescape_exact, ["&eacute;&#65;", None]) == ["éA", None]
 
 
+def test_strip_tags_exact_as_its_sql_where_references_run_into_what_follows(spark, tmp_path):
+    pages = [
+        (1, "<title>The &amp; &a</title><style>p{margin:0}</style>"),
+        (2, "<title>Ver &amp</title><style>p{margin:0}</style>"),
+        (3, "<li>the &am</li><li>Of### and &copy 2020 &eacute; &#39 &#x27;</li>"),
+        (4, None),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = dict(map(tuple, queries.strip_tags_exact(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as other:
+        other.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert got == dict(other.execute(queries.SQL["strip_tags_exact"]).fetchall())
+    assert got[1] == "The & &ap;{margin:0}" and got[2] == "Ver &ampp;{margin:0}" and "&amOf###;" in got[3]
+
+
 def test_references_as_python_resolves_them(spark):
     import html
 
