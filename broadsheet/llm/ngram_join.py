@@ -6,10 +6,11 @@ have: linked sets share one. Large sets are found by scanning inverted lists: sh
 how often the corpus has them, rarest first, and linked sets share one among the first few of each. The
 size at which lists become cheaper than subsets is computed from the counts.
 
-Pairs from short lists are checked by a bitmap that never rejects a link. Members of a long list are only
-tied to each other where their sizes allow a link; lists so long that no task should read one are tied by
-aggregation instead. What hangs together is then compared in full, in blocks of bounded size of sets that
-are not too different in size. A block gives back the links that make its components, and for every node
+Pairs from short lists are checked by a bitmap that never rejects a link. Members of a long list are tied
+to each other where sizes, places and bitmaps allow a link, with one tie for each member; lists whose bitmaps
+are too much for a task are tied by sizes and places alone, and lists so long that no task should read one by
+aggregation. What hangs together is then compared in full, in blocks of bounded size of sets that are not too
+different in size; the blocks of a large group are larger, so that what is dealt out does not grow with its square. A block gives back the links that make its components, and for every node
 the number of documents it is linked with there: every link is counted, though no step writes out all
 pairs of a group. The work on a group of n near copies is that of n * n / 2 comparisons, spread over blocks.
 
@@ -44,8 +45,10 @@ CELLS, SEGMENTS = 1 << 20, 256
 SHORT = 48
 #: No set beyond this size is enumerated; it has 1,160 subsets.
 LARGEST_SMALL = 19
-#: Nodes of a block at most, about, and their tokens.
-BLOCK, BLOCK_TOKENS = 128, 2_000_000
+#: Bytes of bitmaps of a long list up to which its members are tied by them.
+MAPS = 1 << 22
+#: Nodes of a block at most, about, and their tokens; and how many times as many in a group of more than DEALT blocks.
+BLOCK, BLOCK_TOKENS, DEALT, LARGER = 128, 2_000_000, 16, 8
 #: Sets are in one band or in neighbouring ones if they can be linked: 1.26 is beyond 1 / 0.8.
 BAND = 1.26
 #: A list of more members than this, by the count of its cell, is tied by aggregation.
@@ -235,23 +238,53 @@ def posted(tokens: DataFrame, heavy: bool, lists: np.ndarray) -> DataFrame:
     return tokens.select("node", "n", "prefix", "subsets").mapInArrow(post, "h long, node long, n long, at long")
 
 
-def runs(node: np.ndarray, n: np.ndarray, root: int | None = None, last: int = 0) -> np.ndarray:
-    """For members of one list in order of size, the first of those that hang together by size; root and last go on from a run before."""
-    new = np.r_[root is None or 5 * last < 4 * n[0], 5 * n[:-1] < 4 * n[1:]]
-    at = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
-    return np.where(at >= 0, node[at], root if root is not None else 0)
+def is_early(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a set can be the smaller one of a link whose first common shingle, or subset, is at this place."""
+    return at <= n - -(-8 * n // 9)
 
 
-def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT) -> Iterator[pa.RecordBatch]:
-    """From postings (h, node, n, at) in order of h and n: pairs of short lists, and ties of long ones."""
+def runs(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: int | None = None, last: int = 0) -> tuple[np.ndarray, int]:
+    """For members of one list in order of size, the first of those that hang together, and the size of the last early one.
+
+    An early member hangs together with all that follow as far as their sizes allow a link with it; two that
+    are not early are not linked by this list. root and last go on from a run before.
+    """
+    # sizes are in order, and so the last early one is the largest
+    early = np.maximum.accumulate(np.r_[last, np.where(is_early(n, at), n, 0)])
+    new = 5 * early[:-1] < 4 * n
+    if root is None:
+        new[0] = True
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+    return np.where(begin >= 0, node[begin], root if root is not None else 0), int(early[-1])
+
+
+#: What a row of scan_lists() is: a pair (a, b) that may be linked, one that is tied, or node a of long list b, which is early or not.
+PAIR, TIE, LATE, EARLY = range(4)
+
+
+def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT, tie: bool = True) -> Iterator[pa.RecordBatch]:
+    """From postings (h, node, n, at) in order of h and n: (a, b, kind), pairs of short lists, and ties of long ones.
+
+    Without `tie` the members of long lists are given out instead, for tie_lists(). Of lists without an early member there is neither.
+    """
     none = [np.zeros(0, np.int64)] * 4
     held = none
-    tied: tuple[int, int, int] | None = None  # of a long list that goes on: h, the first of its open run, its last size
+    tied: tuple[int, int, int] | None = None  # of a long list that goes on: h, the first of its open run, the size of its last early member
+
+    def given(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind.astype(np.int8))], ["a", "b", "kind"])
 
-    def written(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+    def written(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
         keep = a != b
         a, b = a[keep], b[keep]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), sure))], ["a", "b", "tied"])
+        return given(np.minimum(a, b), np.maximum(a, b), np.full(len(a), kind))
+
+    def of_long(h: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, whole: bool = False) -> pa.RecordBatch:
+        if tie:
+            return written(node, first, TIE)
+        early = is_early(n, at)
+        some = slice(None) if early.any() or not whole else slice(0)
+        return given(node[some], h[some], np.where(early, EARLY, LATE)[some])
 
     for batch in itertools.chain(batches, [None]):
         rows = [np.concatenate(x) for x in zip(held, [np.asarray(batch.column(i)) for i in range(4)], strict=True)] if batch is not None else held
@@ -259,9 +292,9 @@ def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT) -> Iterato
             continue
         if tied and rows[0][0] == tied[0]:
             end = int(np.searchsorted(rows[0], tied[0], "right"))
-            first = runs(rows[1][:end], rows[2][:end], *tied[1:])
-            yield written(rows[1][:end], first, True)
-            tied = (tied[0], int(first[-1]), int(rows[2][end - 1]))
+            first, early = runs(*(x[:end] for x in rows[1:]), *tied[1:])
+            yield of_long(*(x[:end] for x in rows), first)
+            tied = (tied[0], int(first[-1]), early)
             rows = [x[end:] for x in rows]
             if not len(rows[0]):
                 held = none
@@ -269,9 +302,9 @@ def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT) -> Iterato
         h, node, n, at = rows
         last = len(h) if batch is None else int(np.searchsorted(h, h[-1], "left"))
         if batch is not None and len(h) - last > 4096:  # one list so long that it is not held
-            first = runs(node[last:], n[last:])
-            yield written(node[last:], first, True)
-            tied, held = (int(h[last]), int(first[-1]), int(n[-1])), none
+            first, early = runs(node[last:], n[last:], at[last:])
+            yield of_long(h[last:], node[last:], n[last:], at[last:], first)
+            tied, held = (int(h[last]), int(first[-1]), early), none
         else:
             held = [x[last:] for x in rows]
         h, node, n, at = (x[:last] for x in rows)
@@ -283,25 +316,97 @@ def scan_lists(batches: Iterator[pa.RecordBatch], short: int = SHORT) -> Iterato
             of = begin[size == length]
             if length > short:
                 for low in of:
-                    yield written(node[low : low + length], runs(node[low : low + length], n[low : low + length]), True)
+                    of_list = [x[low : low + length] for x in (h, node, n, at)]
+                    yield of_long(*of_list, runs(*of_list[1:])[0], whole=True)
                 continue
             left, right = np.triu_indices(length, 1)
             x, y = (of[:, None] + left).ravel(), (of[:, None] + right).ravel()  # x is not the larger
             need = -(-4 * (n[x] + n[y]) // 9)
             near = 5 * n[x] >= 4 * n[y]
-            inside = at[x] <= n[x] - -(-8 * n[x] // 9)
+            inside = is_early(n[x], at[x])
             # what may be common: before this place, and from it on
             room = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
             take = near & ((at[x] < 0) | (at[y] < 0) | inside & (room >= need))
             if take.any():
-                yield written(node[x[take]], node[y[take]], False)
+                yield written(node[x[take]], node[y[take]], PAIR)
+
+
+def tied_by_maps(n: np.ndarray, early: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
+    """For members of one list in order of size, places (i, j) that make the groups of those whose sizes, places and bitmaps allow links."""
+    lengths = np.array([len(m) for m in maps])
+    low, high = np.searchsorted(n, -(-4 * n // 5), "left"), np.searchsorted(n, 5 * n // 4, "right")
+    out = []
+    for length in np.unique(lengths):
+        # sizes that allow a link have maps of one length or of two that follow each other
+        some = np.flatnonzero((lengths == length) | (lengths == 2 * length) & (low < np.searchsorted(lengths, length, "right")))
+        bits = np.empty((len(some), length), np.uint8)
+        for k, i in enumerate(some):
+            m = np.frombuffer(maps[i], np.uint8)
+            bits[k] = m if len(m) == length else m[:length] ^ m[length:]
+        words, size, first = bits.view(np.uint64), n[some], early[some]
+        left = np.ones(len(some), bool)
+        for k in range(len(some)):
+            if not left[k]:
+                continue
+            left[k], reached = False, [k]
+            while reached:
+                i = reached.pop()
+                begin, end = np.searchsorted(some, (low[some[i]], high[some[i]]))
+                to = begin + np.flatnonzero(left[begin:end])
+                # the smaller one of a pair is early; of equal sizes either may count as the smaller
+                to = to[np.where(size[to] < size[i], first[to], first[i] | first[to] & (size[to] == size[i]))]
+                to = to[9 * np.bitwise_count(words[to] ^ words[i]).sum(axis=1, dtype=np.int64) <= size[to] + size[i]]
+                left[to] = False
+                out += [(some[i], some[j]) for j in to]
+                reached += to.tolist()
+    return out
+
+
+def tie_lists(batches: Iterator[pa.RecordBatch], most: int = MAPS) -> Iterator[pa.RecordBatch]:
+    """From members (h, node, n, early, map) of long lists in order of h and n: ties (a, b), one for each member at most and length of map.
+
+    A list of more than `most` bytes of maps is tied as it comes, by sizes and places; see runs().
+    """
+    held: list[tuple[int, int, bool, bytes]] = []
+    h, weight, root, last = None, 0, None, 0
+
+    def by_runs() -> list[tuple[int, int]]:
+        nonlocal root, last
+        node, n, early = (np.array(x) for x in list(zip(*held, strict=True))[:3])
+        first, last = runs(node, n, np.where(early, -1, n), root, last)
+        root = int(first[-1])
+        return list(zip(node.tolist(), first.tolist(), strict=True))
+
+    def done() -> pa.RecordBatch:
+        found = []
+        if root is not None and held:
+            found = by_runs()
+        elif len(held) > 1:
+            node, n, early, maps = zip(*held, strict=True)
+            found = [(node[i], node[j]) for i, j in tied_by_maps(np.array(n), np.array(early), list(maps))]
+        found = [(min(x), max(x)) for x in found if x[0] != x[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+    for batch in batches:
+        for of, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != h:
+                yield done()
+                held, h, weight, root, last = [], of, 0, None, 0
+            held.append(tuple(member))
+            weight += len(member[3])
+            if weight > most:
+                found = by_runs()
+                yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
+                held, weight = [], 0
+    yield done()
 
 
 def aggregated(heavy: DataFrame) -> DataFrame:
-    """Ties (a, b) between members of lists that no task should read whole, band by band."""
+    """Ties (a, b) between members of lists that no task should read whole, band by band, where one of them is early."""
+    early = F.col("at") <= F.col("n") - F.ceil(8 * F.col("n") / 9)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
-    listed = heavy.select("node", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))).alias("list"))
-    first = listed.groupBy("list").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
+    listed = heavy.select("node", early.alias("early"), F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))).alias("list"))
+    first = listed.groupBy("list").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"), F.max("early").alias("early")).filter("early")
     return lookup(listed, first, "list", "members", ["first"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
 
@@ -389,7 +494,8 @@ def in_blocks(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, cluster, band and block of every node, and the numbers of blocks in its band and in those beside it."""
     banded = clusters.join(nodes.select("node", "n", "copies", "first_key", "digest"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int"))
     sizes = banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    nodes_of = F.greatest(F.lit(BLOCK), F.least(F.col("members") / DEALT, F.lit(BLOCK * LARGER)))
+    blocks = F.ceil(F.greatest(F.col("members") / nodes_of, F.col("tokens") / BLOCK_TOKENS)).cast("int")
     # a band for every quarter of size: a cluster has few
     by_cluster = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("blocks"), F.sum("members").alias("members"))
     told = lookup(cut(banded), by_cluster, "cluster", "members", ["blocks"])
@@ -429,10 +535,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, key: int) -> DataFrame:
     # tokens move once, from the row of each set that has them
     tokens = sets.filter("map is not null").select("row", "prefix", "subsets").join(nodes.select("row", "node", "n"), "row")
     lists = cell_counts(sets.select("prefix", "subsets"), lambda batch: (_flat(batch.column(i))[0] for i in range(2)))
-    found = cut(posted(tokens, False, lists).repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(scan_lists, short=SHORT), "a long, b long, tied boolean").distinct())
+    found = cut(posted(tokens, False, lists).repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(scan_lists, short=SHORT, tie=False), "a long, b long, kind byte").distinct())
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
-    pairs = found.filter("not tied").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-    ties = pairs.mapInArrow(alike, "a long, b long").unionByName(found.filter("tied").select("a", "b"))
+    pairs = found.filter(F.col("kind") == PAIR).select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+    # a list that went on over batches may name a member twice
+    members = found.filter(F.col("kind") != PAIR).groupBy(F.col("b").alias("h"), F.col("a").alias("node")).agg(F.max("kind").alias("kind"))
+    in_lists = members.join(nodes.select("node", "n", "map"), "node").select("h", "node", "n", (F.col("kind") == EARLY).alias("early"), "map")
+    ties = in_lists.repartition("h").sortWithinPartitions("h", "n").mapInArrow(functools.partial(tie_lists, most=MAPS), "a long, b long").distinct()
+    ties = ties.unionByName(pairs.mapInArrow(alike, "a long, b long"))
     if (lists - int(lists.mean()) > HUGE).any():
         ties = ties.unionByName(aggregated(posted(tokens, True, lists)))
     clusters = components(ties).withColumnRenamed("root", "cluster")

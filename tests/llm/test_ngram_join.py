@@ -235,3 +235,66 @@ def test_components(spark, monkeypatch, hub):
         x, y = root(a), root(b)
         up[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def _long_list(n_passages, near):
+    """Texts of a passage that all have and prose of their own, and `near` of them in near copies too."""
+    r = random.Random(17)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = []
+    for i in range(n_passages):
+        own = [f"w{r.randrange(10**6)}" for _ in range(70)]
+        docs.append((len(docs), f"{passage} {' '.join(own)}"))
+        if i < near:
+            docs.append((len(docs), f"{passage} {' '.join(own[:-1])}"))
+    return docs
+
+
+def test_members_of_a_long_list_are_tied_only_where_bitmaps_allow(spark, monkeypatch):
+    import numpy as np
+
+    # an order that knows nothing of how common a shingle is, as that of cells that are full
+    monkeypatch.setattr(ngram_join, "in_order", lambda tokens, cells: np.sort(tokens))
+    docs, seen = _long_list(120, 4), []
+    in_blocks = ngram_join.in_blocks
+    monkeypatch.setattr(ngram_join, "in_blocks", lambda clusters, nodes: seen.append(sorted(r["count"] for r in clusters.groupBy("cluster").count().collect())) or in_blocks(clusters, nodes))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(docs)
+    assert seen == [[2, 2, 2, 2]]
+
+
+@pytest.mark.parametrize("most", [1 << 22, 500])
+def test_ties_lose_no_link(most):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    sets, early = [], []
+    for base in range(6):
+        whole = r.integers(0, 1 << 63, 150, np.uint64)
+        for _ in range(40):
+            sets.append(np.unique(np.r_[whole[r.random(150) < 0.97][: r.integers(90, 150)], r.integers(0, 1 << 63, r.integers(0, 12), np.uint64)]))
+            early.append(bool(r.random() < 0.7))
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    rows = [(5, i, len(sets[i]), early[i], ngram_join.bitmap(sets[i])) for i in order]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 70])], ["h", "node", "n", "early", "map"]) for i in range(0, len(rows), 70)]
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for out in ngram_join.tie_lists(iter(batches), most):
+        for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()):
+            up[root(a)] = root(b)
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            small = min((len(sets[k]), k) for k in (i, j))[1]
+            if (early[small] or len(sets[i]) == len(sets[j]) and early[i] | early[j]) and ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                links += 1
+                assert root(i) == root(j)
+    assert links > 100
+    if most > 500:
+        assert len({root(i) for i in range(len(sets))}) >= 6
