@@ -151,3 +151,8 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pages_reach_python_in_rows_and_not_in_large_batches(spark):
+    plan = queries.extract_flagship(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
