@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,12 +151,15 @@ def classify(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_
 
 
 def keep_zeros(docs: DataFrame, labels: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are not predicted as label 1, with all their columns; see classify()."""
+    """The rows of `docs` that are not predicted as label 1, with all their columns; see classify().
+
+    Texts reach Python in rows, of which a worker holds a hundred, and not in Arrow batches, which hold ten thousand.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, task, id_col, text_col))
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: zdict.score(sent.value, t)).astype(float)
+    @F.udf("double", useArrow=False)
+    def scores(text: str) -> float:
+        return zdict.score(sent.value, text)
 
     return docs.filter(scores(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < 0.5)
 

@@ -13,7 +13,6 @@ segments that most samples have. Two measures are made from them:
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import re
@@ -92,12 +91,19 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
 
-@functools.lru_cache(1)
+_KEPT: dict[tuple[str, bytes, bytes], tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]] = {}
+
+
 def compressors(measure: str, zero: bytes, one: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-    """Once for each worker and model. A worker outlives its job, and so keeps none but the last: a pair of toxicity takes some 50 MB."""
-    if measure == "distances":  # what stands in for the other dictionary is found in no text
-        return compressor(bytes(len(one)) + zero), compressor(one.replace(b"\x37\xa4\x30\xec", bytes(4), 1) + zero)
-    return compressor(zero), compressor(one)
+    """Once for each worker and model. A worker outlives its job, and so keeps none but the last, which goes before another is made: a pair of toxicity takes some 50 MB."""
+    key = (measure, zero, one)
+    if key not in _KEPT:
+        _KEPT.clear()
+        if measure == "distances":  # what stands in for the other dictionary is found in no text
+            _KEPT[key] = compressor(bytes(len(one)) + zero), compressor(one.replace(b"\x37\xa4\x30\xec", bytes(4), 1) + zero)
+        else:
+            _KEPT[key] = compressor(zero), compressor(one)
+    return _KEPT[key]
 
 
 def distances(model: Model, normal: bytes) -> list[float]:

@@ -64,3 +64,15 @@ def test_stages_on_odd_tables(spark):
     visits = corpus_pipeline.mix_sources(spark, docs, SF).collect()
     assert len([v for v in visits if v.epoch == 0]) == len(ODD)
     assert corpus_pipeline.mix_sources(spark, docs.limit(0), SF).collect() == []
+
+
+def test_toxicity_sends_texts_in_rows_and_keeps_one_model(spark):
+    from broadsheet.llm import classify, zdict
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} text") for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    plan = classify.keep_zeros(docs, labels, classify.TOXICITY)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    for text in (b" one two", b" three four"):
+        assert zdict.compressors("sizes", text, text) is zdict.compressors("sizes", text, text)
+    assert len(zdict._KEPT) == 1
