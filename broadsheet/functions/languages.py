@@ -18,8 +18,6 @@ _DC = r'(?is)<meta[^>]* (?:name|property)=.dc\.language.[^>]* content="([^"]+)"'
 _HTTP = r'(?is)<meta[^>]* (?:http-equiv)=.Content-Language.[^>]* content="([^"]+)"'
 _HTML = r'(?is)<html[^>]* (?:xml:lang|lang)="([^"]+)"'
 # ---- end of fixed values ----
-#: Rows of each language that train() fits a model on, at most.
-TRAIN_ROWS = 400
 #: Trigrams of a model that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Different trigrams kept of each language.
@@ -45,7 +43,7 @@ def short_code(code: Any, on: Any = SPARK) -> Any:
 # ---- the language of a text, by how likely its trigrams are in each language ----
 
 _LETTERS = regex.compile(r"\p{L}+")
-#: Parts into which the trigrams, or texts, of one language are dealt before they are ranked.
+#: Parts into which the trigrams of one language are dealt before they are ranked.
 _DEALT = 64
 
 
@@ -107,14 +105,6 @@ def _first_of_each(df: DataFrame, by: str, order: Sequence[Column], item: str, k
     return df
 
 
-def sample(texts: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang_ and text_ of the `rows` first different texts of each language by their digests; digests alone are ranked."""
-    all_ = texts.filter(F.col(lang_col) != "").select(F.col(lang_col).alias("lang_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"))
-    keyed = all_.withColumn("key_", F.md5("text_"))
-    first = _first_of_each(keyed.select("lang_", "key_").distinct(), "lang_", [F.col("key_")], "key_", rows)
-    return keyed.join(first, ["lang_", "key_"], "left_semi").dropDuplicates(["lang_", "key_"]).select("lang_", "text_")
-
-
 def model_table(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, gram, log and unknown: the TRIGRAMS most common trigrams of each language, and what any other one counts for.
 
@@ -154,12 +144,12 @@ def guessed(texts: DataFrame, model: DataFrame, key: str, text_col: str = "text"
     return rows.select(F.col("key_").alias(key), F.when(F.col("n") > 0, F.array_min(scores)["lang"]).alias("language"))
 
 
-def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model for from_text(), from whole texts of `rows` rows of each language; see sample() and model_table().
+def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model for from_text(), from all rows and whole texts; see model_table().
 
     TRIGRAMS rows of each language come to the driver.
     """
-    table = model_table(sample(texts, rows, text_col, lang_col), "text_", "lang_")
+    table = model_table(texts, text_col, lang_col)
     return Model.of((r["lang"], r["gram"], r["log"], r["unknown"]) for r in table.collect())
 
 

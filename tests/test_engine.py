@@ -1,6 +1,7 @@
 """Records, queries against SQL, sources and streams."""
 
 import datetime as dt
+import hashlib
 import os
 
 import duckdb
@@ -95,6 +96,16 @@ def test_title_of_the_extractor_and_language_of_the_text(spark):
     assert (got.language, got.article_title, got.other.raw_title) == ("yy", "From the text", "From the text")
 
 
+def test_flagship_learns_from_all_documents(spark, tmp_path):
+    """One text decides, of more than a thousand, the digest of which is among the last."""
+    late = next(t for t in ("ddd eee fff " * 50 + str(i) for i in range(999)) if hashlib.md5(t.encode()).hexdigest() > "f")
+    docs = [(f"aaa bbb {i}", "xx") for i in range(1000)] + [(late, "xx"), ("ggg hhh", "yy")]
+    spark.createDataFrame(docs, "text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = (1, "http://a.com/x", "<article>" + "<p>ddd eee fff, ddd eee fff, ddd eee fff.</p>" * 9 + "</article>")
+    spark.createDataFrame([page], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r.language for r in queries.extract_flagship(spark, str(tmp_path)).collect()] == ["xx"]
+
+
 def test_errors_raise(spark):
     p = spark.createDataFrame([(1, "http://a.com/x", "<p>short</p>")], "page_id long, url string, html string")
     with pytest.raises(Exception, match="too_short"):

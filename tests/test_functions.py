@@ -262,6 +262,12 @@ def test_language_model_of_all_languages_and_whole_texts(spark):
     assert languages.classify(nothing, "abc") is None
 
 
+def test_trained_model_counts_all_rows(spark):
+    df = spark.createDataFrame([("a", f"ab {i}") for i in range(900)] + [("a", "ab 0")] * 3, "lang string, text string")
+    model = languages.train(df)
+    assert [round(float(2.718281828459045 ** x) * (3000 + 2 * 903)) for x in model.logs[:, 0]] == [904, 904]
+
+
 @pytest.mark.parametrize(
     "page,url,expected",
     [
